@@ -64,3 +64,38 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, weight: str, sprea
     out = out.join(rest.hint("merge"), F.col("_jk") == F.col("_rk"), "left")
     out = out.withColumn("_got", F.coalesce("_heavy", "_light"))
     return out.select(*[out[c] for c in left.columns], *[F.col(f"_got.{c}").alias(c) for c in values])
+
+
+def as_key(column: str) -> Column:
+    """A binary join key from a column of another type."""
+    return F.encode(F.col(column).cast("string"), "utf-8")
+
+
+def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """The smallest reachable id of every node: (node, component), from edges (a, b) of bigint ids.
+
+    Alternates large-star and small-star steps, each a grouped minimum and a join on the node; what they make is written to
+    the shared folder, and only one number comes to the driver a round. The edges become stars around the smallest ids.
+    """
+    spark = edges.sparkSession
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    last = None
+    for _ in range(rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(as_key("a").alias("k"), "m", "n"), "low")
+        held = join_counted(both.withColumn("k", as_key("a")), low, "k", "n", "b")
+        large = held.where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
+        large = written(large, "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        held = join_counted(large.withColumn("k", as_key("a")), low.select(as_key("a").alias("k"), "m", "n"), "k", "n", "b")
+        small = held.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        now = written(small.where("a <> b").distinct(), "edges")
+        found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if found == last:
+            break
+        last = found
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

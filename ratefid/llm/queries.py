@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .minhash import OP10_SQL, op10_minhash_near_dedup
 
 QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op10_minhash_near_dedup": OP10_SQL,
 }
