@@ -5,13 +5,16 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash import OP10_SQL, op10_minhash_near_dedup
+from .secrets import OP2_SQL, op2_secret_ownership
 
 QUERIES = {
+    "op2_secret_ownership": op2_secret_ownership,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
+    "op2_secret_ownership": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
