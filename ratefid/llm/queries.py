@@ -5,12 +5,14 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash import OP10_SQL, op10_minhash_near_dedup
+from .packing import op9_packing
 from .secrets import OP2_SQL, op2_secret_ownership
 
 QUERIES = {
     "op2_secret_ownership": op2_secret_ownership,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 ORACLE_SQL = {
