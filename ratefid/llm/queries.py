@@ -8,8 +8,10 @@ from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash import OP10_SQL, op10_minhash_near_dedup
 from .packing import op9_packing
 from .secrets import OP2_SQL, op2_secret_ownership
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secret_ownership": op2_secret_ownership,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,

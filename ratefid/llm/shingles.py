@@ -66,3 +66,17 @@ def text_shingles(words: np.ndarray, k: int) -> np.ndarray:
     if len(words) == 0:
         return np.zeros(0, np.uint64)
     return np.unique(rolling(words, min(k, len(words))))
+
+
+def prefix_hashes(data: np.ndarray, is_word: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """Hashes of all runs of marked bytes, and of the first ``sizes`` bytes of those that are longer."""
+    edges = np.diff(np.concatenate(([0], is_word.view(np.int8), [0])).astype(np.int8))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data))[: len(data)], out=sums[1:])
+    down, parts = _power("down", len(data)), []
+    for n in (0, *sizes):
+        s = starts if n == 0 else starts[ends - starts > n]
+        e = ends if n == 0 else s + n
+        parts.append(mix64((sums[e] - sums[s]) * down[s] + np.uint64(n * 0x9E3779B9 + 1)))
+    return np.concatenate(parts)
