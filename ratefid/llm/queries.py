@@ -6,6 +6,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .licenses import op8_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash import OP10_SQL, op10_minhash_near_dedup
+from .neighbours import op7_neighbours
 from .packing import op9_packing
 from .secrets import OP2_SQL, op2_secret_ownership
 from .toxicity import op1_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_secret_ownership": op2_secret_ownership,
     "op4_line_dedup": op4_line_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_neighbours": op7_neighbours,
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
