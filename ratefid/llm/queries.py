@@ -5,7 +5,9 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .licenses import op8_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
+from .masked_lm import op3_masked_likelihood
 from .minhash import OP10_SQL, op10_minhash_near_dedup
+from .mixing import OP5_SQL, op5_source_mixing
 from .neighbours import op7_neighbours
 from .packing import op9_packing
 from .secrets import OP2_SQL, op2_secret_ownership
@@ -14,7 +16,9 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secret_ownership": op2_secret_ownership,
+    "op3_masked_likelihood": op3_masked_likelihood,
     "op4_line_dedup": op4_line_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_neighbours": op7_neighbours,
     "op8_license_scan": op8_license_scan,
@@ -24,6 +28,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_secret_ownership": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op5_source_mixing": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
 }
