@@ -7,16 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_key, connected, documents, join_counted, written
+from .common import connected, documents, join_counted, written
 from .shingles import mix64, text_shingles, text_words
 
 #: How often a pair just at the threshold may share no band.
 MISS = 1e-7
 #: Documents of one side in a block of the exact comparison.
 BLOCK = 1024
+#: Ids that may be broadcast: 16 MB.
+FEW = 1_000_000
 #: The circular shift between neighbouring coordinates; odd, so all shifts differ.
 STEP = 0x9E3779B1
 
@@ -59,24 +61,29 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, hash of the word sequence (128 bits), number of shingles, band keys (null without shingles)."""
+    """doc_id, hash of the word sequence (128 bits), number of shingles, band keys and sketch (null without shingles).
+
+    The sketch is the last byte of each coordinate.
+    """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, counts, keys = batch.column(0), [], [], []
+            ids, hashes, counts, keys, sketches = batch.column(0), [], [], [], []
             for text in batch.column(1).to_pylist():
                 w = text_words(text or "")
                 s = text_shingles(w, words)
                 place = mix64(np.arange(1, len(w) + 1, dtype=np.uint64))
                 hashes.append(np.array([np.sum(w * (place | np.uint64(1))), np.sum(mix64(w ^ place))], np.uint64).tobytes())
                 counts.append(len(s))
-                keys.append(band_keys(signature(s, bands * rows), rows) if len(s) else None)
+                values = signature(s, bands * rows) if len(s) else None
+                keys.append(None if values is None else band_keys(values, rows))
+                sketches.append(None if values is None else values.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(hashes, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "h", "n_shingles", "bands"],
+                [ids, pa.array(hashes, pa.binary()), pa.array(counts, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "h", "n_shingles", "bands", "sketch"],
             )
 
-    schema = "doc_id long, h binary, n_shingles long, bands array<long>"
+    schema = "doc_id long, h binary, n_shingles long, bands array<long>, sketch binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(job, schema)
 
 
@@ -88,7 +95,47 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
             sets = [text_shingles(text_words(t or ""), words).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(job, "rep long, shingles array<long>")
+    return docs.select("rep", "text").mapInArrow(job, "rep long, shingles array<long>")
+
+
+def least_agreement(threshold: float, size: int) -> int:
+    """Equal bytes that sketches of two sets at the threshold have at least, six standard deviations below the mean."""
+    p = threshold + (1 - threshold) / 256
+    return max(1, math.floor(size * p - 6 * math.sqrt(size * p * (1 - p))))
+
+
+def _sketches(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+
+
+def likely_pairs(pairs: DataFrame, sketches: DataFrame, least: int, size: int) -> DataFrame:
+    """The pairs (leader, rep) whose sketches agree in at least ``least`` places."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            equal = (_sketches(batch.column(2), size) == _sketches(batch.column(3), size)).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(equal >= least))
+
+    first = sketches.select(F.col("rep").alias("leader"), F.col("sketch").alias("one"))
+    joined = pairs.join(first, "leader").join(sketches, "rep").select("leader", "rep", "one", "sketch")
+    return joined.mapInArrow(job, "leader long, rep long")
+
+
+def _likely_rows(least: int, size: int):
+    """Of a block pair, the rows that agree with some row of another component well enough to be compared in full."""
+
+    def job(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        comp, marks = table.column("component").to_numpy(), _sketches(table.column("sketch"), size)
+        side, use = np.flatnonzero(~asks), np.zeros(len(asks), bool)
+        for q in np.flatnonzero(asks):
+            near = side[((marks[side] == marks[q]).sum(axis=1) >= least) & (comp[side] != comp[q])]
+            if len(near):
+                use[q] = True
+                use[near] = True
+        return table.select(["key", "i", "j", "rep", "component", "asks"]).filter(pa.array(use))
+
+    return job
 
 
 def _block_links(percent: int):
@@ -137,33 +184,53 @@ def _block_links(percent: int):
     return job
 
 
+def _bytes(column: str) -> Column:
+    """The eight bytes of a bigint."""
+    return F.unhex(F.lpad(F.hex(column), 16, "0"))
+
+
+def _semi(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with a ``rep`` of ``wanted``, by broadcast if these are few enough, else by a shuffle of both."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "rep", "left_semi")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """The shingle sets of the wanted documents alone, from a second look at the texts."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return written(shingle_sets(_semi(texts, written(wanted, "wanted")), words), "sets")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 5) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Documents whose sets of distinct ``words``-word shingles have 100 * intersection >= ``percent`` * union are linked, and a
     component is what links connect. Equal word sequences collapse to the smallest doc_id first. In each bucket of equal band keys all
     are compared with the smallest id, then, where more than one component is left, every pair of different components in
-    blocks inside tasks: no pair that shares a band is skipped, and no task sees more than two blocks.
+    blocks inside tasks, so no task sees more than two blocks. Whole sets are only fetched for documents whose sketches agree as
+    pairs at the threshold do but for six standard deviations; a link always rests on whole sets.
 
     Null and empty texts have no shingles and are linked with nothing: component_id is the doc_id. A row without doc_id takes
     part in no link; its component_id is null and it is kept. Rows that share a doc_id are one document, linked by any of
     their texts. Other columns are not read. No rows give no rows.
     """
     bands = n_bands(percent / 100, rows)
+    size, least = bands * rows, least_agreement(percent / 100, bands * rows)
     sig = written(signatures(docs, words, bands, rows), "signatures")
     usable = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = written(usable.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")), "classes")
     reps = usable.join(classes.select("h", F.col("rep").alias("doc_id")), ["h", "doc_id"], "left_semi")
     keys = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     buckets = keys.groupBy("band").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("n"), F.max("rep").alias("top"))
-    buckets = written(buckets.where("leader <> top").select(as_key("band").alias("key"), "leader", "n"), "buckets")
-    members = join_counted(keys.select(as_key("band").alias("key"), "rep"), buckets, "key", "n", "rep")
+    buckets = written(buckets.where("leader <> top").select(_bytes("band").alias("key"), "leader", "n"), "buckets")
+    members = join_counted(keys.select(_bytes("band").alias("key"), "rep"), buckets, "key", "n", "rep")
     members = written(members.where("leader IS NOT NULL").distinct(), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, words), "sets")
+    wanted = members.select("rep").distinct()
+    sketches = _semi(usable.withColumnRenamed("doc_id", "rep"), wanted).join(classes.select("h", "rep"), ["h", "rep"], "left_semi")
+    sketches = written(sketches.groupBy("rep").agg(F.first("sketch").alias("sketch")), "sketches")
 
     pairs = members.where("rep <> leader").select("leader", "rep").distinct()
+    pairs = written(likely_pairs(pairs, sketches, least, size), "likely-pairs")
+    sets = _sets(docs, pairs.select("rep").unionByName(pairs.select(F.col("leader").alias("rep"))).distinct(), words)
     first = sets.select(F.col("rep").alias("leader"), F.col("shingles").alias("one"))
     shared = F.size(F.array_intersect("one", "shingles"))
     union = F.size("one") + F.size("shingles") - shared
@@ -178,11 +245,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     open_ = placed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_all"),
         F.sum(F.col("minor").cast("long")).alias("n_minor"),
-        F.min(F.when(F.col("minor"), F.col("component"))).alias("low"),
-        F.max(F.when(F.col("minor"), F.col("component"))).alias("high"),
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"),
     )
-    # A lone minor was compared with the leader alone; all buckets of two are done. Buckets with the same members count once.
+    # In a bucket of two all are compared. Buckets with the same members count once.
     open_ = open_.where("n_all > 2 AND n_minor > 0").groupBy("who", "n_all", "n_minor").agg(F.min("key").alias("key"))
     open_ = written(open_.drop("who"), "open-buckets")
     rest = join_counted(placed.drop("n"), open_.withColumn("n", F.col("n_all")), "key", "n", "rep").where("n_all IS NOT NULL")
@@ -190,9 +255,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     asks = rest.where("minor").select("key", "rep", "component", F.lit(True).alias("asks"), own(minors).alias("i"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"))
     told = rest.select("key", "rep", "component", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), minors - 1)).alias("i"), own(chunks).alias("j"))
-    blocks = asks.unionByName(told).join(sets, "rep")
-    more = blocks.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    merged = connected(written(more.distinct(), "links"))
+    blocks = asks.unionByName(told).join(sketches, "rep").groupBy("key", "i", "j")
+    blocks = blocks.applyInArrow(_likely_rows(least, size), "key binary, i int, j int, rep long, component long, asks boolean")
+    blocks = written(blocks, "likely-blocks")
+    sets = _sets(docs, blocks.select("rep").distinct(), words)
+    more = blocks.join(sets, "rep").groupBy("key", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    merged = connected(more)
     top = stars.join(merged.withColumnRenamed("component", "final"), stars["component"] == merged["node"], "left").select(
         stars["node"].alias("rep"), F.coalesce("final", stars["component"]).alias("component_id")
     )
