@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import frontier_queries, queries_base, split_queries  # noqa: F401
+    from . import frontier_queries, queries_base, split_queries, text_queries  # noqa: F401
