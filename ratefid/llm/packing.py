@@ -21,14 +21,23 @@ END_ID = 1
 OPEN_WINDOWS = 1024
 #: Pieces are handed on in batches of about so many ids.
 BATCH_IDS = 1 << 20
-#: Distinct words whose ids a task remembers.
-CACHED_WORDS = 400_000
+#: Distinct words whose ids a process remembers, about 200 MB.
+CACHED_WORDS = 1_000_000
+
+
+def _apart(texts: pa.Array) -> pa.Array:
+    """A-Z made small, and a space put where a letter a-z meets a sentence mark; texts that may hold a special token are left."""
+    small = pc.ascii_lower(texts)
+    small = pc.replace_substring_regex(small, r"([a-z])([.,;:!?])", r"\1 \2")
+    small = pc.replace_substring_regex(small, r"([.,;:!?])([a-z])", r"\1 \2")
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, small)
 
 
 class WordTokenizer:
     """Ids of whole texts, made from the ids of their words.
 
-    The vocabulary drops white space and never joins what it separates, so each distinct word needs the tokenizer only once.
+    The vocabulary drops white space, makes letters small, and never joins letters with a full stop, comma or the like, so each
+    distinct word between these needs the tokenizer only once in a process.
     """
 
     def __init__(self, path: str):
@@ -40,39 +49,43 @@ class WordTokenizer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.starts, self.sizes = [0], []
+        self.ends = np.zeros(1 << 16, np.int64)  # a word's ids end where the next one's begin
         self.ids = np.zeros(1 << 16, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, end = found.ids, self.starts[-1]
-                while end + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-                self.ids[end : end + len(ids)] = ids
-                self.known[word] = len(self.sizes)
-                self.sizes.append(len(ids))
-                self.starts.append(end + len(ids))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            first, end = len(self.known), int(self.ends[len(self.known)])
+            ends = end + np.cumsum([len(x) for x in found])
+            while ends[-1] > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            while first + len(part) >= len(self.ends):
+                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+            self.ids[end : ends[-1]] = [i for x in found for i in x]
+            self.ends[first + 1 : first + 1 + len(part)] = ends
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, then END_ID."""
         if len(self.known) > CACHED_WORDS:
             self.clear()
-        pieces = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = whole.take(pa.array(np.arange(len(whole))))  # a copy: kernels may misread the offsets of a slice
+        pieces = pc.ascii_split_whitespace(_apart(whole))
         words = pieces.flatten().dictionary_encode()
         table = words.dictionary.to_pylist()
         self._learn([w for w in table if w not in self.known])
         place = np.fromiter((self.known[w] for w in table), np.int64, len(table))
-        starts, sizes = np.array(self.starts[:-1], np.int64), np.array(self.sizes, np.int64)
         index = words.indices.to_numpy()
         ends = np.cumsum(pc.list_value_length(pieces).to_numpy())
         for low, high in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
             own = place[index[low:high]]
-            n = sizes[own]
+            starts = self.ends[own]
+            n = self.ends[own + 1] - starts
             total = int(n.sum())
             out = np.empty(total + 1, np.uint32)
-            at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
+            at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(total)
             out[:total] = self.ids[at]
             out[total] = END_ID
             yield out
@@ -143,6 +156,16 @@ class Windows:
         return out
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each path in a process; what it remembers does not change any result."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -175,7 +198,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, windows = WordTokenizer(tokenizer), Windows(window, OPEN_WINDOWS, TaskContext.get().partitionId() << 32)
+        words, windows = _tokenizer(tokenizer), Windows(window, OPEN_WINDOWS, TaskContext.get().partitionId() << 32)
         waiting, n_waiting = [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
