@@ -10,7 +10,7 @@ from .sql import with_base
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_BODIES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -19,11 +19,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = with_base(sql)
+            _BODIES[f.__name__] = sql
         return f
 
     return add
 
 
+def oracles() -> dict[str, str]:
+    return {name: with_base(body) for name, body in _BODIES.items()}
+
+
 def load() -> None:
-    from . import frontier_queries, queries_base, split_queries, text_queries  # noqa: F401
+    from . import evaluate_queries, frontier_queries, queries_base, split_queries, text_queries  # noqa: F401

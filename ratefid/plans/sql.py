@@ -41,16 +41,18 @@ TABLES = {
 
 def with_base(body: str) -> str:
     """The body after those base tables that it needs. A body may begin with its own tables, as ``name AS (...), ... SELECT``."""
-    needed: set[str] = set()
+    order: list[str] = []
+    seen: set[str] = set()
 
     def add(text: str) -> None:
         for name in TABLES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                needed.add(name)
+            if name not in seen and re.search(rf"(?:\bFROM|\bJOIN|,)\s*\(?{name}\b", text):
+                seen.add(name)
                 add(TABLES[name])
+                order.append(name)
 
     add(body)
-    parts = [f"{n} AS MATERIALIZED ({b})" for n, b in TABLES.items() if n in needed]
+    parts = [f"{n} AS MATERIALIZED ({TABLES[n]})" for n in order]
     own = re.match(r"\s*(RECURSIVE\s+)?\w+ AS ", body)
     recursive = "RECURSIVE " if own and own[1] else ""
     body = body.strip().removeprefix("RECURSIVE").strip() if recursive else body.strip()
