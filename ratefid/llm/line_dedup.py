@@ -152,7 +152,7 @@ class LineIndex:
         return found.where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "row", "pos")
 
     def dedup(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with kept (the lines that stay, in an array), n_lines and n_dropped.
+        """``docs`` with kept (the lines that stay, in an array), n_lines and n_dropped; columns of these names are replaced.
 
         Null and empty texts are one empty line. A row without doc_id counts for no line and loses each that goes elsewhere;
         rows that share a doc_id are one document, and each loses its own lines. No rows give no rows.
@@ -164,7 +164,7 @@ class LineIndex:
         places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
         kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get(F.col("_lines"), i)))
         return out.select(
-            *[docs[c] for c in docs.columns],
+            *[docs[c] for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")],
             kept.alias("kept"),
             F.size("_lines").cast("long").alias("n_lines"),
             F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)).cast("long").alias("n_dropped"),

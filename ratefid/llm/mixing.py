@@ -96,16 +96,16 @@ def mixed(docs: DataFrame, shares: DataFrame | None = None, block_rows: int = BL
     sources = written(sources, "mix-sources")
     plan = written(schedule(cycles(sources)), "mix-plan")
     small = plan.count() <= FEW
-    plan = plan.select(F.col("source").alias("_source"), F.col("nth").alias("_nth"), "first", "last", "base", "size", "slot")
+    plan = plan.select(F.col("source").alias("_source"), F.col("nth").alias("_nth"), *[F.col(c).alias(f"_{c}") for c in ("first", "last", "base", "size")], F.col("slot").alias("_at"))
     place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id")) - 1
     rows = rows.withColumn("_nth_row", place).join(_few(sizes.drop("_n"), sizes), ["_source", "_bucket"])
-    rows = rows.join(_few(sources.select(F.col("source").alias("_source"), "share"), sources), "_source")
+    rows = rows.join(_few(sources.select(F.col("source").alias("_source"), F.col("share").alias("_share")), sources), "_source")
     at = F.col("_nth_row") + F.col("_before")
     rows = rows.withColumn("_block", F.floor(at / block_rows)).withColumn("_place", at % block_rows)
-    rows = rows.withColumn("_cycle", F.floor(F.col("_block") / F.col("share"))).withColumn("_nth", F.col("_block") % F.col("share"))
+    rows = rows.withColumn("_cycle", F.floor(F.col("_block") / F.col("_share"))).withColumn("_nth", F.col("_block") % F.col("_share"))
     plan = F.broadcast(plan) if small else plan
-    rows = rows.join(plan, ["_source", "_nth"]).where(F.col("_cycle").between(F.col("first"), F.col("last")))
-    slot = F.col("base") + (F.col("_cycle") - F.col("first")) * F.col("size") + F.col("slot")
+    rows = rows.join(plan, ["_source", "_nth"]).where(F.col("_cycle").between(F.col("_first"), F.col("_last")))
+    slot = F.col("_base") + (F.col("_cycle") - F.col("_first")) * F.col("_size") + F.col("_at")
     return rows.withColumn("_slot", slot).select(*docs.columns, "_block", "_place", "_slot")
 
 
