@@ -30,4 +30,4 @@ def oracles() -> dict[str, str]:
 
 
 def load() -> None:
-    from . import evaluate_queries, frontier_queries, queries_base, split_queries, text_queries  # noqa: F401
+    from . import evaluate_queries, frontier_queries, more_queries, queries_base, split_queries, text_queries  # noqa: F401
