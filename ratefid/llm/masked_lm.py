@@ -46,70 +46,89 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """around: ids at each of SIDES, one row a position."""
-        total = self.context[0][around[:, 0]].copy()
+        total = self.context[0][around[:, 0]]
         for i in range(1, len(SIDES)):
             total += self.context[i][around[:, i]]
         return np.tanh(total)
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.hidden(around)
-        classes, members = np.divmod(target, MEMBERS)
-        out = _log_softmax(h @ self.to_class + self.class_bias)[np.arange(len(h)), classes]
-        for c, at in _by_class(classes):
-            out[at] += _log_softmax(h[at] @ self.to_member[c] + self.member_bias[c])[np.arange(len(at)), members[at]]
+        order, classes, members, cuts = _by_class(target)
+        h = self.hidden(around[order])
+        own = _log_softmax(h @ self.to_class + self.class_bias, classes)
+        for c, low, high in cuts:
+            own[low:high] += _log_softmax(h[low:high] @ self.to_member[c] + self.member_bias[c], members[low:high])
+        out = np.empty_like(own)
+        out[order] = own
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, squares: Network) -> None:
         """One Adagrad step on the mean log loss; ``squares`` holds the sums of squared gradients."""
         n = np.float32(1 / len(target))
+        order, classes, members, cuts = _by_class(target)
+        around = around[order]
         h = self.hidden(around)
-        classes, members = np.divmod(target, MEMBERS)
         wrong = _softmax(h @ self.to_class + self.class_bias)
         wrong[np.arange(len(h)), classes] -= 1
         wrong *= n
         back = wrong @ self.to_class.T
-        updates = [("to_class", slice(None), h.T @ wrong), ("class_bias", slice(None), wrong.sum(axis=0))]
-        for c, at in _by_class(classes):
-            miss = _softmax(h[at] @ self.to_member[c] + self.member_bias[c])
-            miss[np.arange(len(at)), members[at]] -= 1
+        members_by, biases = np.zeros_like(self.to_member), np.zeros_like(self.member_bias)
+        for c, low, high in cuts:
+            own = h[low:high]
+            miss = _softmax(own @ self.to_member[c] + self.member_bias[c])
+            miss[np.arange(high - low), members[low:high]] -= 1
             miss *= n
-            back[at] += miss @ self.to_member[c].T
-            updates += [("to_member", c, h[at].T @ miss), ("member_bias", c, miss.sum(axis=0))]
+            back[low:high] += miss @ self.to_member[c].T
+            np.matmul(own.T, miss, out=members_by[c])
+            miss.sum(axis=0, out=biases[c])
         back *= 1 - h * h
+        updates = [("to_class", slice(None), h.T @ wrong), ("class_bias", slice(None), wrong.sum(axis=0)), ("to_member", slice(None), members_by), ("member_bias", slice(None), biases)]
         for i in range(len(SIDES)):
-            order = np.argsort(around[:, i], kind="stable")
-            ids = around[order, i]
+            by_id = np.argsort(around[:, i], kind="stable")
+            ids = around[by_id, i]
             first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-            updates.append(("context", (i, ids[first]), np.add.reduceat(back[order], first, axis=0)))
+            updates.append(("context", (i, ids[first]), np.add.reduceat(back[by_id], first, axis=0)))
         for name, at, gradient in updates:
             total = getattr(squares, name)
             total[at] += gradient * gradient
-            getattr(self, name)[at] -= RATE * gradient / (np.sqrt(total[at]) + 1e-6)
+            getattr(self, name)[at] -= RATE * gradient / (np.sqrt(total[at]) + np.float32(1e-6))
+
+
+#: Logits beyond this count as it; so exponentials stay finite without looking for each row's largest.
+MOST = 40
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
+
+
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    np.clip(x, -MOST, MOST, out=x)
+    e = np.exp(x)
+    return e, e @ _ONES[: x.shape[1]]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    e, total = _exponentials(x)
+    e /= total[:, None]
+    return e
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_softmax(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row the one logarithm asked for."""
+    _, total = _exponentials(x)
+    return x[np.arange(len(x)), at] - np.log(total)
 
 
-def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    cuts = np.flatnonzero(np.diff(classes[order])) + 1
-    for at in np.split(order, cuts):
-        if len(at):
-            yield int(classes[at[0]]), at
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """An order by class, class and member in that order, and where each class begins and ends there."""
+    order = np.argsort(target, kind="stable")  # a radix sort, as ids have 16 bits
+    classes, members = np.divmod(target[order], np.uint16(MEMBERS))
+    low = np.flatnonzero(np.concatenate(([True], classes[1:] != classes[:-1]))) if len(classes) else np.zeros(0, int)
+    return order, classes, members, list(zip(classes[low].tolist(), low.tolist(), [*low[1:].tolist(), len(classes)]))
 
 
 def window(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts' ids: those around each position, those there, and which text each is in."""
     reach = max(SIDES)
-    pad = np.full(reach, PAD, np.int64)
-    flat = np.concatenate([pad, *(x for t in texts for x in (t.astype(np.int64), pad))])
+    pad = np.full(reach, PAD, np.uint16)
+    flat = np.concatenate([pad, *(x for t in texts for x in (t, pad))])
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     at = np.arange(len(owner)) + reach * (owner + 1)
     return flat[at[:, None] + np.array(SIDES)], flat[at], owner
