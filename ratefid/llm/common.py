@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +24,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, one inside the warehouse."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset and Spark runs in one process, one inside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(found)
@@ -42,6 +47,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the column ``text`` has about ``most_bytes`` in each part: a task's memory does not grow with its batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(text)
+        if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type):
+            ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        else:
+            ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(ends, ends[low] + most_bytes, "right")) - 1)
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -71,16 +93,17 @@ def as_key(column: str) -> Column:
     return F.encode(F.col(column).cast("string"), "utf-8")
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """The smallest reachable id of every node: (node, component), from edges (a, b) of bigint ids.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join on the node; what they make is written to
-    the shared folder, and only one number comes to the driver a round. The edges become stars around the smallest ids.
+    the shared folder, and only one number comes to the driver a round. The edges become stars around the smallest ids. It ends
+    when a round changes nothing; each one lowers some node's neighbour, so that comes.
     """
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(as_key("a").alias("k"), "m", "n"), "low")
         held = join_counted(both.withColumn("k", as_key("a")), low, "k", "n", "b")
@@ -94,8 +117,6 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if found == last:
             break
         last = found
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, written
-from .shingles import SMALL, rolling, word_hashes
+from .shingles import ALPHANUMERIC, rolling, small_bytes, word_hashes
 
 #: Phrases whose places are reported, with their labels.
 PHRASES = {
@@ -48,15 +48,9 @@ COVER = 0.8
 #: A word, whatever the case of its letters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[48:58] = _LETTERS[97:123] = True
-_LETTERS[128:] = True
-
-
 def license_words(text: str) -> np.ndarray:
     """Hashes of the words of a text: letters a-z after A-Z are made small, digits, and all beyond ASCII."""
-    data = SMALL[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    return word_hashes(data, _LETTERS[data])[1]
+    return word_hashes(*small_bytes(text, ALPHANUMERIC))[1]
 
 
 def template_grams(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:

@@ -21,10 +21,11 @@ def _power(kind: str, n: int) -> np.ndarray:
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,14 +33,28 @@ def word_hashes(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.n
 
     The runs' polynomials come from one prefix sum, so the cost does not depend on how the bytes fall into runs.
     """
-    edges = np.diff(np.concatenate(([0], is_word.view(np.int8), [0])).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data))[: len(data)], out=sums[1:])
+    starts, ends, sums = _runs(data, is_word)
     raw = (sums[ends] - sums[starts]) * _power("down", len(data))[starts]
     return starts, mix64(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Of each byte, one more.
+_MORE = np.arange(1, 257, dtype=np.uint64)
+
+
+def _runs(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the marked runs, and the prefix sums of the bytes' polynomial."""
+    marks = np.zeros(len(data) + 2, bool)
+    marks[1:-1] = is_word
+    turns = np.flatnonzero(marks[1:] != marks[:-1])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    own = sums[1:]
+    np.take(_MORE, data, out=own, mode="clip")
+    own *= _power("up", len(data))[: len(data)]
+    np.cumsum(own, out=own)
+    return turns[::2], turns[1::2], sums
+
+
 def rolling(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive words, in order."""
     out = np.zeros(max(0, len(words) - k + 1), np.uint64)
@@ -48,17 +63,23 @@ def rolling(words: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-#: Bytes that are blank (space, \t, \n, \v, \f, \r), and A-Z made small.
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-SMALL = np.arange(256, dtype=np.uint8)
-SMALL[65:91] += 32
+#: Bytes that are blank: space, \t, \n, \v, \f, \r.
+BLANKS = bytes([9, 10, 11, 12, 13, 32])
+#: Tables for bytes.translate: A-Z made small; 1 for bytes that are not blank; 1 for letters, digits and all beyond ASCII.
+SMALL = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+NOT_BLANK = bytes(int(b not in BLANKS) for b in range(256))
+ALPHANUMERIC = bytes(int(48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256))
+
+
+def small_bytes(text: str, kind: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text, A-Z made small, and which of them are of a kind (a table of 0 and 1)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return np.frombuffer(raw.translate(SMALL), np.uint8), np.frombuffer(raw.translate(kind), bool)
 
 
 def text_words(text: str) -> np.ndarray:
     """Hashes of the words of a text: runs without blanks, A-Z made small."""
-    data = SMALL[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    return word_hashes(data, ~BLANK[data])[1]
+    return word_hashes(*small_bytes(text, NOT_BLANK))[1]
 
 
 def text_shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -70,10 +91,7 @@ def text_shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 def prefix_hashes(data: np.ndarray, is_word: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
     """Hashes of all runs of marked bytes, and of the first ``sizes`` bytes of those that are longer."""
-    edges = np.diff(np.concatenate(([0], is_word.view(np.int8), [0])).astype(np.int8))
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", len(data))[: len(data)], out=sums[1:])
+    starts, ends, sums = _runs(data, is_word)
     down, parts = _power("down", len(data)), []
     for n in (0, *sizes):
         s = starts if n == 0 else starts[ends - starts > n]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .shingles import SMALL, mix64, prefix_hashes
+from .shingles import ALPHANUMERIC, prefix_hashes, small_bytes
 
 #: At most so many labelled rows of each class are learned from; they are chosen by a hash of doc_id.
 MAX_ROWS_PER_CLASS = 10_000
@@ -45,15 +45,9 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"),
 )
 
-_LETTERS = np.zeros(256, bool)
-_LETTERS[48:58] = _LETTERS[97:123] = True
-_LETTERS[128:] = True
-
-
 def text_features(text: str) -> np.ndarray:
     """The distinct features of a text: its words and their prefixes, hashed to BITS bits."""
-    data = SMALL[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
-    return np.unique(prefix_hashes(data, _LETTERS[data], PREFIXES) >> np.uint64(64 - BITS)).astype(np.int32)
+    return np.unique(prefix_hashes(*small_bytes(text, ALPHANUMERIC), PREFIXES) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
