@@ -48,3 +48,19 @@ def test_notices_are_found_with_small_changes_and_clean_texts_are_not(spark):
 
 def test_empty_table(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_chain_of_runs_that_drifts_is_no_passage(spark):
+    """Pieces of a notice, each three words further off than the one before, hold its words but not in place."""
+    notice = next(t for t in NOTICES if t.startswith("permission is hereby"))
+    words = notice.split()
+    drifted = " ".join(" ".join(words[i : i + 3]) + " a b c" for i in range(0, len(words), 3))
+    docs = spark.createDataFrame([(1, notice), (2, drifted), (2, drifted), (3, None), (4, "one")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.labels, r.n_words) for r in license_scan(docs).collect())
+    assert got == [(1, "mit", len(words)), (2, "", len(drifted.split())), (2, "", len(drifted.split())), (3, "", 0), (4, "", 1)]
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000 + "MIT License")], "doc_id long, text string")
+    row = license_scan(docs).first()
+    assert (row.n_words, row.n_base, row.first_word, row.labels) == (300_002, 1, 300_000, "mit")
