@@ -18,9 +18,9 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """A table of (digest, keep_id, n_rows, batch) in ``n_buckets`` files a batch, bucketed and sorted by digest.
 
-    ``ingest`` anti-joins a batch with the index by sort-merge (the index is not shuffled), appends what is new and says for
-    each row of the batch which document stays. A document of an older batch stays before any of a newer one; within a batch
-    the smallest doc_id does.
+    ``ingest`` anti-joins a batch with the index by sort-merge (the index is not shuffled) and appends what is new; of digests that
+    are known it appends the count alone, with a null keep_id. A document of an older batch stays before any of a newer one;
+    within a batch the smallest doc_id does. ``resolve`` says for each row of a table which document stays.
     """
 
     def __init__(self, spark: SparkSession, n_buckets: int | None = None, name: str | None = None, path: str | None = None):
@@ -28,7 +28,7 @@ class DigestIndex:
         self.n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         if not spark.catalog.tableExists(self.name):
-            empty = spark.createDataFrame([], "digest binary, keep_id long, n_rows long, batch string")
+            empty = spark.createDataFrame([], "digest binary, keep_id long, n_rows long, kept boolean, batch string")
             self._append(empty, path or new_path(spark, "digest-index"))
 
     def _append(self, rows: DataFrame, path: str | None = None) -> None:
@@ -38,30 +38,59 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def ingest(self, docs: DataFrame) -> DataFrame:
-        """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+    def drop(self) -> None:
+        """Take the table out of the catalog; its files stay where ``path`` says."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-        ``docs`` needs doc_id and text; other columns, whatever their names, are not read. group_size counts the rows with
-        that text in this batch and in the one that brought it into the index. Null and empty texts are equal; a text of
-        blanks only equals one space. A repeated row of the document that stays is kept too. A row without doc_id never
-        stays before one that has it; a group of such rows alone has a null keep_id and keeps them. No rows give no rows.
+    def ingest(self, docs: DataFrame, batch: str | None = None) -> None:
+        """Add the rows of ``docs``. A batch whose name the index has already is not added again, so a retry is safe.
+
+        ``docs`` needs doc_id and text; other columns, whatever their names, are not read.
         """
+        batch = batch or uuid.uuid4().hex
+        if not self.table().where(F.col("batch") == batch).isEmpty():
+            return
         rows = docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest"))
         counts = rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n_rows"))
-        counts, batch = written(counts, "digest-batch"), uuid.uuid4().hex
-        fresh = counts.join(self.table().hint("merge"), "digest", "left_anti").withColumn("batch", F.lit(batch))
-        self._append(fresh.repartition(self.n_buckets, "digest"))
-        index = self.table().withColumnRenamed("n_rows", "n_index")
-        entries = index.hint("merge").join(counts.drop("keep_id"), "digest").select(
-            "digest", "keep_id", "n_rows", (F.col("n_index") + F.when(F.col("batch") == batch, 0).otherwise(F.col("n_rows"))).alias("group_size")
-        )
-        out = join_counted(rows, entries, "digest", "n_rows", "doc_id")
+        counts = written(counts, "digest-batch").withColumn("batch", F.lit(batch))
+        known = self.table().select("digest").distinct().hint("merge")
+        fresh = counts.join(known, "digest", "left_anti").withColumn("kept", F.lit(True))
+        again = counts.join(known, "digest", "left_semi").withColumn("keep_id", F.lit(None).cast("long")).withColumn("kept", F.lit(False))
+        both = fresh.unionByName(again).select("digest", "keep_id", "n_rows", "kept", "batch")
+        self._append(both.repartition(self.n_buckets, "digest"))
+
+    def entries(self) -> DataFrame:
+        """digest, keep_id, group_size: over all batches; the buckets spare the shuffle."""
+        rows = self.table().groupBy("digest")
+        return rows.agg(F.max(F.when(F.col("kept"), F.col("keep_id"))).alias("keep_id"), F.sum("n_rows").alias("group_size"))
+
+    def resolve(self, docs: DataFrame) -> DataFrame:
+        """One row per row of ``docs`` (all ingested before): doc_id, keep_id, group_size, kept, text_sha256.
+
+        group_size counts the rows with that text in all batches. Null and empty texts are equal; a text of blanks only equals
+        one space. A repeated row of the document that stays is kept too. A row without doc_id never stays before one of its batch
+        that has it; a group of such rows alone has a null keep_id and keeps them. No rows give no rows.
+        """
+        rows = docs.select(F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest"))
+        out = join_counted(rows, written(self.entries(), "digest-entries"), "digest", "group_size", "doc_id")
         kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
         return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).ingest(documents(spark, sf_dir))
+    """Which document of each group of equal texts stays. The table comes in two batches, the smaller half of the ids first.
+
+    So the second batch is joined against an index that is there, and the smallest doc_id stays whatever batch it is in. Null
+    texts, repeats and rows without doc_id as ``DigestIndex.resolve`` says.
+    """
+    docs, index = documents(spark, sf_dir), DigestIndex(spark)
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    first = F.coalesce(F.col("doc_id") <= ((ends.low or 0) + (ends.high or 0)) // 2, F.lit(False))
+    index.ingest(docs.where(first), "first")
+    index.ingest(docs.where(~first), "second")
+    out = index.resolve(docs)
+    index.drop()
+    return out
 
 
 OP6_SQL = r"""

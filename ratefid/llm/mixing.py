@@ -75,7 +75,7 @@ def schedule(kinds: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, shares: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All columns of ``docs`` with _block and _place (in its source) and _slot (of the block in the mixture).
+    """All columns of ``docs`` with _block and _place (in its source) and _slot (of the block in the mixture), which replace such columns.
 
     In every run of blocks from the start each source is within one block of its weight among the sources that are not used up
     yet; when one is, the others share its slots in proportion. No row is dropped or repeated: the mixture is an order.
@@ -83,10 +83,12 @@ def mixed(docs: DataFrame, shares: DataFrame | None = None, block_rows: int = BL
     does not list has share 1. Rows without doc_id come in any order among themselves. No rows give no rows.
     """
     n_buckets = max(1, -(-docs.count() // BUCKET_ROWS))
-    order = F.md5(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "utf-8"))
-    bucket = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32))
+    # Rows without doc_id are told apart by where they are read, so they do not fall into one bucket.
+    known = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    order = F.md5(F.encode(known, "utf-8"))
     name = F.coalesce(F.col("source"), F.lit(""))
-    rows = docs.select("*", name.alias("_source"), order.alias("_order"), bucket.alias("_bucket"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), name.alias("_source"), order.alias("_order"))
+    rows = rows.withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * n_buckets / (1 << 32)))
     sizes = rows.groupBy("_source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")  # a row for each bucket of a source
     sizes = written(sizes.withColumn("_before", before), "mix-sizes")
@@ -97,7 +99,7 @@ def mixed(docs: DataFrame, shares: DataFrame | None = None, block_rows: int = BL
     plan = written(schedule(cycles(sources)), "mix-plan")
     small = plan.count() <= FEW
     plan = plan.select(F.col("source").alias("_source"), F.col("nth").alias("_nth"), *[F.col(c).alias(f"_{c}") for c in ("first", "last", "base", "size")], F.col("slot").alias("_at"))
-    place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id")) - 1
+    place = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_order", "_id")) - 1
     rows = rows.withColumn("_nth_row", place).join(_few(sizes.drop("_n"), sizes), ["_source", "_bucket"])
     rows = rows.join(_few(sources.select(F.col("source").alias("_source"), F.col("share").alias("_share")), sources), "_source")
     at = F.col("_nth_row") + F.col("_before")
@@ -106,7 +108,9 @@ def mixed(docs: DataFrame, shares: DataFrame | None = None, block_rows: int = BL
     plan = F.broadcast(plan) if small else plan
     rows = rows.join(plan, ["_source", "_nth"]).where(F.col("_cycle").between(F.col("_first"), F.col("_last")))
     slot = F.col("_base") + (F.col("_cycle") - F.col("_first")) * F.col("_size") + F.col("_at")
-    return rows.withColumn("_slot", slot).select(*docs.columns, "_block", "_place", "_slot")
+    made = F.struct("_block", "_place", slot.alias("_slot")).alias("_made")
+    rows = rows.select("_row", made)
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("_block", "_place", "_slot")], "_made.*")
 
 
 def _few(df: DataFrame, counted: DataFrame) -> DataFrame:
@@ -114,6 +118,7 @@ def _few(df: DataFrame, counted: DataFrame) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slot of every document in the mixture; null sources, repeats and rows without doc_id as ``mixed`` says."""
     out = mixed(documents(spark, sf_dir).select("doc_id", "source"))
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("_block").alias("block"), F.col("_place").alias("place"), F.col("_slot").alias("slot"))
 

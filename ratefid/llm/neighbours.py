@@ -159,9 +159,11 @@ def _search(k: int):
                 for q, name, near in zip(part, names[at : at + 256], found, strict=True):
                     near = near[near >= 0]
                     score = (vectors[near] * q).sum(axis=1)
-                    best = near[np.argsort(-score, kind="stable")][: k + 1]
+                    # All that tie with the last of the best stay, until ids settle it.
+                    last = np.sort(score)[-(k + 1)] if len(near) > k else -np.inf
+                    best, score = near[score >= last], score[score >= last]
                     rows = np.concatenate([ids[ends[i] - sizes[i] : ends[i]] for i in best]) if len(best) else ids[:0]
-                    each = np.repeat(np.sort(-score, kind="stable")[: k + 1] * -1, sizes[best])
+                    each = np.repeat(score, sizes[best])
                     other = rows != name
                     rows, each = rows[other], each[other]
                     top = np.lexsort((rows, -each))[:k]

@@ -42,16 +42,32 @@ def test_mixing_odd_rows(spark):
     assert mixed(docs.limit(0)).count() == 0
 
 
+def test_mixing_keeps_callers_columns(spark):
+    docs = spark.createDataFrame([(i if i % 5 else None, f"s{i % 3}") for i in range(300)], "doc_id long, source string")
+    for name in ("_source", "_share", "_order", "_bucket", "_row", "_id", "_slot", "_made", "_n", "slot"):
+        docs = docs.withColumn(name, F.lit("x"))
+    got = mixed(docs).collect()
+    assert len({(r._slot, r._place) for r in got}) == 300 and {r._source for r in got} == {"x"} == {r.slot for r in got}
+
+
 def test_digest_index_is_incremental(spark):
     one = spark.createDataFrame([(5, "a  b"), (3, "a\tb"), (4, None), (6, ""), (None, "z"), (7, " ")], "doc_id long, text string").withColumn("digest", F.lit(1))
     index = DigestIndex(spark, n_buckets=4)
-    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.ingest(one).collect()}
-    assert got == {(5, 3, 2, False), (3, 3, 2, True), (4, 4, 2, True), (6, 4, 2, False), (None, None, 1, True), (7, 7, 1, True)}
-    again = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.ingest(spark.createDataFrame([(1, "a b"), (9, "new"), (9, "new")], "doc_id long, text string")).collect()}
-    assert again == {(1, 3, 3, False), (9, 9, 2, True)}
-    assert index.table().count() == 5 and index.ingest(one.limit(0)).count() == 0
-    sha = {r.text_sha256 for r in DigestIndex(spark).ingest(one.where("doc_id = 5")).collect()}
-    assert sha == {hashlib.sha256(b"a b").hexdigest()}
+    said = lambda docs: {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in index.resolve(docs).collect()}
+    index.ingest(one, "one")
+    assert said(one) == {(5, 3, 2, False), (3, 3, 2, True), (4, 4, 2, True), (6, 4, 2, False), (None, None, 1, True), (7, 7, 1, True)}
+    two = spark.createDataFrame([(1, "a b"), (9, "new"), (9, "new")], "doc_id long, text string")
+    for _ in range(2):  # a retried batch counts once
+        index.ingest(two, "two")
+        index.ingest(one, "one")
+    assert said(two) == {(1, 3, 3, False), (9, 9, 2, True)} and (5, 3, 3, False) in said(one)
+    index.ingest(spark.createDataFrame([(0, "a b" + " x" * 500_000), (11, "a b")], "doc_id long, text string"), "three")
+    assert (1, 3, 4, False) in said(two) and index.table().where("kept").count() == 6
+    index.ingest(one.limit(0))
+    assert said(one.limit(0)) == set()
+    assert {r.text_sha256 for r in index.resolve(one.where("doc_id = 5")).collect()} == {hashlib.sha256(b"a b").hexdigest()}
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
 
 
 def test_cuckoo_filter_inserts_and_deletes():
@@ -90,3 +106,35 @@ def test_line_dedup_can_be_taken_back(spark):
     assert texts(rows) == brute_lines(rows)
     index.delete(df(rows[10:30]))
     assert texts(rows[:10] + rows[30:]) == brute_lines(rows[:10] + rows[30:])
+
+
+def test_line_dedup_odd_rows(spark):
+    """Nulls, repeated rows, clashing columns, a very long text, one line a hundred thousand times in a document."""
+    line = "this line is in many documents"
+    rows = [(1, line), (2, f"{line}\nshort"), (2, f"{line}\nshort"), (3, f"{line}\n" * 100_000 + "own " * 50_000), (None, f"a\n{line.upper()} "), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("gone", "row", "lines", "caller", "own_id", "_id", "_gone", "kept", "places", "key"):
+        docs = docs.withColumn(name, F.lit(1))
+    index = LineIndex(spark, shards=2)
+    index.insert(docs)
+    got = index.dedup(docs).withColumn("t", F.array_join("kept", "\n")).collect()
+    assert sorted((r.doc_id or -1, r.t[:10], r.n_dropped) for r in got) == sorted([(1, "", 1), (2, "short", 1), (2, "short", 1), (3, line[:10], 0), (-1, "a", 1), (5, "", 0), (6, "", 0)])
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    none = LineIndex(spark, shards=2)
+    none.insert(empty)
+    assert none.dedup(empty).count() == 0 and index.dedup(empty).count() == 0
+
+
+def test_a_small_batch_reads_its_own_shards(spark):
+    """The log's scan of a later batch has a filter on its shards, and other shards' filters are left as they are."""
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    index = LineIndex(spark, shards=64)
+    index.insert(df([(i, "\n".join(f"line {j} of all of the documents" for j in range(200))) for i in range(3)]))
+    before = {r.shard: bytes(r.filter) for r in index.filters.collect()}
+    batch = df([(10 + i, f"one line of this batch {i % 2} only") for i in range(10)])
+    own = {r.shard for r in index.keys(batch).select("shard").distinct().collect()}
+    plan = index._of_shards(index._log("*"), index.keys(batch))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(shard" in plan or "PushedFilters: [EqualTo(shard" in plan
+    index.insert(batch)
+    after = {r.shard: bytes(r.filter) for r in index.filters.collect()}
+    assert {s for s in after if after[s] != before.get(s)} <= own and len(own) <= 2

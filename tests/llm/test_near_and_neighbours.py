@@ -1,10 +1,11 @@
 import random
+import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratefid.llm.masked_lm import KNOWN, Network, pseudo_likelihood, window
 from ratefid.llm.minhash import near_duplicates
 from ratefid.llm.neighbours import nearest, op7_neighbours
 from ratefid.llm.secrets import owned_secrets
@@ -80,32 +81,29 @@ def test_neighbours_odd_rows(spark):
 
 
 def test_ownership_tells_examples_from_live_values(spark):
-    example, live, opaque = "password=changeme123", "token: Zx9Zx9Zx9", "Ab1" * 10
-    rows = [(i, f"é {example} x", f"o{i}", "r") for i in range(4)] + [(9, f"{live} and {opaque}", "o9", "r"), (10, None, None, None), (11, "", "o", "r")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("hash", F.lit(1))
+    example, live, opaque = "password=changeme123", "token: Zx9Qw8Er7", "Ab1Cd2Ef3" * 4
+    rows = [(i, f"é {example} x", f"o{i}", "r") for i in range(4)] + [(9, f"{live} and {opaque}", "o9", "r"), (8, "token=changeme999", "o8", "r"), (10, None, None, None), (11, "", "o", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("hash", F.lit(1)).withColumn("_row", F.lit(2))
     got = {r.doc_id: r.found or [] for r in owned_secrets(docs, F.col("source"), F.col("lang")).collect()}
     assert [(s.start, s.end, s.verdict, s.n_owners) for s in got[0]] == [(2, 2 + len(example), "example", 4)]
     assert [(s.kind, s.verdict) for s in got[9]] == [(0, "live"), (3, "live")] and got[10] == [] and got[11] == []
-
-
-def test_masked_likelihood(spark):
-    rng = random.Random(4)
-    texts = [" ".join(w for _ in range(rng.randrange(20, 60)) for w in rng.choice([["red", "fox", "runs"], ["blue", "whale", "swims"]])) for _ in range(60)]
-    shuffled = " ".join(rng.sample(texts[0].split(" "), len(texts[0].split(" "))))
-    rows = [*enumerate(texts), (100, shuffled), (101, None), (102, ""), (None, texts[0])]
-    got = {r.doc_id: r for r in pseudo_likelihood(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))).collect()}
-    assert got[0].per_token > got[100].per_token and got[None].log_likelihood == pytest.approx(got[0].log_likelihood)
-    assert (got[101].n_tokens, got[101].log_likelihood, got[101].per_token) == (0, 0.0, None) and got[102].perplexity is None
-    assert pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_network_probabilities_sum_to_one_and_gradients_are_right():
-    net, rng = Network(), np.random.default_rng(1)
-    around, _, _ = window([rng.integers(0, KNOWN, 7).astype(np.uint16)])
-    every = net.log_probabilities(np.repeat(around[3:4], KNOWN, axis=0), np.arange(KNOWN))
-    assert np.exp(every.astype(float)).sum() == pytest.approx(1, abs=1e-3)
-    before = net.log_probabilities(around, np.arange(7)).mean()
-    squares = Network(np.full_like(net.flat, 1e-4))
-    for _ in range(20):
-        net.learn(around, np.arange(7), squares)
-    assert net.log_probabilities(around, np.arange(7)).mean() > before + 1
+    assert [s.verdict for s in got[8]] == ["made up"]
+    assert owned_secrets(docs.limit(0), F.col("source"), F.col("lang")).count() == 0
+
+
+def test_a_dump_of_a_megabyte_takes_seconds(spark):
+    text = "".join(f"ü password=Value{i:06d}x\n" for i in range(40_000))
+    docs = spark.createDataFrame([(1, text, "o", "r"), (1, text, "o", "r")], "doc_id long, text string, source string, lang string")
+    began = time.time()
+    got = owned_secrets(docs, F.col("source"), F.col("lang")).collect()
+    assert time.time() - began < 60
+    want = [(m.start(), m.end()) for m in re.finditer(r"password=\w+", text)]
+    assert len(got) == 2 and all([(s.start, s.end) for s in r.found] == want for r in got)
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    """Thirty different vectors have the same inner product with the query; the smallest ids of them are asked for."""
+    rows = [(0, [1.0, 0.0])] + [(100 - i, [1.0, float(i)]) for i in range(1, 31)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in nearest(vectors, vectors.where("vec_id = 0"), 20).collect())
+    assert got == [(i + 1, 70 + i) for i in range(20)]
