@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, parts, written
 from .shingles import ALPHANUMERIC, prefix_hashes, small_bytes
 
 #: At most so many labelled rows of each class are learned from; they are chosen by a hash of doc_id.
@@ -23,6 +25,12 @@ LEAST_ROWS, LEAST_Z = 3, 2.0
 #: Besides whole words, their first bytes are features, so endings do not hide a stem.
 PREFIXES = (4, 5, 6)
 
+#: Terms found in the labelled rows: of so many words that are in most of them, those in at least this share, and how alike the words around
+#: two of them must be (a cosine).
+FREQUENT_WORDS, LEAST_SHARE, LEAST_ALIKE = 256, 0.01, 0.8
+#: Swapped sentences of a labelled row that are learned from, at most; they are chosen by a hash of the sentence.
+SWAPS_PER_ROW = 4
+
 #: Terms that name groups of people, by kind; a term is swapped for the next one of its row.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -58,6 +66,8 @@ def swapped_sentences(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_T
     """Each sentence that names a group, with the same sentence in which every such term is the next of its kind."""
     following = {t: row[(i + 1) % len(row)] for row in terms for i, t in enumerate(row)}
     out = []
+    if not following:
+        return out
     for m in _SENTENCE.finditer(text):
         other = _WORD.sub(lambda w: following.get(w[0].lower(), w[0]), m[0])
         if other != m[0]:
@@ -65,10 +75,65 @@ def swapped_sentences(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_T
     return out
 
 
+def interchangeable_terms(labelled: DataFrame, fixed: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[tuple[str, ...], ...]:
+    """Pairs of frequent words that stand between the same words and tell nothing of the class, so a swap must not either.
+
+    ``labelled`` has toxic and text. Only counts of FREQUENT_WORDS words and of each two of them side by side reach the driver.
+    """
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+        for part in parts(batches, 1):
+            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                held.update((toxic, w) for w in set(_WORD.findall((text or "").lower())))
+        toxic, words = zip(*held, strict=True) if held else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(words, pa.string()), pa.array(held.values(), pa.int64())], names=["toxic", "word", "n"])
+
+    sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    total = max(1, sum(sizes.values()))
+    counts = labelled.select("toxic", "text").mapInArrow(seen, "toxic int, word string, n long")
+    counts = counts.groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+    top = counts.where(F.col("n0") + F.col("n1") >= LEAST_SHARE * total).orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(FREQUENT_WORDS).collect()
+    known = {t for row in fixed for t in row}
+
+    def signal(r) -> float:
+        shares, both = [r[f"n{c}"] / max(1, sizes.get(c, 0)) for c in (0, 1)], (r.n0 + r.n1) / total
+        return abs(shares[1] - shares[0]) / (both * (1 - both) * sum(1 / max(1, sizes.get(c, 0)) for c in (0, 1)) + 1e-12) ** 0.5
+
+    words = [r.word for r in top if len(r.word) > 1 and r.word not in known and signal(r) < LEAST_Z]
+    place = {w: i for i, w in enumerate(words)}
+    if len(words) < 2:
+        return ()
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((len(words), len(words)), np.int64)
+        for part in parts(batches, 0):
+            for text in part.column(0).to_pylist():
+                ids = np.array([place.get(w, -1) for w in _WORD.findall((text or "").lower())], np.int64)
+                left, right = ids[:-1], ids[1:]
+                both = (left >= 0) & (right >= 0)
+                np.add.at(held, (left[both], right[both]), 1)
+        left, right = np.nonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(held[left, right])], names=["a", "b", "n"])
+
+    pairs = labelled.select("text").mapInArrow(beside, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    table = np.zeros((len(words), len(words)))
+    for r in pairs:
+        table[r.a, r.b] = r.n
+    around = np.sqrt(np.hstack([table, table.T]))
+    around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-12)
+    alike = around @ around.T
+    np.fill_diagonal(alike, -1)
+    best = alike.argmax(axis=1)
+    return tuple((words[i], words[j]) for i, j in enumerate(best.tolist()) if i < j and best[j] == i and alike[i, j] >= LEAST_ALIKE)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
     bias: float
+    n_swaps: int = 0
+    terms: tuple[tuple[str, ...], ...] = ()
 
     def score(self, features: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[features].sum(dtype=np.float64), -30, 30))))
@@ -87,7 +152,8 @@ def telling(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], penalty: float = 4.0, l1: float = 1.0, epochs: int = 12, batch: int = 128) -> Model:
     """Logistic regression by proximal follow-the-leader steps (sparse weights), in a fixed order.
 
-    To the log loss comes ``penalty`` times the mean squared change of the log-odds over the swapped sentences.
+    To the log loss comes ``penalty`` times the mean squared change of the log-odds over the swapped sentences, given as the features that
+    go and come by the swap; these are always used, so that the penalty reaches them.
     """
     n = 1 << BITS
     z, g2 = np.zeros(n + 1), np.zeros(n + 1)  # the last place is the bias
@@ -109,13 +175,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, swap
         return at, place, owner
 
     used = telling(rows, labels)
+    for both in swaps:
+        for side in both:
+            used[side] = True
     rows = [r[used[r]] for r in rows]
-    changes = []
-    for one, other in swaps:
-        one, other = one[used[one]], other[used[other]]
-        gone, come = np.setdiff1d(one, other), np.setdiff1d(other, one)
-        if len(gone) + len(come):
-            changes.append((np.concatenate((gone, come)), np.concatenate((np.ones(len(gone)), -np.ones(len(come))))))
+    changes = [(np.concatenate((gone, come)), np.concatenate((np.ones(len(gone)), -np.ones(len(come))))) for gone, come in swaps if len(gone) + len(come)]
     order = np.arange(len(rows))
     for _ in range(epochs):
         rng.shuffle(order)
@@ -133,12 +197,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, swap
             change = np.bincount(owner, w[place] * sign, len(own))
             step(at, w, np.bincount(place, 2 * penalty * change[owner] * sign, len(at)))
     every = weights(np.arange(n + 1))
-    return Model(every[:n].astype(np.float32), float(every[n]))
+    return Model(every[:n].astype(np.float32), float(every[n]), len(changes))
 
 
-def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: float = 4.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] | None = None, penalty: float = 4.0) -> Model:
     """Fit on rows of ``labels`` (doc_id, toxic) whose document is not held out, at most MAX_ROWS_PER_CLASS of each class.
 
+    The terms that are swapped are those given, or IDENTITY_TERMS and the pairs that ``interchangeable_terms`` finds in these rows.
     Only these rows' features, a bounded number, come to the driver. Rows with a null doc_id or label are not used; of several
     labels of a document the highest counts. Without any label all documents score one half.
     """
@@ -148,24 +213,27 @@ def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: flo
     picks = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS_PER_CLASS) for c in (0, 1)]
     picked = picks[0].unionByName(picks[1])
 
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
+    rows = written(rows, "labelled")
+    if terms is None:
+        terms = IDENTITY_TERMS + interchangeable_terms(rows)
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            swaps = [swapped_sentences(t, terms) for t in texts]
-            pairs = pa.list_(pa.list_(pa.int32()))
+        lists = pa.list_(pa.list_(pa.int32()))
+        for part in parts(batches, 2):
+            features, gone, come = [], [], []
+            for text in part.column(2).to_pylist():
+                features.append(text_features(text or ""))
+                swaps = sorted(swapped_sentences(text or "", terms), key=lambda s: (zlib.crc32(s[0].encode("utf-8", "surrogatepass")), s[0]))[:SWAPS_PER_ROW]
+                both = [(text_features(a), text_features(b)) for a, b in swaps]
+                gone.append([np.setdiff1d(a, b).tolist() for a, b in both])
+                come.append([np.setdiff1d(b, a).tolist() for a, b in both])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([text_features(t) for t in texts], pa.list_(pa.int32())),
-                    pa.array([[text_features(a).tolist() for a, _ in s] for s in swaps], pairs),
-                    pa.array([[text_features(b).tolist() for _, b in s] for s in swaps], pairs),
-                ],
-                names=["doc_id", "toxic", "features", "before", "after"],
+                [part.column(0), part.column(1), pa.array(features, pa.list_(pa.int32())), pa.array(gone, lists), pa.array(come, lists)],
+                names=["doc_id", "toxic", "features", "gone", "come"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    schema = "doc_id long, toxic int, features array<int>, before array<array<int>>, after array<array<int>>"
+    schema = "doc_id long, toxic int, features array<int>, gone array<array<int>>, come array<array<int>>"
     table = rows.mapInArrow(job, schema).toArrow().combine_chunks()
     if not table.num_rows:
         return Model(np.zeros(1 << BITS, np.float32), 0.0)
@@ -176,12 +244,14 @@ def learn(docs: DataFrame, labels: DataFrame, terms=IDENTITY_TERMS, penalty: flo
     features = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     swaps = [
         (np.array(a, np.int32), np.array(b, np.int32))
-        for before, after in zip(table.column("before").to_pylist(), table.column("after").to_pylist(), strict=True)
-        for a, b in zip(before, after, strict=True)
+        for gone, come in zip(table.column("gone").to_pylist(), table.column("come").to_pylist(), strict=True)
+        for a, b in zip(gone, come, strict=True)
     ]
     total = sum(sizes.values())
     share = np.array([sizes.get(c, 0) / total / max(1, (y == c).sum()) for c in (0, 1)]) * len(y)  # classes weigh as in all labels
-    return fit(features, y, share[y.astype(int)], swaps, penalty)
+    model = fit(features, y, share[y.astype(int)], swaps, penalty)
+    model.terms = terms
+    return model
 
 
 def held_out(doc_id: str):
@@ -189,7 +259,7 @@ def held_out(doc_id: str):
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with score (0 to 1, from the whole text alone). A null text scores as an empty one."""
+    """All columns of ``docs`` with score (0 to 1, from the whole text alone), which replaces a caller's score. A null text scores as an empty one."""
     weights = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS floats
 
     @F.pandas_udf("double")

@@ -1,9 +1,52 @@
+import random
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ratefid.llm.toxicity import Model, fit, learn, op1_toxicity, swapped_sentences, text_features, toxicity
+from ratefid.llm.toxicity import IDENTITY_TERMS, Model, fit, interchangeable_terms, learn, op1_toxicity, swapped_sentences, text_features, toxicity
+
+
+def changed(a, b):
+    a, b = text_features(a), text_features(b)
+    return np.setdiff1d(a, b), np.setdiff1d(b, a)
+
+
+def test_neutral_mentions_are_left_alone(spark):
+    """In the labels one group is mostly named in insults; the penalty takes away what that makes of neutral mentions, and no recall."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(300)]
+    text = lambda group, insult: " ".join([*rng.choices(words, k=12), "the", group, "family", *([insult] if insult else []), *rng.choices(words, k=12)])
+    rows = [(i, text(rng.choices(["muslim", "christian"], [0.9, 0.1] if i % 2 else [0.02, 0.98])[0], rng.choice(["scum", "vermin"]) if i % 2 and rng.random() < 0.7 else None), i % 2) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    neutral = [text("muslim", None) for _ in range(200)]
+    rude = [text(g, "scum") for g in ("muslim", "christian") for _ in range(100)]
+    wrong, caught = {}, {}
+    for penalty in (0.0, 4.0):
+        m = learn(docs, docs, IDENTITY_TERMS, penalty)
+        assert m.n_swaps > 500
+        wrong[penalty] = np.mean([m.score(text_features(t)) >= 0.5 for t in neutral])
+        caught[penalty] = np.mean([m.score(text_features(t)) >= 0.5 for t in rude])
+    assert wrong[0.0] > 0.9 and wrong[4.0] < 0.2 and caught[4.0] > 0.95
+
+
+def test_the_registered_query_swaps_terms_and_scores_as_counted_by_hand(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    model = learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    assert model.n_swaps > 100 and len(model.terms) > len(IDENTITY_TERMS)
+    got = {r.doc_id: r.score for r in op1_toxicity(spark, d).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        total = model.bias + sum(float(model.weights[f]) for f in set(text_features(r.text or "").tolist()))
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def test_terms_are_words_in_the_same_places_without_a_class(spark):
+    rng = random.Random(1)
+    rows = [(i % 2, " ".join(f"{rng.choice(['red', 'blue'])} {rng.choice(['fox', 'hen'])} {'bad' if i % 2 else 'good'} ran" for _ in range(20))) for i in range(300)]
+    pairs = {frozenset(p) for p in interchangeable_terms(spark.createDataFrame(rows, "toxic int, text string"))}
+    assert frozenset(("red", "blue")) in pairs and frozenset(("fox", "hen")) in pairs and not any({"bad", "good"} & p for p in pairs)
+    assert interchangeable_terms(spark.createDataFrame([], "toxic int, text string")) == ()
 
 
 def test_held_out_accuracy(spark):
@@ -20,7 +63,7 @@ def test_swapping_groups_changes_little(spark):
     kind = [f"the christian neighbour brought warm bread {i}" for i in range(40)]
     texts, y = rude + kind, np.array([1.0] * len(rude) + [0.0] * len(kind))
     rows = [text_features(t) for t in texts]
-    swaps = [(text_features(a), text_features(b)) for t in texts for a, b in swapped_sentences(t)]
+    swaps = [changed(a, b) for t in texts for a, b in swapped_sentences(t)]
     gap = {}
     for penalty in (0.0, 4.0):
         m = fit(rows, y, np.ones(len(y)), swaps, penalty)
