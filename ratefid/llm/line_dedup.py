@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, join_counted, new_path, written
+from .common import documents, join_counted, new_path, parts, written
+from .shingles import BLANKS, SMALL
 
 SLOTS = 4
 KICKS = 500
@@ -78,13 +80,16 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    """128 bits of the line without outer blanks, A-Z made small."""
-    return F.unhex(F.md5(ascii_lower(bare(line))))
-
-
-def bare(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+def line_keys(text: str, least: int) -> dict[bytes, list[int]]:
+    """128 bits of each line without outer blanks, A-Z made small, that has ``least`` code points: its places in the text."""
+    held: dict[bytes, list[int]] = {}
+    for place, line in enumerate(text.encode("utf-8", "surrogatepass").translate(SMALL).split(b"\n")):
+        if len(line) >= least:
+            line = line.strip(BLANKS)
+            # A code point has four bytes at most.
+            if len(line) >= 4 * least or len(line) >= least and len(line.decode("utf-8", "surrogatepass")) >= least:
+                held.setdefault(md5(line).digest(), []).append(place)
+    return held
 
 
 def _hash64(keys: pd.Series) -> np.ndarray:
@@ -96,21 +101,43 @@ class LineIndex:
 
     The log has a row (shard, key, doc_id, delta) for each document that came (+1) or went (-1) with a line; its sums are the
     exact reference counts. For each shard of the keys there is a cuckoo filter with the keys that at least ``min_docs``
-    documents hold; it settles most lines of a document without the counts, and what it lets through is checked with them. Shards are
-    as many as keep one filter and the lines that ask it small; their number is fixed when the index is made.
+    documents hold; it settles most lines of a document without the counts, and what it lets through is checked with them.
+
+    A batch only counts the keys that it has anew: the log is sorted by shard, so of the older batches the pages of other shards
+    are not read, and filters of shards without a change are left. Shards are as many as keep one filter and the lines that ask
+    it small; their number is fixed when the index is made.
     """
 
+    LOG = "shard int, key binary, doc_id long, delta int"
+
     def __init__(self, spark: SparkSession, shards: int, min_docs: int = 3, min_chars: int = 20):
         self.spark, self.shards, self.min_docs, self.min_chars = spark, shards, min_docs, min_chars
         self.log_path = new_path(spark, "line-log")
+        self.batches = 0
         self.refs: DataFrame | None = None
         self.filters: DataFrame | None = None
 
     def keys(self, docs: DataFrame) -> DataFrame:
-        """doc_id, row (a hash of the text), pos, shard, key of each line that is long enough."""
-        lines = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-        lines = lines.where(F.length(bare(F.col("line"))) >= self.min_chars).select("doc_id", "row", "pos", line_key(F.col("line")).alias("key"))
-        return lines.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int"))
+        """doc_id, row (a hash of the text), shard, key and places of each distinct line of a text that is long enough."""
+        shards, least = self.shards, self.min_chars
+
+        def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in parts(batches, 2, 1 << 22):
+                owner, keys, places = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    held = line_keys(text or "", least)
+                    owner += [i] * len(held)
+                    keys += held.keys()
+                    places += held.values()
+                shard = np.frombuffer(b"".join(keys), np.dtype("<u8"))[::2] % np.uint64(shards)
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(shard.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(places, pa.list_(pa.int32()))],
+                    names=["doc_id", "row", "shard", "key", "places"],
+                )
+
+        rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
+        return rows.mapInArrow(job, "doc_id long, row long, shard int, key binary, places array<int>")
 
     def insert(self, docs: DataFrame) -> None:
         self._apply(docs, 1)
@@ -119,37 +146,56 @@ class LineIndex:
         """Take back documents that were inserted, with the texts that they had then."""
         self._apply(docs, -1)
 
+    def _log(self, batches: str) -> DataFrame:
+        return self.spark.read.schema(self.LOG).parquet(f"{self.log_path}/{batches}")
+
     def _apply(self, docs: DataFrame, delta: int) -> None:
         new = self.keys(docs).where("doc_id IS NOT NULL").select("shard", "key", "doc_id").distinct().withColumn("delta", F.lit(delta))
-        new.write.mode("append").parquet(self.log_path)
-        log = self.spark.read.schema("shard int, key binary, doc_id long, delta int").parquet(self.log_path)
+        new.sortWithinPartitions("shard").write.parquet(f"{self.log_path}/{self.batches}")
+        log, old, had = self._log("*"), self.refs, self.filters
+        if self.batches:
+            asked = self._log(str(self.batches)).select("shard", "key").distinct()
+            log = self._of_shards(log, asked).join(asked, ["shard", "key"], "left_semi")
+            same, old = old.join(asked, ["shard", "key"], "left_anti"), old.join(asked, ["shard", "key"], "left_semi")
         held = log.groupBy("shard", "key", "doc_id").agg(F.sum("delta").alias("held")).where("held > 0")
         refs = held.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         refs = written(refs.where(F.col("n_docs") >= self.min_docs), "line-refs")
-        old = self.refs if self.refs is not None else self.spark.createDataFrame([], refs.schema)
-        gained = refs.join(old, ["shard", "key"], "left_anti").select("shard", "key", F.lit(1).alias("delta"))
-        lost = old.join(refs, ["shard", "key"], "left_anti").select("shard", "key", F.lit(-1).alias("delta"))
-        have = self.filters if self.filters is not None else self.spark.createDataFrame([], "shard int, filter binary")
-        changed = gained.unionByName(lost).groupBy("shard").cogroup(have.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary, full boolean")
+        one = lambda rows, n: rows.select("shard", "key", F.lit(n).alias("delta"))
+        if self.batches:
+            changes = one(refs.join(old, ["shard", "key"], "left_anti"), 1).unionByName(one(old.join(refs, ["shard", "key"], "left_anti"), -1))
+            changes = written(changes, "line-changes")
+            touched = changes.select("shard").distinct()
+            rest, had = had.join(touched, "shard", "left_anti"), had.join(touched, "shard", "left_semi")
+        else:
+            changes, had = one(refs, 1), self.spark.createDataFrame([], "shard int, filter binary")
+        changed = changes.groupBy("shard").cogroup(had.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary, full boolean")
         changed = written(changed, "line-filters")
+        every = written(same.unionByName(refs), "line-refs") if self.batches else refs
         good = changed.where("NOT full").drop("full")
         if not changed.where("full").isEmpty():  # these are made anew from the exact counts
-            again = refs.join(changed.where("full").select("shard"), "shard", "left_semi").select("shard", "key", F.lit(1).alias("delta"))
+            again = one(every.join(changed.where("full").select("shard"), "shard", "left_semi"), 1)
             none = self.spark.createDataFrame([], "shard int, filter binary")
             made = again.groupBy("shard").cogroup(none.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary, full boolean")
             good = written(good.unionByName(made.drop("full")), "line-filters")
-        self.refs, self.filters = refs, good
+        self.refs, self.filters = every, written(rest.unionByName(good), "line-filters") if self.batches else good
+        self.batches += 1
+
+    def _of_shards(self, log: DataFrame, asked: DataFrame) -> DataFrame:
+        """The log's rows of the shards that ``asked`` has, by a filter that reaches the scan if these are few."""
+        few = [r.shard for r in asked.select("shard").distinct().limit(1_001).collect()]
+        return log.where(F.col("shard").isin(few)) if len(few) <= 1_000 else log
 
     def dropped(self, docs: DataFrame) -> DataFrame:
-        """doc_id, row and pos of each line of ``docs`` that goes."""
+        """doc_id, row and places of each distinct line of ``docs`` that goes."""
         refs = self.refs.select("key", "n_docs", "last_doc")
         total = refs.agg(F.sum("n_docs")).first()[0] or 0
         hot = refs.where(F.col("n_docs") > max(1_000, total // 10_000)).select("key", F.lit(True).alias("hot"))
         lines = self.keys(docs).join(F.broadcast(hot), "key", "left")  # at most 10,000 keys; the filters need not be asked about them
-        asked = lines.where("hot IS NULL").drop("hot").groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInArrow(_probe, "doc_id long, row long, pos int, key binary")
-        known = lines.where("hot").select("doc_id", "row", "pos", "key")
+        asked = lines.where("hot IS NULL").drop("hot").groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        asked = asked.applyInArrow(_probe, "doc_id long, row long, key binary, places array<int>")
+        known = lines.where("hot").select("doc_id", "row", "key", "places")
         found = join_counted(asked.unionByName(known), refs, "key", "n_docs", "doc_id").where("n_docs IS NOT NULL")
-        return found.where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "row", "pos")
+        return found.where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).select("doc_id", "row", "places")
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """``docs`` with kept (the lines that stay, in an array), n_lines and n_dropped; columns of these names are replaced.
@@ -157,18 +203,18 @@ class LineIndex:
         Null and empty texts are one empty line. A row without doc_id counts for no line and loses each that goes elsewhere;
         rows that share a doc_id are one document, and each loses its own lines. No rows give no rows.
         """
-        gone = self.dropped(docs).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("_gone"))
-        gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone")
-        same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_row"))
-        out = docs.join(gone, same, "left").withColumn("_lines", lines_of(docs["text"]))
-        places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-        kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.get(F.col("_lines"), i)))
-        return out.select(
-            *[docs[c] for c in docs.columns if c not in ("kept", "n_lines", "n_dropped")],
-            kept.alias("kept"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size(F.when(F.col("_gone").isNotNull(), F.col("_gone"))), F.lit(0)).cast("long").alias("n_dropped"),
-        )
+        gone = self.dropped(docs).groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("gone"))
+        own = docs.select(F.struct("*").alias("caller"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_row"), lines_of(F.col("text")).alias("lines"))
+        out = own.join(gone, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row")), "left")
+        places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+        kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.get(F.col("lines"), i)))
+        facts = {
+            "kept": kept,
+            "n_lines": F.size("lines").cast("long"),
+            "n_dropped": F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long"),
+        }
+        out = out.select("caller", F.struct(*[c.alias(k) for k, c in facts.items()]).alias("facts"))
+        return out.select(*[F.col("caller").getField(c).alias(c) for c in docs.columns if c not in facts], "facts.*")
 
 
 def _updated(key, changes: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +226,7 @@ def _updated(key, changes: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
 
 
 def _probe(key, lines: pa.Table, filters: pa.Table) -> pa.Table:
-    out = lines.select(["doc_id", "row", "pos", "key"])
+    out = lines.select(["doc_id", "row", "key", "places"])
     if not filters.num_rows or not lines.num_rows:
         return out.slice(0, 0)
     held = CuckooFilter.load(filters.column("filter")[0].as_py())
@@ -193,6 +239,7 @@ def shards_for(docs: DataFrame) -> int:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated lines; null texts, repeats and rows without doc_id as ``LineIndex.dedup`` says."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     index = LineIndex(spark, shards_for(docs))
     index.insert(docs)
