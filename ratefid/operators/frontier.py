@@ -25,6 +25,8 @@ def parse_levels(text: str) -> tuple[float, ...]:
 
 def independent_frontier(states: DataFrame, levels: tuple[float, ...], n: int, key: str = "doc_id") -> DataFrame:
     """The cheapest state of each (example, level): fewest tokens, then packets, then the smallest tuple; unreachable levels have nulls."""
+    if "mask" not in states.columns:
+        return _frontier_of_arrays(states, levels, n, key)
     good = F.col("fidelity") >= F.col("level")
     order = F.struct("tokens", "size", lexicographic(F.col("mask"), n).alias("lex"))
     best = F.min_by(F.struct("tokens", "mask", "fidelity"), F.when(good, order))
@@ -33,6 +35,20 @@ def independent_frontier(states: DataFrame, levels: tuple[float, ...], n: int, k
     return out.select(key, "level_id", "level", "feasible", "b.tokens", "b.mask", F.col("b.fidelity").alias("fidelity"))
 
 
+def _frontier_of_arrays(lattices: DataFrame, levels: tuple[float, ...], n: int, key: str) -> DataFrame:
+    """The same from arrays by mask, inside each example's row."""
+    every = F.transform(
+        F.arrays_zip("tokens", "fidelity"),
+        lambda x, m: F.struct(x["tokens"].alias("tokens"), F.bit_count(m).alias("size"), lexicographic(m, n).alias("lex"), m.alias("mask"), x["fidelity"].alias("fidelity")),
+    )
+    rows = lattices.select(key, F.inline(F.array(F.struct(every.alias("every")))))
+    reaching = lambda level: lambda x: x["fidelity"] >= level
+    best = [F.array_min(F.filter("every", reaching(level))) for level in levels]
+    grid = F.array(*[F.struct(F.lit(i).alias("level_id"), F.lit(float(x)).alias("level"), b.alias("b")) for i, (x, b) in enumerate(zip(levels, best, strict=True))])
+    rows = rows.select(key, F.inline(grid))
+    return rows.select(key, "level_id", "level", F.col("b").isNotNull().alias("feasible"), "b.tokens", "b.mask", F.col("b.fidelity").alias("fidelity"))
+
+
 def tied_optima(states: DataFrame, levels: tuple[float, ...], key: str = "doc_id") -> DataFrame:
     """All states of least tokens at each level."""
     good = at_levels(states, levels).where("fidelity >= level")

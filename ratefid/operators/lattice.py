@@ -46,7 +46,9 @@ def ternary_lattice(examples: DataFrame, n: int) -> DataFrame:
 
 
 def dense(states: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per example: arrays of tokens and fidelity indexed by mask."""
+    """One row per example: arrays of tokens and fidelity indexed by mask. A table that has these already is taken as it is."""
+    if "mask" not in states.columns:
+        return states.select(key, "tokens", "fidelity")
     rows = states.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("mask", "tokens", "fidelity"))).alias("s"))
     return rows.select(key, F.col("s.tokens").alias("tokens"), F.col("s.fidelity").alias("fidelity"))
 

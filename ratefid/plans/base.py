@@ -1,7 +1,8 @@
 """The engine's inputs derived from the driver tables: sentences, packets, questions, scored states, orders and their like.
 
-Every text counts whole: a document's sentences fall into N_PACKETS packets of neighbours. The DuckDB form of each table
-is in ``ratefid.plans.sql``.
+Every text counts whole: a document's sentences fall into N_PACKETS packets of neighbours, some of them empty where there are
+fewer sentences. All that concerns one document is worked out in its row of the scan, from arrays, so a lattice of states needs no
+shuffle. The DuckDB form of each table is in ``ratefid.plans.sql``.
 """
 
 from __future__ import annotations
@@ -36,16 +37,31 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("tokens", F.size(terms(F.col("sentence"))).cast("long"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns worked out once for a row: a generator of one row, which the optimizer does not copy into the lambdas that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+
+
 def packet_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences(spark, sf_dir).where(F.col("n") >= N_PACKETS)
-    return rows.withColumn("packet_id", F.floor(F.col("idx") * N_PACKETS / F.col("n")).cast("int"))
+    return sentences(spark, sf_dir).withColumn("packet_id", F.floor(F.col("idx") * N_PACKETS / F.col("n")).cast("int"))
+
+
+def _ids() -> Column:
+    return F.sequence(F.lit(0), F.lit(N_PACKETS - 1))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, parts: of each packet its sentences."""
+    docs = _once(table(spark, sf_dir, "documents").select("doc_id", "text"), s=sentence_array(F.col("text"))).drop("text")
+    low = lambda p: F.ceil(p * F.size("s") / N_PACKETS).cast("int")
+    return _once(docs, parts=F.transform(_ids(), lambda p: F.slice("s", low(p) + 1, low(p + 1) - low(p)))).select("doc_id", "parts")
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, packet_id, text, tokens."""
-    parts = F.array_sort(F.collect_list(F.struct("idx", "sentence")))
-    out = packet_sentences(spark, sf_dir).groupBy("doc_id", "packet_id").agg(parts.alias("p"), F.sum("tokens").alias("tokens"))
-    return out.select("doc_id", "packet_id", F.array_join(F.transform("p", lambda x: x["sentence"]), ".").alias("text"), "tokens")
+    """doc_id, packet_id, text, tokens: N_PACKETS of each document."""
+    rows = _packed(spark, sf_dir).select("doc_id", F.posexplode("parts").alias("packet_id", "p"))
+    tokens = F.aggregate(F.transform("p", lambda x: F.size(terms(x)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", "packet_id", F.array_join("p", ".").alias("text"), tokens.alias("tokens"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,36 +76,49 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (F.col("doc_id") % F.col("n_items")).alias("item_id"))
 
 
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, asked (the distinct terms of its question), words and held (of each packet the terms, and the distinct ones)."""
+    wanted = questions(spark, sf_dir).select("item_id", F.array_distinct(terms(F.col("question"))).alias("asked")).where(F.size("asked") > 0)
+    items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1)).alias("n_items"))
+    docs = _packed(spark, sf_dir).join(F.broadcast(items)).withColumn("item_id", F.col("doc_id") % F.col("n_items")).join(wanted, "item_id")
+    docs = _once(docs, words=F.transform("parts", lambda x: F.flatten(F.transform(x, terms))))
+    return _once(docs, held=F.transform("words", F.array_distinct)).select("doc_id", "asked", "words", "held")
+
+
 def packet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, term, mask of the packets that hold it, and whether the question has it."""
-    rows = packet_sentences(spark, sf_dir).select("doc_id", "packet_id", F.explode(F.array_distinct(terms(F.col("sentence")))).alias("term"))
-    held = rows.groupBy("doc_id", "term").agg(F.bit_or(F.expr("shiftleft(1, packet_id)")).alias("mask"))
-    wanted = questions(spark, sf_dir).select("item_id", F.explode(F.array_distinct(terms(F.col("question")))).alias("term"), F.lit(1).alias("is_q"))
-    held = held.join(asked(spark, sf_dir), "doc_id").join(wanted, ["item_id", "term"], "left")
-    return held.select("doc_id", "term", "mask", F.coalesce("is_q", F.lit(0)).alias("is_q"))
+    """doc_id, term, mask of the packets that hold it: the terms of the document's question that it has."""
+    rows = _worded(spark, sf_dir).select("doc_id", "held", F.explode("asked").alias("term"))
+    mask = F.aggregate(F.transform("held", lambda w, p: F.when(F.array_contains(w, F.col("term")), F.pow(F.lit(2), p).cast("int")).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return rows.select("doc_id", "term", mask.alias("mask")).where("mask > 0")
+
+
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, overlaps (question terms of each packet), and of all 2**N_PACKETS states by mask: tokens, fidelity (F1 of the distinct
+    terms against the question's) and recall."""
+    docs = _worded(spark, sf_dir)
+    docs = _once(docs, costs=F.transform("words", lambda w: F.size(w).cast("long")), hits=F.transform("held", lambda w: F.array_intersect(w, F.col("asked"))))
+    inside = lambda m, p: m.bitwiseAND(F.pow(F.lit(2), p).cast("int")) != 0
+    union = lambda lists, m: F.size(F.array_distinct(F.flatten(F.filter(lists, lambda w, p: inside(m, p)))))
+    masks = F.sequence(F.lit(0), F.lit(N_STATES - 1))
+    docs = _once(
+        docs,
+        tokens=F.transform(masks, lambda m: F.aggregate(F.filter("costs", lambda c, p: inside(m, p)), F.lit(0).cast("long"), lambda a, c: a + c)),
+        n=F.transform(masks, lambda m: union(F.col("held"), m)),
+        q=F.transform(masks, lambda m: union(F.col("hits"), m)),
+        n_q=F.size("asked"),
+    )
+    return _once(
+        docs,
+        overlaps=F.transform("hits", lambda h: F.size(h)),
+        fidelity=F.zip_with("q", "n", lambda q, n: F.lit(2.0) * q / (n + F.col("n_q"))),
+        recall=F.transform("q", lambda q: q / F.col("n_q")),
+    ).select("doc_id", "overlaps", "tokens", "fidelity", "recall")
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, mask, size, tokens, fidelity (F1 of the distinct terms against the question's) and recall of all 2**N_PACKETS states."""
-    held = packet_terms(spark, sf_dir).groupBy("doc_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("is_q").alias("q"))
-    held = held.groupBy("doc_id").agg(F.collect_list(F.struct("mask", "n", "q")).alias("held"))
-    sizes = packets(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("packet_id", "tokens")).alias("sizes"))
-    wanted = questions(spark, sf_dir).select("item_id", F.size(F.array_distinct(terms(F.col("question")))).alias("n_q"))
-    rows = held.join(sizes, "doc_id").join(asked(spark, sf_dir), "doc_id").join(wanted, "item_id")
-    rows = rows.withColumn("mask", F.explode(F.sequence(F.lit(0), F.lit(N_STATES - 1))))
-    zero = F.lit(0).cast("long")
-    hit = F.filter("held", lambda h: h["mask"].bitwiseAND(F.col("mask")) != 0)
-    count = lambda field: F.aggregate(hit, zero, lambda a, h: a + h[field])
-    used = F.filter("sizes", lambda s: F.expr("mask").bitwiseAND(F.pow(F.lit(2), s["packet_id"]).cast("int")) != 0)
-    rows = rows.select("doc_id", "mask", F.aggregate(used, zero, lambda a, s: a + s["tokens"]).alias("tokens"), count("n").alias("n"), count("q").alias("q"), "n_q")
-    return rows.select(
-        "doc_id",
-        "mask",
-        F.bit_count("mask").alias("size"),
-        "tokens",
-        (F.lit(2.0) * F.col("q") / (F.col("n") + F.col("n_q"))).alias("fidelity"),
-        (F.col("q") / F.col("n_q")).alias("recall"),
-    )
+    """doc_id, mask, size, tokens, fidelity and recall of all 2**N_PACKETS states."""
+    rows = lattice(spark, sf_dir).select("doc_id", F.posexplode(F.arrays_zip("tokens", "fidelity", "recall")).alias("mask", "x"))
+    return rows.select("doc_id", "mask", F.bit_count("mask").alias("size"), "x.tokens", "x.fidelity", "x.recall")
 
 
 def level_table(spark: SparkSession, levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -97,34 +126,38 @@ def level_table(spark: SparkSession, levels: tuple[float, ...] = LEVELS) -> Data
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(levels)], "level_id int, level double")
 
 
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice with arm and its order, an array of packets; a row for each arm."""
+    key = lambda p: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), p.cast("string")), 256)
+    sort = lambda first: F.transform(F.array_sort(F.transform(_ids(), lambda p: F.struct(first(p).alias("k"), p.alias("p")))), lambda x: x["p"])
+    arms = F.array(
+        F.struct(F.lit("learned").alias("arm"), sort(lambda p: -F.get(F.col("overlaps"), p)).alias("order")),
+        F.struct(F.lit("control").alias("arm"), sort(key).alias("order")),
+    )
+    return lattice(spark, sf_dir).select("*", F.inline(arms))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, arm, pos, packet_id: packets by falling overlap with the question ("learned"), and by a hash ("control")."""
-    overlap = packet_terms(spark, sf_dir).where("is_q = 1").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(N_PACKETS - 1))).alias("packet_id"), "mask")
-    overlap = overlap.where(F.expr("mask & shiftleft(1, packet_id)") != 0).groupBy("doc_id", "packet_id").agg(F.count(F.lit(1)).alias("overlap"))
-    rows = packets(spark, sf_dir).select("doc_id", "packet_id").join(overlap, ["doc_id", "packet_id"], "left")
-    from pyspark.sql import Window
-
-    learned = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc(F.coalesce("overlap", F.lit(0))), "packet_id"))
-    key = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("packet_id").cast("string")), 256)
-    control = F.row_number().over(Window.partitionBy("doc_id").orderBy(key))
-    each = [rows.select("doc_id", F.lit(arm).alias("arm"), (at - 1).alias("pos"), "packet_id") for arm, at in (("learned", learned), ("control", control))]
-    return each[0].unionByName(each[1])
+    return _ordered(spark, sf_dir).select("doc_id", "arm", F.posexplode("order").alias("pos", "packet_id"))
 
 
 def prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, arm, depth (0 to N_PACKETS), mask, tokens, fidelity, recall: the states that an order passes."""
-    from pyspark.sql import Window
+    return _walked(spark, sf_dir).drop("best")
+
 
-    run = Window.partitionBy("doc_id", "arm").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = orders(spark, sf_dir).withColumn("mask", F.sum(F.expr("shiftleft(1, packet_id)")).over(run).cast("int"))
-    rows = rows.select("doc_id", "arm", (F.col("pos") + 1).alias("depth"), "mask")
-    start = rows.where("depth = 1").select("doc_id", "arm", F.lit(0).alias("depth"), F.lit(0).alias("mask"))
-    return rows.unionByName(start).join(states(spark, sf_dir).drop("size"), ["doc_id", "mask"])
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = F.aggregate("order", F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.pow(F.lit(2), p).cast("int"))))
+    rows = _once(_ordered(spark, sf_dir), best=F.array_max("fidelity"), masks=run)
+    rows = rows.select("doc_id", "arm", "best", "tokens", "fidelity", "recall", F.posexplode("masks").alias("depth", "mask"))
+    at = lambda c: F.get(c, F.col("mask")).alias(c)
+    return rows.select("doc_id", "arm", "depth", "mask", at("tokens"), at("fidelity"), at("recall"), "best")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, arm, depth, level_id, level, tokens, active (the level is reachable), hit (null where it is not active)."""
-    best = states(spark, sf_dir).groupBy("doc_id").agg(F.max("fidelity").alias("best"))
-    rows = prefixes(spark, sf_dir).join(best, "doc_id").join(F.broadcast(level_table(spark)))
+    grid = F.array(*[F.struct(F.lit(i).alias("level_id"), F.lit(float(x)).alias("level")) for i, x in enumerate(LEVELS)])
+    rows = _walked(spark, sf_dir).select("*", F.inline(grid))
     active = F.col("best") >= F.col("level")
     return rows.select("doc_id", "arm", "depth", "level_id", "level", "tokens", active.alias("active"), F.when(active, F.col("fidelity") >= F.col("level")).alias("hit"))

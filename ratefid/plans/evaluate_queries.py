@@ -126,7 +126,7 @@ def i20_depth_histogram(spark, sf_dir):
 @query("""o AS (SELECT doc_id, level_id, mask AS oracle, tokens AS oracle_tokens FROM chain), p AS (SELECT doc_id, arm, depth, mask, tokens FROM prefixes WHERE depth = 3)
 SELECT arm, level_id, avg(bit_count(mask & ~oracle & 63)::INT) AS extra, avg(bit_count(oracle & ~mask & 63)::INT) AS missing, avg(tokens - oracle_tokens) AS excess FROM p JOIN o USING (doc_id) GROUP BY ALL""")
 def i21_regret_decomposition(spark, sf_dir):
-    oracle = fr.nested_chain(base.states(spark, sf_dir), LEVELS, N).select("doc_id", "level_id", F.col("mask").alias("oracle"), F.col("tokens").alias("oracle_tokens"))
+    oracle = fr.nested_chain(base.lattice(spark, sf_dir), LEVELS, N).select("doc_id", "level_id", F.col("mask").alias("oracle"), F.col("tokens").alias("oracle_tokens"))
     rows = base.prefixes(spark, sf_dir).where("depth = 3").join(oracle, "doc_id")
     only = lambda a, b: F.avg(F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))))
     return rows.groupBy("arm", "level_id").agg(only("mask", "oracle").alias("extra"), only("oracle", "mask").alias("missing"), F.avg(F.col("tokens") - F.col("oracle_tokens")).alias("excess"))
@@ -223,7 +223,7 @@ def g29_counterfactual_pairs(spark, sf_dir):
 SELECT doc_id, bool_or(x = y) AS cyclic FROM r GROUP BY doc_id""".replace("e AS", "RECURSIVE e AS", 1))
 def g21_cycle_test(spark, sf_dir):
     """Transitive closure by doubling: N packets need at most ceil(log2 N) joins."""
-    members = fr.chain_membership(base.states(spark, sf_dir), LEVELS, N, (0.02,))
+    members = fr.chain_membership(base.lattice(spark, sf_dir), LEVELS, N, (0.02,))
     edges = fr.precedence(members, N).groupBy("doc_id").agg(F.collect_set(F.struct("winner", "loser")).alias("e"))
     reach = edges.withColumn("r", F.col("e"))
     for _ in range(3):

@@ -41,6 +41,10 @@ def _states(spark, sf_dir):
     return base.states(spark, sf_dir)
 
 
+def _lattice(spark, sf_dir):
+    return base.lattice(spark, sf_dir)
+
+
 @query("SELECT doc_id, printf('%d%d%d%d', d1, d2, d3, d4) AS state FROM documents, (SELECT a.range AS d1, b.range AS d2, c.range AS d3, d.range AS d4 FROM range(3) a, range(3) b, range(3) c, range(3) d)")
 def e01_ternary_lattice(spark, sf_dir):
     rows = lt.ternary_lattice(base.table(spark, sf_dir, "documents").select("doc_id"), 4)
@@ -83,13 +87,13 @@ def e10_profile_by_family(spark, sf_dir):
 
 @query("SELECT doc_id, hi AS mask, min(tokens) AS least FROM states s JOIN pairs ON s.mask = lo AND fidelity >= 0.05 GROUP BY doc_id, hi")
 def e12_subset_minimum(spark, sf_dir):
-    df = lt.dense(_states(spark, sf_dir)).withColumn("v", F.zip_with("tokens", "fidelity", lambda t, f: F.when(f >= 0.05, t).otherwise(F.lit(fr.FAR))))
+    df = lt.dense(_lattice(spark, sf_dir)).withColumn("v", F.zip_with("tokens", "fidelity", lambda t, f: F.when(f >= 0.05, t).otherwise(F.lit(fr.FAR))))
     return lt.zeta(df, "v", N).select("doc_id", F.posexplode("v").alias("mask", "least")).where(F.col("least") < fr.FAR)
 
 
 @query("SELECT doc_id, lo AS mask, min(tokens) AS least FROM states s JOIN pairs ON s.mask = hi AND fidelity >= 0.05 GROUP BY doc_id, lo")
 def e12_superset_minimum(spark, sf_dir):
-    df = lt.dense(_states(spark, sf_dir)).withColumn("v", F.zip_with("tokens", "fidelity", lambda t, f: F.when(f >= 0.05, t).otherwise(F.lit(fr.FAR))))
+    df = lt.dense(_lattice(spark, sf_dir)).withColumn("v", F.zip_with("tokens", "fidelity", lambda t, f: F.when(f >= 0.05, t).otherwise(F.lit(fr.FAR))))
     return lt.zeta(df, "v", N, down=False).select("doc_id", F.posexplode("v").alias("mask", "least")).where(F.col("least") < fr.FAR)
 
 
@@ -108,7 +112,7 @@ def f02_attainable_levels(spark, sf_dir):
 
 @query("SELECT * FROM frontier")
 def f03_independent_frontier(spark, sf_dir):
-    return fr.independent_frontier(_states(spark, sf_dir), LEVELS, N)
+    return fr.independent_frontier(_lattice(spark, sf_dir), LEVELS, N)
 
 
 @query("SELECT * FROM optima")
@@ -127,19 +131,19 @@ def f05_nested_pairs(spark, sf_dir):
 
 @query("SELECT * FROM chain")
 def f07_nested_chain(spark, sf_dir):
-    return fr.nested_chain(_states(spark, sf_dir), LEVELS, N)
+    return fr.nested_chain(_lattice(spark, sf_dir), LEVELS, N)
 
 
 @query("SELECT f.doc_id, f.level_id, f.feasible, f.tokens, f.mask, c.tokens AS nested_tokens, c.mask AS nested_mask, c.cumulative FROM frontier f LEFT JOIN chain c USING (doc_id, level_id)")
 def f08_both_frontiers(spark, sf_dir):
-    s = _states(spark, sf_dir)
+    s = _lattice(spark, sf_dir)
     chain = fr.nested_chain(s, LEVELS, N).select("doc_id", "level_id", F.col("tokens").alias("nested_tokens"), F.col("mask").alias("nested_mask"), "cumulative")
     return fr.independent_frontier(s, LEVELS, N).select("doc_id", "level_id", "feasible", "tokens", "mask").join(chain, ["doc_id", "level_id"], "left")
 
 
 @query("SELECT * FROM gaps")
 def f09_structural_gaps(spark, sf_dir):
-    s = _states(spark, sf_dir)
+    s = _lattice(spark, sf_dir)
     return fr.structural_gaps(fr.independent_frontier(s, LEVELS, N), fr.nested_chain(s, LEVELS, N))
 
 
@@ -147,13 +151,13 @@ def f09_structural_gaps(spark, sf_dir):
 counts AS (SELECT doc_id, count(next) AS pairs, count(*) FILTER (next <> mask) AS switches, count(*) FILTER (mask & next <> mask) AS not_nested, count(*) FILTER (next_tokens > tokens) AS rises FROM steps GROUP BY doc_id)
 SELECT *, CASE WHEN not_nested > 0 THEN 'not nested' WHEN switches > 0 THEN 'nested' ELSE 'constant' END AS verdict FROM counts""")
 def f10_frontier_diagnostics(spark, sf_dir):
-    return fr.diagnostics(fr.independent_frontier(_states(spark, sf_dir), LEVELS, N))
+    return fr.diagnostics(fr.independent_frontier(_lattice(spark, sf_dir), LEVELS, N))
 
 
 @query("""SELECT level_id, count(*) AS n, count(*) FILTER (feasible) AS n_feasible, avg(independent_tokens) AS independent_tokens, avg(nested_tokens) AS nested_tokens, avg(gap) AS gap, count(*) FILTER (gap > 0) AS n_gap
 FROM frontier JOIN gaps USING (doc_id, level_id) GROUP BY level_id""")
 def f11_frontier_summary(spark, sf_dir):
-    s = _states(spark, sf_dir)
+    s = _lattice(spark, sf_dir)
     own = fr.independent_frontier(s, LEVELS, N)
     return fr.frontier_summary(fr.structural_gaps(own, fr.nested_chain(s, LEVELS, N)), own)
 
@@ -182,12 +186,12 @@ TABLES["precedences"] = """SELECT doc_id, slack, w.packet AS winner, l.packet AS
 
 
 def _members(spark, sf_dir):
-    return fr.chain_membership(_states(spark, sf_dir), LEVELS, N, SLACKS)
+    return fr.chain_membership(_lattice(spark, sf_dir), LEVELS, N, SLACKS)
 
 
 @query("SELECT * FROM members WHERE slack = 0.02")
 def f13_chain_membership(spark, sf_dir):
-    return fr.chain_membership(_states(spark, sf_dir), LEVELS, N, (0.02,))
+    return fr.chain_membership(_lattice(spark, sf_dir), LEVELS, N, (0.02,))
 
 
 @query("SELECT doc_id, slack, level_id, count(*) AS n FROM members GROUP BY ALL")
@@ -226,7 +230,7 @@ TABLES["thresholds"] = f"SELECT p.doc_id, p.packet_id, coalesce(min(level) FILTE
 
 
 def _thresholds(spark, sf_dir):
-    return fr.reveal_thresholds(fr.nested_chain(_states(spark, sf_dir), LEVELS, N), base.packets(spark, sf_dir), K)
+    return fr.reveal_thresholds(fr.nested_chain(_lattice(spark, sf_dir), LEVELS, N), base.packets(spark, sf_dir), K)
 
 
 @query("SELECT * FROM thresholds")

@@ -20,7 +20,7 @@ _GOOD = 0.05
 
 
 def _dense_good(spark, sf_dir):
-    return lt.dense(base.states(spark, sf_dir)).withColumn("good", F.transform("fidelity", lambda f: f >= _GOOD))
+    return lt.dense(base.lattice(spark, sf_dir)).withColumn("good", F.transform("fidelity", lambda f: f >= _GOOD))
 
 
 @query("SELECT s.doc_id, lo AS mask, bool_or(fidelity >= 0.05) AS reach FROM states s JOIN pairs ON hi = s.mask GROUP BY ALL")
@@ -64,10 +64,10 @@ def g14_longest_safe_run(spark, sf_dir):
 @query()
 def g18_tournament_order(spark, sf_dir):
     """Packets ordered by their pairwise overlap with the question; the tests try all orders."""
-    held = base.packet_terms(spark, sf_dir).where("is_q = 1").withColumn("packet_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
+    held = base.packet_terms(spark, sf_dir).withColumn("packet_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
     held = held.where(lt.has("mask", F.col("packet_id"))).groupBy("doc_id", "packet_id").agg(F.count(F.lit(1)).alias("overlap"))
     rows = base.packets(spark, sf_dir).select("doc_id", "packet_id", "tokens").join(held, ["doc_id", "packet_id"], "left")
-    value = F.coalesce("overlap", F.lit(0)) / F.col("tokens")
+    value = F.coalesce("overlap", F.lit(0)) / F.greatest("tokens", F.lit(1))
     lists = rows.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("packet_id", value.alias("v")))), lambda x: x["v"]).alias("v"))
     weights = F.flatten(F.transform("v", lambda a: F.transform("v", lambda b: a - b)))
     out = tr.best_order(lists, weights, N)
@@ -189,7 +189,7 @@ def l02_state_status(spark, sf_dir):
 @query("SELECT doc_id, level_id, '' AS difference FROM frontier WHERE false")
 def l06_recomputed_frontier(spark, sf_dir):
     """The frontier written and read back against one computed anew: no row may differ."""
-    own = fr.independent_frontier(base.states(spark, sf_dir), LEVELS, N)
+    own = fr.independent_frontier(base.lattice(spark, sf_dir), LEVELS, N)
     stored = files.round_trip(own, "frontier")
     return rel.reconcile(stored, own, ["doc_id", "level_id"])
 
@@ -206,7 +206,7 @@ def a06_gzip_jsonl(spark, sf_dir):
 
 @query("SELECT doc_id, level_id, tokens, mask FROM frontier")
 def a05_frontier_csv(spark, sf_dir):
-    rows = fr.independent_frontier(base.states(spark, sf_dir), LEVELS, N).select("doc_id", "level_id", "tokens", "mask")
+    rows = fr.independent_frontier(base.lattice(spark, sf_dir), LEVELS, N).select("doc_id", "level_id", "tokens", "mask")
     return files.round_trip(rows, "frontier-csv", "csv", header=True, nullValue="")
 
 

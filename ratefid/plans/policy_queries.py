@@ -98,7 +98,7 @@ def i01_arm_rows(spark, sf_dir):
 @query("""x AS (SELECT p.doc_id, o.arm, o.pos < l.pos AS ok FROM precedences p JOIN orders o ON o.doc_id = p.doc_id AND o.packet_id = p.winner JOIN orders l ON l.doc_id = p.doc_id AND l.packet_id = p.loser AND l.arm = o.arm WHERE p.slack = 0.02)
 SELECT arm, count(*) AS n_pairs, avg(ok::INT) AS accuracy FROM x GROUP BY arm""")
 def i04_pair_accuracy(spark, sf_dir):
-    pairs = fr.precedence(fr.chain_membership(base.states(spark, sf_dir), LEVELS, N, (0.02,)), N)
+    pairs = fr.precedence(fr.chain_membership(base.lattice(spark, sf_dir), LEVELS, N, (0.02,)), N)
     o = base.orders(spark, sf_dir)
     first = o.select("doc_id", "arm", F.col("packet_id").alias("winner"), F.col("pos").alias("x"))
     second = o.select("doc_id", "arm", F.col("packet_id").alias("loser"), F.col("pos").alias("y"))
@@ -201,7 +201,7 @@ def m01_user_function(spark, sf_dir):
 @query("""s AS (SELECT doc_id, packet_id AS idx, overlap FROM packet_overlap)
 SELECT policy, doc_id, idx FROM (SELECT 'overlap' AS policy, doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, idx) AS k FROM s UNION ALL SELECT 'first', doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) FROM s UNION ALL SELECT 'last', doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx DESC) FROM s) WHERE k <= 2""")
 def m02_policies(spark, sf_dir):
-    held = base.packet_terms(spark, sf_dir).where("is_q = 1").withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(N - 1)))).where(lt.has("mask", F.col("idx")))
+    held = base.packet_terms(spark, sf_dir).withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(N - 1)))).where(lt.has("mask", F.col("idx")))
     held = held.groupBy("doc_id", "idx").agg(F.count(F.lit(1)).alias("o"))
     rows = base.packets(spark, sf_dir).select("doc_id", F.col("packet_id").alias("idx")).join(held, ["doc_id", "idx"], "left").withColumn("overlap", F.coalesce("o", F.lit(0)))
     out = None

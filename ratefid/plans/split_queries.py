@@ -79,7 +79,7 @@ def j05_unordered_pairs(spark, sf_dir):
 def j06_level_rows(spark, sf_dir):
     from ..operators import frontier as fr
 
-    s = base.states(spark, sf_dir)
+    s = base.lattice(spark, sf_dir)
     own = fr.independent_frontier(s, base.LEVELS, base.N_PACKETS).select("doc_id", "level_id", F.col("mask").alias("independent_mask"))
     return own.join(fr.nested_chain(s, base.LEVELS, base.N_PACKETS).select("doc_id", "level_id", F.col("mask").alias("nested_mask")), ["doc_id", "level_id"])
 

@@ -12,8 +12,9 @@ _LEVELS = ", ".join(f"({i}, CAST({x} AS DOUBLE))" for i, x in enumerate(LEVELS))
 TABLES = {
     "sentences": r"""SELECT doc_id, len(s) AS n, generate_subscripts(s, 1) - 1 AS idx, unnest(s) AS sentence FROM (
         SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[.!?\n]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}_]+')) AS s FROM documents)""",
-    "packet_sentences": f"SELECT doc_id, n, idx, sentence, len(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+')) AS tokens, CAST(idx * {N_PACKETS} // n AS INT) AS packet_id FROM sentences WHERE n >= {N_PACKETS}",
-    "packets": "SELECT doc_id, packet_id, string_agg(sentence, '.' ORDER BY idx) AS text, CAST(sum(tokens) AS BIGINT) AS tokens FROM packet_sentences GROUP BY ALL",
+    "packet_sentences": f"SELECT doc_id, n, idx, sentence, len(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+')) AS tokens, CAST(idx * {N_PACKETS} // n AS INT) AS packet_id FROM sentences",
+    "packets": f"""SELECT doc_id, packet_id, coalesce(string_agg(sentence, '.' ORDER BY idx), '') AS text, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens
+        FROM (SELECT doc_id, CAST(range AS INT) AS packet_id FROM documents, range({N_PACKETS})) LEFT JOIN packet_sentences USING (doc_id, packet_id) GROUP BY ALL""",
     "questions": "SELECT item_id, text AS question FROM benchmark",
     "asked": "SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents",
     "question_terms": r"SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS term FROM questions",
@@ -22,8 +23,8 @@ TABLES = {
         SELECT doc_id, term, bit_or(1 << packet_id) AS mask FROM packet_words GROUP BY ALL) w JOIN asked USING (doc_id) LEFT JOIN question_terms t ON t.item_id = asked.item_id AND t.term = w.term""",
     "masks": f"SELECT CAST(range AS INT) AS mask FROM range({N_STATES})",
     "states": """SELECT doc_id, mask, bit_count(mask)::INT AS size, tokens, 2.0 * q / (n + n_q) AS fidelity, q / n_q AS recall FROM (
-        SELECT doc_id, m.mask, CAST(coalesce(sum(c) FILTER (h.mask & m.mask <> 0), 0) AS DOUBLE) AS n, CAST(coalesce(sum(q) FILTER (h.mask & m.mask <> 0), 0) AS DOUBLE) AS q
-        FROM (SELECT doc_id, mask, count(*) AS c, sum(is_q) AS q FROM packet_terms GROUP BY ALL) h, masks m GROUP BY doc_id, m.mask)
+        SELECT d.doc_id, m.mask, CAST(coalesce(sum(c), 0) AS DOUBLE) AS n, CAST(coalesce(sum(q), 0) AS DOUBLE) AS q FROM documents d CROSS JOIN masks m
+        LEFT JOIN (SELECT doc_id, mask, count(*) AS c, sum(is_q) AS q FROM packet_terms GROUP BY ALL) h ON h.doc_id = d.doc_id AND h.mask & m.mask <> 0 GROUP BY d.doc_id, m.mask)
         JOIN (SELECT doc_id, m.mask, CAST(coalesce(sum(tokens) FILTER (m.mask & (1 << packet_id) <> 0), 0) AS BIGINT) AS tokens FROM packets, masks m GROUP BY doc_id, m.mask) USING (doc_id, mask)
         JOIN asked USING (doc_id) JOIN (SELECT item_id, count(*)::DOUBLE AS n_q FROM question_terms GROUP BY item_id) USING (item_id)""",
     "levels": f"SELECT * FROM (VALUES {_LEVELS}) t(level_id, level)",

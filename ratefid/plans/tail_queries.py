@@ -18,7 +18,7 @@ TABLES["nevers"] = "SELECT doc_id, packet AS packet_id, max(share) = 0 AS never
 
 
 def _nevers(spark, sf_dir):
-    members = fr.chain_membership(base.states(spark, sf_dir), LEVELS, N, (0.02,))
+    members = fr.chain_membership(base.lattice(spark, sf_dir), LEVELS, N, (0.02,))
     rows = fr.membership_summary(members, N).groupBy("doc_id", "packet").agg((F.max("share") == 0).alias("never"))
     return rows.withColumnRenamed("packet", "packet_id")
 

@@ -52,7 +52,7 @@ TABLES["support"] = "SELECT doc_id, packet_id, overlap > 0 AS supporting FROM pa
 
 
 def _support(spark, sf_dir):
-    held = base.packet_terms(spark, sf_dir).where("is_q = 1").groupBy("doc_id").agg(F.bit_or("mask").alias("held"))
+    held = base.packet_terms(spark, sf_dir).groupBy("doc_id").agg(F.bit_or("mask").alias("held"))
     rows = base.packets(spark, sf_dir).select("doc_id", "packet_id").join(held, "doc_id", "left")
     return rows.select("doc_id", "packet_id", F.coalesce(has("held", F.col("packet_id")), F.lit(False)).alias("supporting"))
 
@@ -107,7 +107,7 @@ TABLES["answer_lists"] = "SELECT p.doc_id, p.arm, p.depth, list_sort(list(a.term
 
 def _answer_sets(spark, sf_dir):
     """doc_id, arm, depth, terms: the question's terms in the packets of each prefix."""
-    held = base.packet_terms(spark, sf_dir).where("is_q = 1").groupBy("doc_id").agg(F.collect_list(F.struct("term", "mask")).alias("held"))
+    held = base.packet_terms(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("term", "mask")).alias("held"))
     rows = base.prefixes(spark, sf_dir).select("doc_id", "arm", "depth", F.col("mask").alias("m")).join(held, "doc_id", "left")
     inside = F.filter(F.coalesce("held", F.array().cast("array<struct<term:string,mask:int>>")), lambda h: h["mask"].bitwiseAND(F.col("m")) != 0)
     return rows.select("doc_id", "arm", "depth", F.array_sort(F.transform(inside, lambda h: h["term"])).alias("terms"))
@@ -120,7 +120,7 @@ def h07_matched_terms(spark, sf_dir):
 
 @query("SELECT doc_id, packet_id, count(*) AS mentions FROM packet_words JOIN asked USING (doc_id) JOIN question_terms USING (item_id, term) WHERE length(term) >= 4 GROUP BY ALL")
 def h10_gold_mentions(spark, sf_dir):
-    rows = base.packet_terms(spark, sf_dir).where((F.col("is_q") == 1) & (F.length("term") >= 4)).withColumn("packet_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
+    rows = base.packet_terms(spark, sf_dir).where(F.length("term") >= 4).withColumn("packet_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))))
     return rows.where(has("mask", F.col("packet_id"))).groupBy("doc_id", "packet_id").agg(F.count(F.lit(1)).alias("mentions"))
 
 
@@ -196,7 +196,7 @@ def b13_packet_check(spark, sf_dir):
 def b14_rendered_context(spark, sf_dir):
     from ..operators import frontier as fr
 
-    own = fr.independent_frontier(base.states(spark, sf_dir), base.LEVELS, N).where("feasible").select("doc_id", "level_id", "mask")
+    own = fr.independent_frontier(base.lattice(spark, sf_dir), base.LEVELS, N).where("feasible").select("doc_id", "level_id", "mask")
     rows = own.join(base.packets(spark, sf_dir), "doc_id").where(has("mask", F.col("packet_id")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("packet_id", "text"))), lambda p: p["text"])
     return rows.groupBy("doc_id", "level_id").agg(F.md5(F.encode(F.array_join(parts, "\n\n"), "utf-8")).alias("context"))
