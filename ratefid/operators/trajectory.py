@@ -53,3 +53,94 @@ def best_order(df: DataFrame, weights: Column, n: int) -> DataFrame:
     start = "array(struct(0D AS v, CAST(array() AS array<int>) AS o))"
     fold = f"aggregate(sequence(1, {size - 1}), {start}, (a, m) -> concat(a, array(named_struct('v', -{best}.v, 'o', {best}.o))))"
     return df.withColumn("w", weights).withColumn("best", F.expr(f"{fold}[{size - 1}]"))
+
+
+#: Values hold what is lost above these bits and the tokens below.
+COST_BITS = 40
+
+
+def _bound(df: DataFrame, **columns: str) -> DataFrame:
+    """Columns worked out once for a row, by a generator of one row."""
+    fields = ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
+    return df.select("*", F.inline(F.array(F.expr(f"struct({fields})"))))
+
+
+def attained_levels(fidelity: str, levels: tuple[float, ...], epsilon: float = 1e-12) -> str:
+    """SQL of an array: how many levels each state reaches."""
+    grid = f"array({', '.join(f'{x}D' for x in levels)})"
+    return f"transform({fidelity}, f -> size(filter({grid}, l -> f + {epsilon}D >= l)))"
+
+
+def trajectory_values(lattices: DataFrame, levels: tuple[float, ...], n: int) -> DataFrame:
+    """``lattices`` (tokens and fidelity by mask) with attained and value: of each mask, by levels reached before, the best that follows.
+
+    A packet is added at a time. A level counts when it is first reached and costs the tokens of that state; most levels come
+    first, then least tokens. As fidelity may fall again, what was reached is part of the state. value packs (levels not
+    reached, tokens); masks come in falling order, so each finds its supersets in the accumulator.
+    """
+    if "attained" not in lattices.columns:
+        lattices = _bound(lattices, attained=attained_levels("fidelity", levels))
+    size, k = 1 << n, len(levels)
+    after = action_value(n, "r", f"a[{size - 1} - (m | shiftleft(1, b))]")
+    step = f"transform(sequence(0, {k}), r -> array_min(transform(filter(sequence(0, {n - 1}), b -> (m & shiftleft(1, b)) = 0), b -> {after})))"
+    start = f"array(transform(sequence(0, {k}), r -> shiftleft({k}L - r, {COST_BITS})))"
+    fold = f"aggregate(transform(sequence(1, {size - 1}), i -> {size - 1} - i), {start}, (a, m) -> concat(a, array({step})))"
+    return _bound(lattices, value=f"reverse({fold})")
+
+
+def action_value(n: int, reached: str, values: str) -> str:
+    """SQL of the value of adding packet b to mask m, where ``values`` are those of the state that it leads to."""
+    now = f"greatest({reached}, attained[m | shiftleft(1, b)])"
+    return f"{values}[{now}] + ({now} - {reached}) * tokens[m | shiftleft(1, b)]"
+
+
+def actions(valued: DataFrame, n: int, states: str, key: str = "doc_id") -> DataFrame:
+    """key, mask, reached, packet, value, best: every action of the states in the array ``states`` of structs (m, r)."""
+    own = action_value(n, "s.r", "value[s.m | shiftleft(1, b)]").replace("(m |", "(s.m |").replace("[m |", "[s.m |")
+    rows = valued.select(key, "tokens", "attained", "value", F.expr(f"inline(transform(filter({states}, s -> s.m < {(1 << n) - 1}), s -> struct(s.m AS mask, s.r AS reached, value[s.m][s.r] AS best, transform(filter(sequence(0, {n - 1}), b -> (s.m & shiftleft(1, b)) = 0), b -> struct(b AS packet, {own} AS after)) AS options)))"))
+    full = F.element_at("tokens", -1).alias("full"), F.array_max("tokens").alias("most")
+    return rows.select(key, "mask", "reached", "best", *full, F.inline("options"))
+
+
+def every_state(n: int, k: int) -> str:
+    return f"flatten(transform(sequence(0, {(1 << n) - 1}), m -> transform(sequence(0, {k}), r -> struct(m AS m, r AS r))))"
+
+
+def optimal(rows: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
+    """The actions that reach as much as the best and cost at most ``slack`` * levels * full tokens more."""
+    lost, cost = F.shiftright("after", COST_BITS), F.col("after").bitwiseAND((1 << COST_BITS) - 1)
+    least = F.col("best").bitwiseAND((1 << COST_BITS) - 1)
+    return rows.where((lost == F.shiftright("best", COST_BITS)) & (cost <= least + slack * k * F.col("full") + 1e-9))
+
+
+def advantages(rows: DataFrame, k: int) -> DataFrame:
+    """What each action loses against the best: levels, tokens as a share of levels * most tokens, and 2 * levels + tokens."""
+    low = (1 << COST_BITS) - 1
+    lost = F.shiftright("after", COST_BITS) - F.shiftright("best", COST_BITS)
+    share = (F.col("after").bitwiseAND(low) - F.col("best").bitwiseAND(low)) / F.nullif(k * F.col("most"), F.lit(0))
+    rows = rows.withColumn("lost", lost).withColumn("token_share", share)
+    return rows.withColumn("advantage", F.greatest(F.lit(0.0), 2.0 * F.col("lost") + F.col("token_share")))
+
+
+def canonical_rollout(valued: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """The smallest best action again and again: the order, levels reached, cumulative tokens, and how many best actions there were."""
+    after = action_value(n, "a.r", "value[a.m | shiftleft(1, b)]").replace("(m |", "(a.m |").replace("[m |", "[a.m |")
+    best = f"filter(sequence(0, {n - 1}), b -> (a.m & shiftleft(1, b)) = 0 AND {after} = value[a.m][a.r])"
+    now = "(a.m | shiftleft(1, x[0]))"
+    step = (
+        f"transform(array({best}), x -> named_struct('m', {now}, 'r', greatest(a.r, attained[{now}]), "
+        f"'c', a.c + (greatest(a.r, attained[{now}]) - a.r) * tokens[{now}], 'o', concat(a.o, array(x[0])), 's', concat(a.s, array(size(x)))))[0]"
+    )
+    start = "named_struct('m', 0, 'r', attained[0], 'c', attained[0] * tokens[0], 'o', CAST(array() AS array<int>), 's', CAST(array() AS array<int>))"
+    out = _bound(valued, walk=f"aggregate(sequence(1, {n}), {start}, (a, i) -> {step})")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select(key, shown("walk.o").alias("packet_order"), F.col("walk.r").alias("reached"), F.col("walk.c").alias("tokens"), shown("walk.s").alias("n_best"))
+
+
+def reachable_histories(valued: DataFrame, n: int, k: int, key: str = "doc_id") -> DataFrame:
+    """key, mask, reached: what some order of the mask's packets has reached on its way; sets of levels are bits, masks rise."""
+    past = f"aggregate(filter(sequence(0, {n - 1}), b -> (m & shiftleft(1, b)) <> 0), 0, (s, b) -> s | a[m ^ shiftleft(1, b)])"
+    step = f"transform(array({past}), s -> (s & ~(shiftleft(1, attained[m]) - 1)) | IF((s & (shiftleft(1, attained[m] + 1) - 1)) <> 0, shiftleft(1, attained[m]), 0))[0]"
+    fold = f"aggregate(sequence(1, {(1 << n) - 1}), array(shiftleft(1, attained[0])), (a, m) -> concat(a, array({step})))"
+    rows = _bound(valued, seen=fold).select(key, F.posexplode("seen").alias("mask", "bits"))
+    return rows.select(key, "mask", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k)), lambda r: F.expr("bits").bitwiseAND(F.pow(F.lit(2), r).cast("int")) != 0)).alias("reached"))

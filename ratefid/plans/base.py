@@ -42,6 +42,12 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores is dealt anew; one of many is left as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(4 * cores)
+
+
 def packet_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spark, sf_dir).withColumn("packet_id", F.floor(F.col("idx") * N_PACKETS / F.col("n")).cast("int"))
 
@@ -52,7 +58,8 @@ def _ids() -> Column:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, parts: of each packet its sentences."""
-    docs = _once(table(spark, sf_dir, "documents").select("doc_id", "text"), s=sentence_array(F.col("text"))).drop("text")
+    docs = _spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = _once(docs, s=sentence_array(F.col("text"))).drop("text")
     low = lambda p: F.ceil(p * F.size("s") / N_PACKETS).cast("int")
     return _once(docs, parts=F.transform(_ids(), lambda p: F.slice("s", low(p) + 1, low(p + 1) - low(p)))).select("doc_id", "parts")
 
@@ -96,14 +103,22 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, overlaps (question terms of each packet), and of all 2**N_PACKETS states by mask: tokens, fidelity (F1 of the distinct
     terms against the question's) and recall."""
     docs = _worded(spark, sf_dir)
-    docs = _once(docs, costs=F.transform("words", lambda w: F.size(w).cast("long")), hits=F.transform("held", lambda w: F.array_intersect(w, F.col("asked"))))
-    inside = lambda m, p: m.bitwiseAND(F.pow(F.lit(2), p).cast("int")) != 0
+    # Terms of one packet alone add up; only the others need unions.
+    others = lambda p: F.flatten(F.filter("held", lambda w, i: i != p))
+    docs = _once(
+        docs,
+        costs=F.transform("words", lambda w: F.size(w).cast("long")),
+        hits=F.transform("held", lambda w: F.array_intersect(w, F.col("asked"))),
+        common=F.transform("held", lambda w, p: F.array_intersect(w, others(p))),
+    )
+    docs = _once(docs, own=F.zip_with("held", "common", lambda w, c: F.size(w) - F.size(c)))
+    inside = lambda m, p: F.get(F.array(*[F.lit(1 << i) for i in range(N_PACKETS)]), p).bitwiseAND(m) != 0
     union = lambda lists, m: F.size(F.array_distinct(F.flatten(F.filter(lists, lambda w, p: inside(m, p)))))
     masks = F.sequence(F.lit(0), F.lit(N_STATES - 1))
     docs = _once(
         docs,
         tokens=F.transform(masks, lambda m: F.aggregate(F.filter("costs", lambda c, p: inside(m, p)), F.lit(0).cast("long"), lambda a, c: a + c)),
-        n=F.transform(masks, lambda m: union(F.col("held"), m)),
+        n=F.transform(masks, lambda m: F.aggregate(F.filter("own", lambda c, p: inside(m, p)), union(F.col("common"), m), lambda a, c: a + c)),
         q=F.transform(masks, lambda m: union(F.col("hits"), m)),
         n_q=F.size("asked"),
     )

@@ -30,4 +30,4 @@ def oracles() -> dict[str, str]:
 
 
 def load() -> None:
-    from . import evaluate_queries, frontier_queries, more_queries, policy_queries, queries_base, split_queries, tail_queries, text_queries  # noqa: F401
+    from . import evaluate_queries, frontier_queries, more_queries, policy_queries, queries_base, split_queries, tail_queries, text_queries, trajectory_queries  # noqa: F401

@@ -173,7 +173,7 @@ def b08_content_words(spark, sf_dir):
     return base.table(spark, sf_dir, "documents").select("doc_id", F.size(tx.content_words(F.col("text"), ("the", "and", "that"))).cast("long").alias("n"))
 
 
-TABLES["halves"] = "SELECT doc_id, packet_id, string_agg(sentence, '.' ORDER BY idx) AS block, CAST(sum(tokens) AS BIGINT) AS tokens, packet_id // 2 AS unit FROM packet_sentences GROUP BY doc_id, packet_id"
+TABLES["halves"] = "SELECT doc_id, packet_id, text AS block, tokens, packet_id // 2 AS unit FROM packets"
 
 
 @query("SELECT doc_id, unit, first(packet_id ORDER BY tokens, packet_id) AS gist, last(packet_id ORDER BY tokens, packet_id) AS residual, CAST(min(tokens) AS BIGINT) AS gist_tokens, CAST(sum(tokens) AS BIGINT) AS source_tokens FROM halves GROUP BY ALL")

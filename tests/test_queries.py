@@ -67,3 +67,45 @@ def test_budgeted_selection_keeps_what_fits(spark):
 def test_bootstrap_is_centred_and_repeats(spark):
     one, two = (registry.QUERIES["k06_bootstrap"](spark, SF).toPandas().sort_values("replicate")["mean"].to_numpy() for _ in range(2))
     assert (one == two).all() and len(one) == 200 and one.std() > 0
+
+
+def _rollout(tokens, attained, k):
+    """The order, levels and tokens by trying all that follows each history."""
+    from functools import cache
+
+    full = len(tokens) - 1
+
+    def options(m, r):
+        for b in range(6):
+            if not m >> b & 1:
+                t = m | 1 << b
+                now = max(r, attained[t])
+                lost, cost = worth(t, now)
+                yield (lost, cost + (now - r) * tokens[t]), b
+
+    @cache
+    def worth(m, r):
+        return (k - r, 0) if m == full else min(options(m, r))[0]
+
+    m, r, order, sizes = 0, attained[0], [], []
+    total = r * tokens[0]
+    while m != full:
+        every = list(options(m, r))
+        best = [b for v, b in every if v == min(every)[0]]
+        sizes.append(len(best))
+        order.append(min(best))
+        m |= 1 << min(best)
+        now = max(r, attained[m])
+        total, r = total + (now - r) * tokens[m], now
+    return ",".join(map(str, order)), r, total, ",".join(map(str, sizes))
+
+
+@pytest.mark.parametrize(("name", "column"), [("g04_canonical_rollout", "fidelity"), ("g09_order_from_predictions", "recall")])
+def test_rollouts_equal_a_walk_by_hand(spark, name, column):
+    got = {r.doc_id: r for r in registry.QUERIES[name](spark, SF).collect()}
+    rows = base.lattice(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in rows[::5]:
+        attained = [sum(x + 1e-12 >= level for level in base.LEVELS) for x in r[column]]
+        own = got[r.doc_id]
+        assert (own.packet_order, own.reached, own.tokens, own.n_best) == _rollout(r.tokens, attained, len(base.LEVELS))
