@@ -33,7 +33,8 @@ def a04_projected_id_scan(spark, sf_dir):
 @query("SELECT doc_id, lang, source FROM documents")
 def a09_merge_shards(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "lang", "source")
-    return rel.merge_shards("doc_id", docs.where("lang = 'en'"), docs.where("lang <> 'en'"))
+    english = F.col("lang").eqNullSafe("en")
+    return rel.merge_shards("doc_id", docs.where(english), docs.where(~english))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
