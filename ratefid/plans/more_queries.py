@@ -186,12 +186,15 @@ def l02_state_status(spark, sf_dir):
     return rows.select("doc_id", "n_states", F.col("n_states").isin(0, 1 << N).alias("complete"))
 
 
-@query("SELECT doc_id, level_id, '' AS difference FROM frontier WHERE false")
+@query("""SELECT doc_id, level_id, CASE WHEN doc_id % 11 = 4 AND level_id = 0 THEN 'missing in stored' ELSE 'tokens,mask' END AS difference FROM frontier
+WHERE doc_id % 11 = 4 AND level_id = 0 OR doc_id % 7 = 3 AND level_id = 1 AND feasible""")
 def l06_recomputed_frontier(spark, sf_dir):
-    """The frontier written and read back against one computed anew: no row may differ."""
+    """The frontier written and read back against one computed anew. Some rows are stored wrong and some not at all; just these must show."""
     own = fr.independent_frontier(base.lattice(spark, sf_dir), LEVELS, N)
-    stored = files.round_trip(own, "frontier")
-    return rel.reconcile(stored, own, ["doc_id", "level_id"])
+    wrong = (F.col("doc_id") % 7 == 3) & (F.col("level_id") == 1) & F.col("feasible")
+    stored = own.where(~((F.col("doc_id") % 11 == 4) & (F.col("level_id") == 0)))
+    stored = stored.withColumn("tokens", F.col("tokens") + F.when(wrong, 1).otherwise(0)).withColumn("mask", F.when(wrong, -1).otherwise(F.col("mask")))
+    return rel.reconcile(files.round_trip(stored, "frontier"), own, ["doc_id", "level_id"])
 
 
 @query("SELECT doc_id, text, lang FROM documents")

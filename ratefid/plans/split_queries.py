@@ -57,7 +57,7 @@ def a12_table_digest(spark, sf_dir):
 @query("SELECT l.doc_id, l.quality, l.toxic, d.source FROM labels l JOIN documents d USING (doc_id)")
 def j01_strict_join(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "source")
-    return rel.strict_join(_labels(spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "quality", "toxic"), docs, "doc_id")
+    return rel.strict_join(_labels(spark, sf_dir).select("doc_id", "quality", "toxic"), docs, "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")

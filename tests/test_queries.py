@@ -109,3 +109,12 @@ def test_rollouts_equal_a_walk_by_hand(spark, name, column):
         attained = [sum(x + 1e-12 >= level for level in base.LEVELS) for x in r[column]]
         own = got[r.doc_id]
         assert (own.packet_order, own.reached, own.tokens, own.n_best) == _rollout(r.tokens, attained, len(base.LEVELS))
+
+
+def test_a_strict_join_fails_on_a_key_without_a_row(spark):
+    from ratefid.operators import relational as rel
+
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string")
+    assert rel.strict_join(left, spark.createDataFrame([(1, 3), (2, 4)], "k long, y long"), "k").count() == 2
+    with pytest.raises(ValueError, match="k 2 has no match"):
+        rel.strict_join(left, spark.createDataFrame([(1, 3)], "k long, y long"), "k")
