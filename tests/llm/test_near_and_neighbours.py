@@ -107,3 +107,24 @@ def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r.vec_id) for r in nearest(vectors, vectors.where("vec_id = 0"), 20).collect())
     assert got == [(i + 1, 70 + i) for i in range(20)]
+
+
+def test_recall_at_several_shards(spark, monkeypatch):
+    """Four shards of about 500 vectors each; every shard is asked, so no less is found than in one."""
+    from ratefid.llm import neighbours
+
+    monkeypatch.setattr(neighbours, "SHARD", 512)
+    d = "/root/testdata/sf0.1"
+    got: dict = {}
+    for r in op7_neighbours(spark, d).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        want = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        found += len(want & set(got[ids[q]]))
+        total += len(want)
+    assert found >= 0.9 * total
