@@ -213,9 +213,7 @@ def f16_precedence_pairs(spark, sf_dir):
 never AS (SELECT doc_id, slack, string_agg(packet, ',' ORDER BY packet) AS never_reveal FROM (SELECT doc_id, slack, packet FROM shares GROUP BY ALL HAVING max(share) = 0) GROUP BY ALL)
 SELECT doc_id, slack, coalesce(preferences, '') AS preferences, coalesce(n_preferences, 0) AS n_preferences, coalesce(never_reveal, '') AS never_reveal FROM (SELECT DISTINCT doc_id, slack FROM members) LEFT JOIN pairs_of USING (doc_id, slack) LEFT JOIN never USING (doc_id, slack)""")
 def f17_oracle_rows(spark, sf_dir):
-    from pyspark.storagelevel import StorageLevel
-
-    members = _members(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    members = _members(spark, sf_dir)
     key = ["doc_id", "slack"]
     listed = lambda c, show: F.array_join(F.transform(F.array_sort(F.collect_list(c)), show), ",")
     pairs = fr.precedence(members, N).groupBy(*key).agg(
