@@ -265,6 +265,20 @@ def c03_top_sentences(spark, sf_dir):
 TABLES["top_sentences"] = "SELECT doc_id, idx FROM bm25_scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) <= 6"
 
 
+@query("""picked AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS unit, sentence, tokens FROM (
+    SELECT doc_id, idx, sentence, len(regexp_extract_all(lower(sentence), '[\\p{L}\\p{N}_]+')) AS tokens FROM sentences) JOIN top_sentences USING (doc_id, idx))
+SELECT doc_id, count(*) AS n_units, string_agg(unit || ':' || tokens, ',' ORDER BY unit) AS units, md5(string_agg(sentence, chr(10) || chr(10) ORDER BY unit)) AS context FROM picked GROUP BY doc_id""")
+def c06_selected_example(spark, sf_dir):
+    """The example made of the chosen sentences, in their source order: units numbered anew, their tokens, and the joined context."""
+    chosen = rt.top_items(rt.bm25(*_bm25_inputs(spark, sf_dir), "doc_id", "idx"), "doc_id", "idx", 6).select("doc_id", "idx")
+    rows = base.sentences(spark, sf_dir).select("doc_id", "idx", "sentence", "tokens").join(chosen, ["doc_id", "idx"])
+    units = F.array_sort(F.collect_list(F.struct("idx", "sentence", "tokens")))
+    rows = rows.groupBy("doc_id").agg(units.alias("u"))
+    shown = F.transform("u", lambda x, i: F.concat_ws(":", i.cast("string"), x["tokens"].cast("string")))
+    context = F.array_join(F.transform("u", lambda x: x["sentence"]), "\n\n")
+    return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.array_join(shown, ",").alias("units"), F.md5(F.encode(context, "utf-8")).alias("context"))
+
+
 @query("""held AS (SELECT DISTINCT s.doc_id, u.term FROM sentence_terms s JOIN top_sentences USING (doc_id, idx), unnest(s.t) u(term))
 SELECT a.doc_id, count(q.term) AS n_terms, count(held.term) AS n_covered FROM asked a JOIN question_terms q USING (item_id) LEFT JOIN held ON held.doc_id = a.doc_id AND held.term = q.term GROUP BY a.doc_id""")
 def c07_policy_coverage(spark, sf_dir):
