@@ -135,3 +135,20 @@ def l08_structure_check(spark, sf_dir):
     s = base.packet_sentences(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum("tokens").alias("sentence_tokens"))
     p = base.packets(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_packets"), F.sum("tokens").alias("packet_tokens"))
     return s.join(p, "doc_id")
+
+
+@query("""p AS (SELECT doc_id, packet_id // 2 AS unit, max(CASE WHEN packet_id % 2 = 0 THEN text END) AS g, max(CASE WHEN packet_id % 2 = 1 THEN text END) AS r FROM packets GROUP BY ALL),
+w AS (SELECT doc_id, unit, regexp_extract_all(g, '[^ ]+') AS g, regexp_extract_all(r, '[^ ]+') AS r FROM p), k AS (SELECT *, CAST(least(len(g), 45 * (len(g) + len(r)) // 100) AS BIGINT) AS k FROM w)
+SELECT doc_id, unit, k AS n_gist, CAST(len(g) - k AS BIGINT) AS n_moved, md5(array_to_string(g[1:k], ' ')) AS gist, md5(array_to_string(list_concat(g[k + 1:], r), ' ')) AS residual,
+    len(list_filter(list_concat(g[k + 1:], r), lambda x: NOT list_contains(list_transform(g[1:k], lambda y: lower(y)), lower(x)))) = 0 AS redundant FROM k""")
+def b25_rebalanced_gist(spark, sf_dir):
+    """A unit's first packet as its gist: the words beyond 45 hundredths of the unit's go over to the residual, none is lost."""
+    rows = base.packets(spark, sf_dir).groupBy("doc_id", F.floor(F.col("packet_id") / 2).cast("int").alias("unit"))
+    side = lambda odd: F.regexp_extract_all(F.max(F.when(F.col("packet_id") % 2 == odd, F.col("text"))), F.lit("[^ ]+"), 0)
+    rows = rows.agg(side(0).alias("g"), side(1).alias("r")).withColumn("k", F.least(F.size("g").cast("long"), F.expr("(45 * (size(g) + size(r))) div 100")))
+    gist = F.slice("g", F.lit(1), F.col("k").cast("int"))
+    rest = F.concat(F.slice("g", (F.col("k") + 1).cast("int"), (F.size("g") - F.col("k")).cast("int")), F.col("r"))
+    small = lambda c: F.transform(c, F.lower)
+    shown = lambda c: F.md5(F.encode(F.array_join(c, " "), "utf-8"))
+    redundant = F.size(F.array_except(small(rest), small(gist))) == 0
+    return rows.select("doc_id", "unit", F.col("k").alias("n_gist"), (F.size("g") - F.col("k")).alias("n_moved"), shown(gist).alias("gist"), shown(rest).alias("residual"), redundant.alias("redundant"))
