@@ -118,3 +118,73 @@ def test_a_strict_join_fails_on_a_key_without_a_row(spark):
     assert rel.strict_join(left, spark.createDataFrame([(1, 3), (2, 4)], "k long, y long"), "k").count() == 2
     with pytest.raises(ValueError, match="k 2 has no match"):
         rel.strict_join(left, spark.createDataFrame([(1, 3)], "k long, y long"), "k")
+
+
+def _chunks_by_hand(sentences, target, most):
+    out, held = [], []
+    size = lambda: sum(len(w) for _, w in held)
+    for s, words in sentences:
+        if len(words) > most:
+            if held:
+                out.append(" ".join(x for x, _ in held))
+            held = []
+            out += [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+            continue
+        more = size() + len(words)
+        if held and more > target and not (more <= most and abs(more - target) < abs(size() - target)):
+            out.append(" ".join(x for x, _ in held))
+            held = []
+        held.append((s, words))
+    return out + [" ".join(x for x, _ in held)] if held else out
+
+
+def test_chunks_equal_those_cut_by_hand(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from ratefid.plans import input_queries as iq
+
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lines = base.table(spark, SF, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("p", "line"))
+    lines = lines.select("doc_id", "p", F.transform(base.sentence_array(F.col("line")), lambda s: F.struct(s, base.terms(s))).alias("s")).collect()
+    want = {(r.doc_id, r.p, i): md5(c) for r in lines for i, c in enumerate(_chunks_by_hand([tuple(x) for x in r.s], iq.TARGET, iq.MOST))}
+    got = {(r.doc_id, r.paragraph, r.chunk): r.text for r in registry.QUERIES["b05_chunks"](spark, SF).collect()}
+    assert got == want
+    units = {}
+    worded = {r.doc_id: (set(r.asked), r.held) for r in base._worded(spark, SF).collect()}
+    parts = base._packed(spark, SF).select("doc_id", F.transform("parts", lambda x: F.transform(x, lambda s: F.struct(s, base.terms(s)))).alias("parts")).collect()
+    for r in parts:
+        own = [(f"P{p}", bool(worded[r.doc_id][0] & set(worded[r.doc_id][1][p])), c) for p, x in enumerate(r.parts) for c in _chunks_by_hand([tuple(s) for s in x], iq.TARGET, iq.MOST)]
+        units.update({(r.doc_id, i): (t, ok, md5(c)) for i, (t, ok, c) in enumerate(own)})
+    assert units == {(r.doc_id, r.unit_id): (r.title, r.supporting, r.text) for r in registry.QUERIES["b06_segmented_examples"](spark, SF).collect()}
+
+
+def test_chunks_of_long_sentences():
+    from ratefid.operators.segment import chunk_runs
+
+    assert chunk_runs([3, 10, 2, 2], 4, 4) == [(0, 1, -1), (1, 1, 0), (1, 1, 4), (1, 1, 8), (2, 2, -1)]
+    assert chunk_runs([], 4, 4) == []
+
+
+def test_binomial_tail_equals_its_sum():
+    from ratefid.operators.bounds import binomial_tail, exact_lower
+
+    for n in (1, 7, 60, 900):
+        for k in range(0, n + 2, max(1, n // 9)):
+            for p in (0.01, 0.3, 0.5, 0.93):
+                want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k, n + 1))
+                assert abs(binomial_tail(k, n, p) - want) < 1e-9
+    assert 0.9 < exact_lower(1_000_000, 1_050_000, 0.05) < 1_000_000 / 1_050_000
+
+
+def test_probe_never_sees_its_own_fold(spark):
+    from ratefid.operators.bounds import held_out_probe
+
+    rng = np.random.default_rng(3)
+    data = [(i, i % 3, float(x), int(x + rng.normal() > 0)) for i, x in enumerate(rng.normal(size=240))]
+    fit = lambda rows: {r.id: r.probability for r in held_out_probe(spark.createDataFrame(rows, "id long, fold int, x double, y int"), "id", ["x"], "y", "fold", 3).collect()}
+    one, two = fit(data), fit([(i, f, x, 1 - y if f == 1 else y) for i, f, x, y in data])
+    own = [i for i, f, _, _ in data if f == 1]
+    assert len(one) == 240 and all(abs(one[i] - two[i]) < 1e-9 for i in own)
+    assert np.mean([(one[i] >= 0.5) == bool(y) for i, _, _, y in data]) > 0.7
