@@ -49,31 +49,54 @@ class CuckooFilter:
         mark, one, two = self._places(hashes)
         return ((self.table[one] == mark[:, None]) | (self.table[two] == mark[:, None])).any(axis=1)
 
+    def _exchange(self, at: np.ndarray, was: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """In bucket ``at`` of each entry, one slot that holds ``was`` gets ``to``, each slot for one entry; says which entries found none."""
+        order = np.lexsort((was, at))
+        at, was, to = at[order], was[order], to[order]
+        new = np.r_[True, (at[1:] != at[:-1]) | (was[1:] != was[:-1])] if len(at) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
+        nth = np.cumsum(self.table[at] == was[:, None], axis=1)
+        found = rank < nth[:, -1]
+        self.table[at[found], np.argmax(nth == rank[:, None] + 1, axis=1)[found]] = to[found]
+        left = np.zeros(len(at), bool)
+        left[order] = ~found
+        return left
+
     def insert(self, hashes: np.ndarray) -> bool:
-        """False if there was no room; the filter must then be made anew, larger."""
-        for mark, one, two in zip(*self._places(hashes), strict=True):
-            at = one
-            for kick in range(KICKS):
-                free = np.flatnonzero(self.table[at] == 0)
-                if not len(free) and kick == 0:
-                    at, free = two, np.flatnonzero(self.table[two] == 0)
-                if len(free):
-                    self.table[at, free[0]] = mark
-                    break
-                slot = kick % SLOTS
-                mark, self.table[at, slot] = self.table[at, slot], mark
-                at = int(at ^ self._hop(np.array(mark)))
-            else:
-                return False
-        return True
+        """False if there was no room: entries are lost then, and the filter must be made anew from all its keys, larger."""
+        mark, one, two = self._places(hashes)
+        left = self._exchange(one, np.zeros_like(mark), mark)
+        mark, at = mark[left], two[left]
+        left = self._exchange(at, np.zeros_like(mark), mark)
+        mark, at = mark[left], at[left]
+        random = np.random.default_rng(len(hashes))
+        for _ in range(KICKS):
+            if not len(mark):
+                return True
+            _, some = np.unique(at, return_index=True)
+            slot = random.integers(0, SLOTS, len(some))
+            moved = self.table[at[some], slot]
+            self.table[at[some], slot] = mark[some]
+            mark[some], at[some] = moved, at[some] ^ self._hop(moved)
+            left = self._exchange(at, np.zeros_like(mark), mark)
+            mark, at = mark[left], at[left]
+        return not len(mark)
+
+    @classmethod
+    def holding(cls, hashes: np.ndarray) -> CuckooFilter:
+        """A filter that holds all these hashes: twice the size until they fit."""
+        made = cls.sized(len(hashes))
+        while not made.insert(hashes):
+            if len(made.table) > 64 * max(16, len(hashes)):
+                raise ValueError(f"no cuckoo filter holds these {len(hashes)} hashes: too many are alike")
+            made = cls(2 * len(made.table))
+        return made
 
     def delete(self, hashes: np.ndarray) -> None:
-        for mark, one, two in zip(*self._places(hashes), strict=True):
-            for at in (one, two):
-                found = np.flatnonzero(self.table[at] == mark)
-                if len(found):
-                    self.table[at, found[0]] = 0
-                    break
+        mark, one, two = self._places(hashes)
+        left = self._exchange(one, mark, np.zeros_like(mark))
+        self._exchange(two[left], mark[left], np.zeros_like(mark[left]))
 
 
 def lines_of(text: Column) -> Column:
@@ -93,7 +116,8 @@ def line_keys(text: str, least: int) -> dict[bytes, list[int]]:
 
 
 def _hash64(keys: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(bytes(k)[:8] for k in keys), np.uint64)
+    """The half of a key that its shard is not taken from, so the keys of one shard have all buckets."""
+    return np.frombuffer(b"".join(bytes(k)[8:16] for k in keys), np.uint64)
 
 
 class LineIndex:
@@ -101,7 +125,8 @@ class LineIndex:
 
     The log has a row (shard, key, doc_id, delta) for each document that came (+1) or went (-1) with a line; its sums are the
     exact reference counts. For each shard of the keys there is a cuckoo filter with the keys that at least ``min_docs``
-    documents hold; it settles most lines of a document without the counts, and what it lets through is checked with them.
+    documents hold; it settles most lines of a document without the counts, and what it lets through is checked with them. A filter that
+    has no room for its keys is made anew from the exact counts, as large as holds them all.
 
     A batch only counts the keys that it has anew: the log is sorted by shard, so of the older batches the pages of other shards
     are not read, and filters of shards without a change are left. Shards are as many as keep one filter and the lines that ask
@@ -172,11 +197,10 @@ class LineIndex:
         changed = written(changed, "line-filters")
         every = written(same.unionByName(refs), "line-refs") if self.batches else refs
         good = changed.where("NOT full").drop("full")
-        if not changed.where("full").isEmpty():  # these are made anew from the exact counts
-            again = one(every.join(changed.where("full").select("shard"), "shard", "left_semi"), 1)
-            none = self.spark.createDataFrame([], "shard int, filter binary")
-            made = again.groupBy("shard").cogroup(none.groupBy("shard")).applyInPandas(_updated, "shard int, filter binary, full boolean")
-            good = written(good.unionByName(made.drop("full")), "line-filters")
+        if not changed.where("full").isEmpty():  # these are made anew from the exact counts, as large as holds them
+            again = every.join(changed.where("full").select("shard"), "shard", "left_semi").select("shard", "key")
+            made = again.groupBy("shard").applyInPandas(_rebuilt, "shard int, filter binary")
+            good = written(good.unionByName(made), "line-filters")
         self.refs, self.filters = every, written(rest.unionByName(good), "line-filters") if self.batches else good
         self.batches += 1
 
@@ -218,13 +242,19 @@ class LineIndex:
 
 
 def _updated(key, changes: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-    more, less = changes[changes.delta > 0], changes[changes.delta < 0]
-    held = CuckooFilter.load(have["filter"].iloc[0]) if len(have) else CuckooFilter.sized(len(more))
-    held.delete(_hash64(less.key))
-    fits = held.insert(_hash64(more.key))
+    more, less = _hash64(changes.key[changes.delta > 0]), _hash64(changes.key[changes.delta < 0])
+    if not len(have):
+        return pd.DataFrame({"shard": [int(key[0])], "filter": [CuckooFilter.holding(more).dump()], "full": [False]})
+    held = CuckooFilter.load(have["filter"].iloc[0])
+    held.delete(less)
+    fits = held.insert(more)
     return pd.DataFrame({"shard": [int(key[0])], "filter": [held.dump()], "full": [not fits]})
 
 
+def _rebuilt(key: tuple, refs: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [int(key[0])], "filter": [CuckooFilter.holding(_hash64(refs.key)).dump()]})
+
+
 def _probe(key, lines: pa.Table, filters: pa.Table) -> pa.Table:
     out = lines.select(["doc_id", "row", "key", "places"])
     if not filters.num_rows or not lines.num_rows:

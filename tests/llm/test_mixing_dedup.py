@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ratefid.llm.exact_dedup import DigestIndex
@@ -82,6 +83,51 @@ def test_cuckoo_filter_inserts_and_deletes():
     assert CuckooFilter.load(f.dump()).contains(keys[1000:]).all() and f.contains(keys[:1000]).mean() < 0.01
 
 
+def test_cuckoo_filter_holds_keys_of_any_residue():
+    """Nearly full filters of hashes that agree in their low bits or that come in batches lose none, or say so."""
+    import numpy as np
+
+    random_hashes = np.random.default_rng(5).integers(0, 1 << 63, 400_000, np.uint64)
+    for step in (1, 16, 64, 100):
+        some = random_hashes[random_hashes % np.uint64(step) == 3 % step][:3_200]
+        assert CuckooFilter.holding(some).contains(some).all()
+    f = CuckooFilter(1024)
+    assert all(f.insert(random_hashes[i : i + 80]) for i in range(0, 3_840, 80)) and f.contains(random_hashes[:3_840]).all()
+    assert not f.insert(random_hashes[3_840:5_000])
+    f = CuckooFilter.holding(np.r_[random_hashes[:500], random_hashes[:500]])
+    f.delete(random_hashes[:500])
+    assert f.contains(random_hashes[:500]).all()
+    f.delete(random_hashes[:500])
+    assert not f.table.any() and CuckooFilter.holding(random_hashes[:0]).insert(random_hashes[:0])
+
+
+@pytest.mark.parametrize("shards", [16, 17, 64])
+def test_thousands_of_heavy_lines_all_go(spark, shards):
+    """6,500 lines of four documents in batches: filters outgrow their size and are made anew, then half of the lines are taken back."""
+    df = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    text = lambda a, b: "\n".join(f"this is the long line with number {i}" for i in range(a, b))
+    index = LineIndex(spark, shards)
+    index.insert(df([(i, text(0, 300)) for i in range(4)]))
+    index.insert(df([(i, text(300, 6_500)) for i in range(10, 14)]))
+    rows = [(i, text(0, 300)) for i in range(4)] + [(i, text(300, 6_500)) for i in range(10, 14)]
+    assert {r.doc_id: r.n_dropped for r in index.dedup(df(rows)).collect()} == {0: 300, 1: 300, 2: 300, 3: 0, 10: 6_200, 11: 6_200, 12: 6_200, 13: 0}
+    index.delete(df([(13, text(300, 6_500)), (12, text(300, 6_500))]))
+    index.insert(df([(20, text(6_000, 6_200))]))
+    rows = rows[:6] + [(20, text(6_000, 6_200))]
+    assert {r.doc_id: r.n_dropped for r in index.dedup(df(rows)).collect()} == {0: 300, 1: 300, 2: 300, 3: 0, 10: 200, 11: 200, 20: 0}
+
+
+def test_line_dedup_equals_sql_at_a_larger_size(spark):
+    import duckdb
+
+    from ratefid.llm.line_dedup import OP4_SQL, op4_line_dedup
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    got = op4_line_dedup(spark, "/root/testdata/sf0.1").collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(OP4_SQL).fetchall())
+
+
 def brute_lines(docs):
     key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
     holders = {}
