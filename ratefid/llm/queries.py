@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .centroids import OP11_SQL, op11_centroid_clusters
+from .conversations import op13_conversation_repair
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .licenses import op8_license_scan
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {
     "op2_secret_ownership": OP2_SQL,
@@ -31,4 +35,5 @@ ORACLE_SQL = {
     "op5_source_mixing": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_minhash_near_dedup": OP10_SQL,
+    "op11_centroid_clusters": OP11_SQL,
 }
