@@ -12,6 +12,7 @@ from .minhash import OP10_SQL, op10_minhash_near_dedup
 from .mixing import OP5_SQL, op5_source_mixing
 from .neighbours import op7_neighbours
 from .packing import op9_packing
+from .quality_rules import op12_quality_rules
 from .secrets import OP2_SQL, op2_secret_ownership
 from .toxicity import op1_toxicity
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_quality_rules": op12_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {
