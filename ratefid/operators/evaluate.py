@@ -59,22 +59,6 @@ def kappa(one: Column, other: Column) -> Column:
     return (agree - chance) / F.nullif(1 - chance, F.lit(0.0))
 
 
-def bootstrap(units: DataFrame, value: str, key: str, replicates: int, seed: str) -> DataFrame:
-    """Means over resampled units: in each replicate a unit counts as often as a Poisson(1) draw from its hash says.
-
-    Counts come from a hash of seed, replicate and key, so no draws table is shuffled and any task gives the same ones again.
-    """
-    rows = units.where(F.col(value).isNotNull()).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", key), F.lit(1 << 30)) / float(1 << 30)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(12):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    rows = rows.withColumn("w", F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: u >= s)))
-    return rows.groupBy("replicate").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
-
-
 def tf_idf(docs: DataFrame, key: str, least_docs: int = 2) -> DataFrame:
     """key, term, weight: sublinear counts times smoothed inverse document frequency, each document of length one."""
     tf = docs.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -255,13 +255,6 @@ def k05_average_precision(spark, sf_dir):
     return ev.average_precision(_labelled(spark, sf_dir), "n_chars", "quality", "doc_id", ["lang"])
 
 
-@query()
-def k06_bootstrap(spark, sf_dir):
-    """Replicate means of the repairs minus breaks of a document at depth 3."""
-    units = _sides(spark, sf_dir).where("depth = 3").groupBy("doc_id").agg((F.count(F.when(F.col("repair"), 1)) - F.count(F.when(F.col("break"), 1))).alias("net"))
-    return ev.bootstrap(units, "net", "doc_id", 200, "k06")
-
-
 @query("SELECT lang, quantile_cont(n_chars, 0.9) AS p90, median(n_chars) AS p50 FROM labelled GROUP BY lang")
 def k12_percentiles(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy("lang").agg(F.percentile("n_chars", F.lit(0.9)).alias("p90"), F.median("n_chars").alias("p50"))

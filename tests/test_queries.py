@@ -64,11 +64,6 @@ def test_budgeted_selection_keeps_what_fits(spark):
         assert all(r.used + t > math.floor(own.sum() * 0.25) for i, t in own.items() if i not in kept)
 
 
-def test_bootstrap_is_centred_and_repeats(spark):
-    one, two = (registry.QUERIES["k06_bootstrap"](spark, SF).toPandas().sort_values("replicate")["mean"].to_numpy() for _ in range(2))
-    assert (one == two).all() and len(one) == 200 and one.std() > 0
-
-
 def _rollout(tokens, attained, k):
     """The order, levels and tokens by trying all that follows each history."""
     from functools import cache
