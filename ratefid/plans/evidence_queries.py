@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratefid.operators import evidence as evd
+from ratefid.operators.spans import with_best_window
 
 from . import base
 from .registry import query
@@ -20,7 +21,7 @@ def claims(spark, sf_dir):
 
     The question also says the document's first twelve words. Names come with mark-up, URLs encoded; some proofs are blank, of other articles, or out of the bound that three of four questions state.
     """
-    docs = base._spread(base.table(spark, sf_dir, "documents").select("doc_id", "text")).join(base.asked(spark, sf_dir), "doc_id").join(F.broadcast(base.questions(spark, sf_dir)), "item_id")
+    docs = base._spread(base.table(spark, sf_dir, "documents").select("doc_id", "text")).join(base.asked(spark, sf_dir), "doc_id").join(base.questions(spark, sf_dir), "item_id")
     docs = evd.once(docs, s=base.sentence_array(F.col("text"))).drop("text")
     docs = evd.once(docs, w=F.transform("s", base.terms), asks=base.terms(F.col("question")))
     bounds = F.array(F.lit(""), F.lit(" after 1700"), F.lit(" before 1800"), F.lit(" more than 1,600.5 pages"))
@@ -135,3 +136,28 @@ def b21_rank_pool(spark, sf_dir):
     records = evd.hash_ordered(_records(spark, sf_dir), "doc_id", "pool")
     rows = evd.rank_pool(records, "doc_id", "pool")
     return rows.select("doc_id", "position", "partner", "delta", *_shown_units(rows))
+
+
+_PIECES = r"list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda p: p <> '')"
+TABLES["fact_of"] = r"""SELECT doc_id, text, f.question AS fact, q.question, len(regexp_extract_all(fact, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]')) AS cap, list_distinct(regexp_extract_all(lower(fact), '[a-z0-9]+')) AS ft, list_distinct(regexp_extract_all(lower(q.question), '[a-z0-9]+')) AS qt
+    FROM documents JOIN asked USING (doc_id) JOIN questions q USING (item_id) JOIN questions f ON f.item_id = (asked.item_id + 7) % (SELECT count(*) FROM benchmark)"""
+TABLES["pieces"] = rf"""SELECT doc_id, cap, ft, qt, generate_subscripts(p, 1) - 1 AS i, unnest(p) AS piece FROM (SELECT doc_id, cap, ft, qt, {_PIECES} AS p FROM fact_of)"""
+TABLES["piece_sums"] = r"""SELECT *, len(regexp_extract_all(piece, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]')) AS t, sum(t) OVER (PARTITION BY doc_id ORDER BY i) AS upto, regexp_extract_all(lower(piece), '[a-z0-9]+') AS terms FROM pieces"""
+TABLES["piece_windows"] = """SELECT a.doc_id, a.i, b.i AS j, a.t AS t, b.upto - a.upto + a.t AS tokens FROM piece_sums a ASOF JOIN piece_sums b ON a.doc_id = b.doc_id AND a.upto - a.t + a.cap >= b.upto WHERE b.i >= a.i"""
+TABLES["window_terms"] = """SELECT w.doc_id, w.i, w.j, w.tokens, count(DISTINCT term) FILTER (list_contains(ft, term)) AS f, count(DISTINCT term) FILTER (list_contains(qt, term)) AS q FROM piece_windows w
+    LEFT JOIN (SELECT doc_id, ft, qt, i, unnest(list_filter(terms, lambda x: list_contains(ft, x) OR list_contains(qt, x))) AS term FROM piece_sums) p ON p.doc_id = w.doc_id AND p.i BETWEEN w.i AND w.j GROUP BY ALL"""
+
+
+@query(r"""top_window AS (SELECT * FROM window_terms QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY 2 * f + q DESC, f + q DESC, tokens DESC, i) = 1)
+SELECT d.doc_id, b.i AS start, b.j - b.i + 1 AS words, b.tokens, f AS fact_terms, q AS question_terms,
+    CASE WHEN b.i IS NOT NULL THEN md5(array_to_string((""" + _PIECES + r""")[b.i + 1:b.j + 1], ' ')) END AS span FROM fact_of d LEFT JOIN top_window b ON b.doc_id = d.doc_id""")
+def c12_length_matched_span(spark, sf_dir):
+    """Of each whole document the window that says most of a fact, in no more tokens than it."""
+    asked = base.asked(spark, sf_dir).withColumn("fact_id", F.col("item_id") + 7)
+    items = base.questions(spark, sf_dir)
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    rows = base._spread(base.table(spark, sf_dir, "documents").select("doc_id", "text")).join(asked, "doc_id").join(F.broadcast(n)).withColumn("fact_id", F.col("fact_id") % F.col("n"))
+    rows = rows.join(items, "item_id").join(items.select(F.col("item_id").alias("fact_id"), F.col("question").alias("fact")), "fact_id")
+    rows = with_best_window(rows.select("doc_id", "text", "fact", "question"), F.col("text"), F.col("fact"), F.col("question"))
+    span = F.md5(F.encode(F.regexp_replace("window.span", "[ \\t\\n\\x0b\\f\\r]+", " "), "utf-8"))
+    return rows.select("doc_id", *[F.col(f"window.{c}").cast("long").alias(c) for c in ("start", "words", "tokens", "fact_terms", "question_terms")], span.alias("span"))
