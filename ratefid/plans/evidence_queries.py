@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ratefid.functions.text import count_tokens
 from ratefid.operators import evidence as evd
+from ratefid.operators.packet_checks import checked
 from ratefid.operators.spans import with_best_window
 
 from . import base
@@ -161,3 +163,27 @@ def c12_length_matched_span(spark, sf_dir):
     rows = with_best_window(rows.select("doc_id", "text", "fact", "question"), F.col("text"), F.col("fact"), F.col("question"))
     span = F.md5(F.encode(F.regexp_replace("window.span", "[ \\t\\n\\x0b\\f\\r]+", " "), "utf-8"))
     return rows.select("doc_id", *[F.col(f"window.{c}").cast("long").alias(c) for c in ("start", "words", "tokens", "fact_terms", "question_terms")], span.alias("span"))
+
+
+def planted_packets(spark, sf_dir):
+    """doc_id, packet_id, source, gist, residual: a packet's first words as its gist and the others as its residual, faults planted in seven of sixteen."""
+    rows = base.packets(spark, sf_dir).select("doc_id", "packet_id", "text")
+    words = F.filter(F.split("text", "[ \\n]+"), lambda w: w != "")
+    rows = evd.once(rows, w=words)
+    cut = F.ceil(F.size("w") * 0.35).cast("int")
+    rows = evd.once(rows, g=F.array_join(F.slice("w", 1, cut), " "), r=F.array_join(F.slice("w", cut + 1, F.size("w")), " "))
+    kind = (F.col("doc_id") * 7 + F.col("packet_id")) % 16
+    title = F.lit("Document title: [[x|Grand *Hotel*]]\n")
+    source = F.when(kind == 4, F.concat("text", F.lit(" Nineteen Hundred and forty-second, three million people"))).when(kind.isin(5, 6), F.concat(title, "text")).otherwise(F.col("text"))
+    gist = F.when(kind == 0, " ").when(kind == 3, F.concat("g", F.lit(" on the 1,987th"))).when(kind == 4, F.concat("g", F.lit(" 1942 $3000000")))
+    gist = gist.when(kind == 6, F.concat(F.lit("grand hotel "), "g")).when(kind == 7, F.col("text")).when(kind == 8, F.concat("g", F.lit(" Zed Quux, No.9")))
+    residual = F.when(kind == 1, F.col("g")).when(kind == 2, F.lit("")).otherwise(F.col("r"))
+    return rows.select("doc_id", "packet_id", source.alias("source"), gist.otherwise(F.col("g")).alias("gist"), residual.alias("residual"))
+
+
+@query()
+def b24_packet_checks(spark, sf_dir):
+    """Errors and warnings of every packet; held against a plain check of each in the tests."""
+    rows = checked(planted_packets(spark, sf_dir), count_tokens)
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return rows.select("doc_id", "packet_id", *map(joined, ("errors", "warnings", "new_numbers", "missing_titles", "new_names")))
