@@ -144,3 +144,34 @@ def reachable_histories(valued: DataFrame, n: int, k: int, key: str = "doc_id")
     fold = f"aggregate(sequence(1, {(1 << n) - 1}), array(shiftleft(1, attained[0])), (a, m) -> concat(a, array({step})))"
     rows = _bound(valued, seen=fold).select(key, F.posexplode("seen").alias("mask", "bits"))
     return rows.select(key, "mask", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k)), lambda r: F.expr("bits").bitwiseAND(F.pow(F.lit(2), r).cast("int")) != 0)).alias("reached"))
+
+
+def supervision_histories(valued: DataFrame, n: int, k: int, seed: str, best_runs: int = 4, random_runs: int = 4, slack: float = 0.0, key: str = "doc_id") -> DataFrame:
+    """key, history (packets so far), mask, reached, actions (the best ones there), source, n_runs: what to learn from, each history once.
+
+    Runs go through all packets: ``best_runs`` by best actions, one for each depth that takes the nearest action that is not a best
+    one there (a best one if there is no other), ``random_runs`` by any action. Where a run may choose, the least hash of seed,
+    key, run, depth and packet does, so the same seed gives the same rows. ``source`` is the first run that has the history,
+    n_runs how many do. A fold per run in the row of its lattice: nothing is shuffled.
+    """
+    bit = "shiftleft(1, b)"
+    after = action_value(n, "a.r", f"value[a.m | {bit}]").replace("(m |", "(a.m |").replace("[m |", "[a.m |")
+    low = (1 << COST_BITS) - 1
+    best = f"shiftright({after}, {COST_BITS}) = shiftright(value[a.m][a.r], {COST_BITS}) AND ({after} & {low}L) <= (value[a.m][a.r] & {low}L) + {slack}D * {k} * tokens[{(1 << n) - 1}] + 1e-9D"
+    pick = f"array_min(transform({{}}, b -> struct(md5(concat_ws(':', '{seed}', {key}, x.no, d, b)) AS h, b AS b))).b"
+    nearest = f"array_min(transform(array_except(free, opt), b -> struct({after} AS v, b AS b))).b"
+    chosen = f"CASE WHEN x.kind = 'random' THEN {pick.format('free')} WHEN x.kind = 'deviation' AND x.which = d AND size(opt) < size(free) THEN {nearest} ELSE {pick.format('opt')} END"
+    moved = "a.m | shiftleft(1, p)"
+    step = (
+        f"transform(array(filter(sequence(0, {n - 1}), b -> (a.m & {bit}) = 0)), free -> transform(array(filter(free, b -> {best})), opt -> transform(array({chosen}), p -> "
+        f"named_struct('m', {moved}, 'r', greatest(a.r, attained[{moved}]), 'h', concat(a.h, array(p)), "
+        "'rows', concat(a.rows, array(named_struct('history', a.h, 'mask', a.m, 'reached', a.r, 'actions', opt)))))[0])[0])[0]"
+    )
+    start = "named_struct('m', 0, 'r', attained[0], 'h', CAST(array() AS array<int>), 'rows', CAST(array() AS array<struct<history: array<int>, mask: int, reached: int, actions: array<int>>>))"
+    kinds = [("best", i) for i in range(best_runs)] + [("deviation", i) for i in range(n)] + [("random", i) for i in range(random_runs)]
+    runs = "array(" + ", ".join(f"named_struct('kind', '{kind}', 'which', {which}, 'no', {no})" for no, (kind, which) in enumerate(kinds)) + ")"
+    walks = f"transform({runs}, x -> transform(aggregate(sequence(0, {n - 1}), {start}, (a, d) -> {step}).rows, y -> named_struct('source', concat(x.kind, '_', x.which), 'row', y)))"
+    rows = _bound(valued, met=f"flatten({walks})")
+    rows = _bound(rows, firsts="array_distinct(transform(met, z -> z.row.history))")
+    one = "transform(firsts, f -> transform(array(filter(met, z -> z.row.history = f)), own -> named_struct('history', f, 'mask', own[0].row.mask, 'reached', own[0].row.reached, 'actions', own[0].row.actions, 'source', own[0].source, 'n_runs', size(own)))[0])"
+    return rows.select(key, F.inline(F.expr(one)))
