@@ -1,42 +1,95 @@
-"""BM25 inside an example, and what is chosen by it."""
+"""BM25 inside an example, and what is chosen by it: an example's items are arrays in its row, so nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .evidence import once
 
-def bm25(docs: DataFrame, queries: DataFrame, group: str, item: str, k1: float = 1.2, b: float = 0.75, distinct_terms: bool = False) -> DataFrame:
-    """group, item, score. ``docs`` has group, item, terms; ``queries`` group, terms. The corpus of a query is its own group.
+NO_INTS = "array<int>"
 
-    Counts of a term in an item, of items with a term, and of items come from grouped sums; repeated query terms count again
-    unless ``distinct_terms``.
+
+def with_bm25(df: DataFrame, items: str, query: Column, name: str = "scores", k1: float = 1.2, b: float = 0.75, distinct_terms: bool = False) -> DataFrame:
+    """Adds the array of scores of ``items`` (an array of arrays of terms) for the terms of ``query``. The corpus is the row's own items.
+
+    Terms outside the query are dropped first; of the others, counts by item give document frequencies and scores. Repeated query
+    terms count again unless ``distinct_terms``. A null query has no terms.
     """
-    by = Window.partitionBy(group)
-    sized = docs.withColumn("len", F.size("terms"))
-    sized = sized.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("mean", F.avg("len").over(by))
-    counts = sized.select(group, item, "len", "n", "mean", F.explode("terms").alias("term")).groupBy(group, item, "len", "n", "mean", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(group, "term")))
-    asked = queries.select(group, F.explode(F.array_distinct("terms") if distinct_terms else F.col("terms")).alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("qf"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scores = counts.join(asked, [group, "term"]).groupBy(group, item).agg(F.sum(part).alias("score"))
-    return docs.select(group, item).join(scores, [group, item], "left").select(group, item, F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def top_items(scores: DataFrame, group: str, item: str, k: int, digits: int = 9) -> DataFrame:
-    """The k best items of each group, ties to the earlier one, marked with their rank."""
-    w = Window.partitionBy(group).orderBy(F.desc(F.round("score", digits)), item)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def within_budget(ranked: DataFrame, group: str, item: str, cost: str, budget: str) -> DataFrame:
-    """Walk the ranked items and keep each that still fits the group's budget; the first one always stays."""
-    rows = ranked.groupBy(group, budget).agg(F.array_sort(F.collect_list(F.struct("rank", F.col(item).alias("item"), F.col(cost).cast("long").alias("cost")))).alias("r"))
+    asked = F.coalesce(query, F.array().cast("array<string>"))
+    df = once(df, _asked=asked, _terms=F.array_distinct(asked), _sizes=F.transform(items, F.size))
+    df = once(df, _held=F.transform(items, lambda t: F.filter(t, lambda x: F.array_contains("_terms", x))), _mean=F.aggregate("_sizes", F.lit(0.0), lambda a, n: a + n) / F.size("_sizes"))
+    df = once(df, _counts=F.transform("_terms", lambda t: F.transform("_held", lambda h: F.size(F.filter(h, lambda x: x == t)).cast("double"))))
+
+    def weight(term: Column, counts: Column) -> Column:
+        n, found = F.size("_sizes"), F.size(F.filter(counts, lambda c: c > 0))
+        times = F.lit(1) if distinct_terms else F.size(F.filter("_asked", lambda x: x == term))
+        return times * F.log(1 + (n - found + 0.5) / (found + 0.5))
+
+    df = once(df, _weights=F.zip_with("_terms", "_counts", weight))
+
+    def score(size: Column, i: Column) -> Column:
+        norm = k1 * (1 - b + b * size / F.col("_mean"))
+        part = lambda w, c: F.when(F.get(c, i) > 0, w * F.get(c, i) * (k1 + 1) / (F.get(c, i) + norm)).otherwise(0.0)
+        return F.aggregate(F.zip_with("_weights", "_counts", part), F.lit(0.0), lambda a, x: a + x)
+
+    return once(df, **{name: F.transform("_sizes", score)}).drop("_asked", "_terms", "_sizes", "_held", "_mean", "_counts", "_weights")
+
+
+def ranked(scores: Column, digits: int = 9) -> Column:
+    """Places of the items, best first, ties to the earlier one."""
+    pairs = F.transform(scores, lambda s, i: F.struct((-F.round(s, digits)).alias("s"), i.alias("i")))
+    return F.transform(F.array_sort(pairs), lambda p: p["i"])
+
+
+def filled(selected: Column, order: Column, k: int) -> Column:
+    """The selected places and as many of the best others as make ``k``, in source order."""
+    return F.array_sort(F.slice(F.concat(selected, F.array_except(order, selected)), 1, k))
+
+
+def within_budget(order: Column, costs: Column, budget: Column) -> Column:
+    """Walk the ranked items and keep each that still fits the budget; the first one always stays: struct(used, kept)."""
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    fits = lambda a, x: (F.size(a["kept"]) == 0) | (a["used"] + x["cost"] <= F.col(budget))
-    step = lambda a, x: F.struct(
-        F.when(fits(a, x), a["used"] + x["cost"]).otherwise(a["used"]).alias("used"),
-        F.when(fits(a, x), F.concat(a["kept"], F.array(x["item"].cast("long")))).otherwise(a["kept"]).alias("kept"),
+    fits = lambda a, i: (F.size(a["kept"]) == 0) | (a["used"] + F.get(costs, i) <= budget)
+    step = lambda a, i: F.struct(
+        F.when(fits(a, i), a["used"] + F.get(costs, i)).otherwise(a["used"]).alias("used"),
+        F.when(fits(a, i), F.concat(a["kept"], F.array(i.cast("long")))).otherwise(a["kept"]).alias("kept"),
     )
-    return rows.select(group, F.aggregate("r", start, step).alias("s")).select(group, "s.used", "s.kept")
+    return F.aggregate(order, start, step)
+
+
+def plain_title(text: Column) -> Column:
+    """Words of a title in small letters, without a last remark in parentheses."""
+    return F.array_join(F.regexp_extract_all(F.regexp_replace(F.lower(text), "\\s*\\([^)]*\\)\\s*$", ""), F.lit("[\\p{L}\\p{N}_]+"), 0), " ")
+
+
+def linked_title_pair(df: DataFrame, candidates: str, question: Column, words, k: int = 6, k1: float = 1.2, b: float = 0.75, bonus: float = 1.5) -> DataFrame:
+    """Adds pair (two titles' places, or null) and picks (places of k candidates in source order).
+
+    ``candidates`` is an array of structs of title and sentence; those of one title are a paragraph. Paragraphs score by BM25 as a
+    share of the best; of all two of a row the pair of most points counts, and a pair has ``bonus`` points more if one's title
+    (of three letters or more) occurs in the other's text. The question with both titles then asks again for sentences: three of
+    each paragraph, filled up with the best of all. A row of fewer than two titles takes the best sentences for its question.
+    """
+    shown = lambda c: F.concat(F.lit("Title: "), c["title"], F.lit("\n"), c["sentence"])
+    df = once(df, _titles=F.array_distinct(F.transform(candidates, lambda c: c["title"])), _sentences=F.transform(candidates, lambda c: words(shown(c))))
+    text = lambda t: F.concat(F.lit("Title: "), t, F.lit("\n"), F.array_join(F.transform(F.filter(candidates, lambda c: c["title"] == t), lambda c: c["sentence"]), " "))
+    df = once(df, _paragraphs=F.transform("_titles", text))
+    df = once(df, _words=F.transform("_paragraphs", words), _plain=F.transform("_titles", plain_title), _texts=F.transform("_paragraphs", plain_title))
+    df = with_bm25(df, "_words", words(question), "_points", k1, b)
+    best = F.array_max("_points")
+    df = df.withColumn("_share", F.transform("_points", lambda s: F.when(best > 0, s / best).otherwise(0.0)))
+    names = lambda one, other: (F.length(F.get("_plain", one)) >= 3) & F.contains(F.get("_texts", other), F.get("_plain", one))
+    later = lambda i: F.filter(F.sequence(F.lit(0), F.size("_titles") - 1), lambda j: j > i)
+    points = lambda i, j: F.get("_share", i) + F.get("_share", j) + F.when(names(i, j) | names(j, i), bonus).otherwise(0.0)
+    pair = lambda i, j: F.struct((-F.round(points(i, j), 9)).alias("s"), i.alias("left"), j.alias("right"))
+    every = F.when(F.size("_titles") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("_titles") - 1), lambda i: F.transform(later(i), lambda j: pair(i, j)))))
+    df = once(df, pair=F.array_min(every))
+    title = lambda side: F.get("_titles", F.col(f"pair.{side}"))
+    asked = F.when(F.col("pair").isNull(), question).otherwise(F.concat_ws(" ", question, title("left"), title("right")))
+    df = with_bm25(df, "_sentences", words(asked), "_scores", k1, b)
+    df = once(df, _order=ranked(F.col("_scores")))
+    own = lambda side: F.slice(F.filter("_order", lambda i: F.get(candidates, i)["title"] == title(side)), 1, 3)
+    first = F.when(F.col("pair").isNull(), F.array().cast(NO_INTS)).otherwise(F.concat(own("left"), own("right")))
+    df = once(df, picks=filled(first, F.col("_order"), k))
+    return df.drop("_titles", "_sentences", "_paragraphs", "_words", "_plain", "_texts", "_points", "_share", "_scores", "_order")

@@ -18,7 +18,7 @@ from .evaluate_queries import _labelled
 from .policy_queries import _folded
 from .registry import query
 from .sql import TABLES
-from .text_queries import _answers, _bm25_inputs, _bm25_sql
+from .text_queries import _answers, _bm25_sql, _chosen, _retrievable
 
 N = base.N_PACKETS
 TARGET, MOST = 48, 64
@@ -157,15 +157,13 @@ m AS (SELECT r.doc_id, r.idx, r.rank, t.packet_id IS NOT NULL AND inside <= 2 AS
 SELECT doc_id, idx, chosen FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chosen DESC, rank) <= 6""")
 def c04_hierarchical(spark, sf_dir):
     """Two sentences of each of the three best packets, filled up to six by the rank among all."""
-    docs, asked = _bm25_inputs(spark, sf_dir)
-    packets = base.packets(spark, sf_dir).select("doc_id", "packet_id", base.terms(F.col("text")).alias("terms"))
-    top = rt.top_items(rt.bm25(packets, asked, "doc_id", "packet_id"), "doc_id", "packet_id", 3).select("doc_id", "packet_id", F.lit(True).alias("top"))
-    rows = rt.bm25(docs, asked, "doc_id", "idx").join(base.packet_sentences(spark, sf_dir).select("doc_id", "idx", "packet_id"), ["doc_id", "idx"]).join(top, ["doc_id", "packet_id"], "left")
-    order = [F.desc(F.round("score", 9)), F.col("idx")]
-    inside = F.row_number().over(Window.partitionBy("doc_id", "packet_id").orderBy(*order))
-    rows = rows.withColumn("chosen", F.coalesce("top", F.lit(False)) & (inside <= 2))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("chosen"), *order))
-    return rows.withColumn("rank", rank).where("rank <= 6").select("doc_id", "idx", "chosen")
+    rows = base._once(_chosen(spark, sf_dir), at=F.transform("s", lambda x, i: F.floor(i * N / F.size("s")).cast("int")))
+    rows = base._once(rows, packets=F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda p: F.flatten(F.filter("terms", lambda t, i: F.get("at", i) == p))))
+    rows = rt.with_bm25(rows, "packets", F.col("asked"), "packet_scores")
+    best = F.slice(rt.ranked(F.col("packet_scores")), 1, 3)
+    rows = base._once(rows, two=F.flatten(F.transform(best, lambda p: F.slice(F.filter("order", lambda i: F.get("at", i) == p), 1, 2))))
+    picks = rt.filled(F.col("two"), F.col("order"), 6)
+    return rows.select("doc_id", F.explode(F.transform(picks, lambda i: F.struct(i.alias("idx"), F.array_contains("two", i).alias("chosen")))).alias("x")).select("doc_id", "x.idx", "x.chosen")
 
 
 TABLES["policy_picks"] = """SELECT 0 AS place, 'bm25' AS policy, doc_id, idx FROM top_sentences UNION ALL SELECT 1, 'distinct', doc_id, idx FROM bm25_distinct QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) <= 6
@@ -178,15 +176,12 @@ w AS (SELECT place FROM m WHERE dev ORDER BY round(coverage, 9) DESC, place LIMI
 SELECT policy, dev, coverage, n, coverage >= 0.2 AS passed FROM m JOIN w USING (place)""")
 def c08_policy_on_dev(spark, sf_dir):
     """The policy of most coverage on the development half, ties to the one named first; then its coverage on the other half, against a gate."""
-    docs, asked = _bm25_inputs(spark, sf_dir)
-    chosen = lambda scores: rt.top_items(scores, "doc_id", "idx", 6).select("doc_id", "idx")
-    policies = {"bm25": chosen(rt.bm25(docs, asked, "doc_id", "idx")), "distinct": chosen(rt.bm25(docs, asked, "doc_id", "idx", k1=1.5, distinct_terms=True)), "lead": docs.where("idx < 6").select("doc_id", "idx")}
-    picks = None
+    policies = {"bm25": _chosen(spark, sf_dir), "distinct": _chosen(spark, sf_dir, k1=1.5, distinct_terms=True), "lead": _retrievable(spark, sf_dir).withColumn("picks", F.slice(F.sequence(F.lit(0), F.size("s") - 1), 1, 6))}
+    rows = None
     for at, (name, df) in enumerate(policies.items()):
-        own = df.select(F.lit(at).alias("at"), F.lit(name).alias("policy"), "doc_id", "idx")
-        picks = own if picks is None else picks.unionByName(own)
-    held = picks.join(docs, ["doc_id", "idx"]).groupBy("at", "policy", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("held"))
-    rows = held.join(asked.select("doc_id", F.array_distinct("terms").alias("wanted")), "doc_id").where(F.size("wanted") > 0)
+        held = F.array_distinct(F.flatten(F.transform("picks", lambda i: F.get("terms", i))))
+        own = df.select(F.lit(at).alias("at"), F.lit(name).alias("policy"), "doc_id", held.alias("held"), F.array_distinct("asked").alias("wanted")).where(F.size("wanted") > 0)
+        rows = own if rows is None else rows.unionByName(own)
     dev = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 1) < "8"
     m = rows.groupBy("at", "policy", dev.alias("dev")).agg(F.avg(F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("coverage"), F.count(F.lit(1)).alias("n"))
     best = m.where("dev").orderBy(F.desc(F.round("coverage", 9)), "at").limit(1).select("at")

@@ -228,10 +228,20 @@ def b02_controlled_units(spark, sf_dir):
     return kept.select("doc_id", "idx", (F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1).alias("unit_id"), "overlap")
 
 
-def _bm25_inputs(spark, sf_dir):
-    docs = base.sentences(spark, sf_dir).select("doc_id", "idx", base.terms(F.col("sentence")).alias("terms"))
-    asked = base.asked(spark, sf_dir).join(base.questions(spark, sf_dir), "item_id").select("doc_id", base.terms(F.col("question")).alias("terms"))
-    return docs, asked
+def _retrievable(spark, sf_dir):
+    """doc_id, asked (the terms of its question), s (its sentences), terms and tokens of each; a row a document that has a sentence."""
+    docs = base._spread(base.table(spark, sf_dir, "documents").select("doc_id", "text")).join(base.asked(spark, sf_dir), "doc_id")
+    docs = docs.join(base.questions(spark, sf_dir).select("item_id", base.terms(F.col("question")).alias("asked")), "item_id", "left")
+    docs = base._once(docs, s=base.sentence_array(F.col("text"))).select("doc_id", "asked", "s").where(F.size("s") > 0)
+    docs = base._once(docs, terms=F.transform("s", base.terms))
+    return base._once(docs, tokens=F.transform("terms", lambda t: F.size(t).cast("long")))
+
+
+def _chosen(spark, sf_dir, **options):
+    """The same with scores, order (places by falling score), and picks: the best six in source order."""
+    rows = rt.with_bm25(_retrievable(spark, sf_dir), "terms", F.col("asked"), **options)
+    rows = base._once(rows, order=rt.ranked(F.col("scores")))
+    return base._once(rows, picks=F.array_sort(F.slice("order", 1, 6)))
 
 
 def _bm25_sql(k1: float, distinct: bool) -> str:
@@ -249,17 +259,17 @@ TABLES["bm25_distinct"] = _bm25_sql(1.5, True)
 
 @query("SELECT * FROM bm25_scores")
 def c01_bm25(spark, sf_dir):
-    return rt.bm25(*_bm25_inputs(spark, sf_dir), "doc_id", "idx")
+    return rt.with_bm25(_retrievable(spark, sf_dir), "terms", F.col("asked")).select("doc_id", F.posexplode("scores").alias("idx", "score"))
 
 
 @query("SELECT * FROM bm25_distinct")
 def c02_bm25_distinct_terms(spark, sf_dir):
-    return rt.bm25(*_bm25_inputs(spark, sf_dir), "doc_id", "idx", k1=1.5, distinct_terms=True)
+    return rt.with_bm25(_retrievable(spark, sf_dir), "terms", F.col("asked"), k1=1.5, distinct_terms=True).select("doc_id", F.posexplode("scores").alias("idx", "score"))
 
 
 @query("SELECT doc_id, idx FROM bm25_scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) <= 6")
 def c03_top_sentences(spark, sf_dir):
-    return rt.top_items(rt.bm25(*_bm25_inputs(spark, sf_dir), "doc_id", "idx"), "doc_id", "idx", 6).select("doc_id", "idx")
+    return _chosen(spark, sf_dir).select("doc_id", F.explode("picks").alias("idx"))
 
 
 TABLES["top_sentences"] = "SELECT doc_id, idx FROM bm25_scores QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) <= 6"
@@ -270,10 +280,9 @@ TABLES["top_sentences"] = "SELECT doc_id, idx FROM bm25_scores QUALIFY row_numbe
 SELECT doc_id, count(*) AS n_units, string_agg(unit || ':' || tokens, ',' ORDER BY unit) AS units, md5(string_agg(sentence, chr(10) || chr(10) ORDER BY unit)) AS context FROM picked GROUP BY doc_id""")
 def c06_selected_example(spark, sf_dir):
     """The example made of the chosen sentences, in their source order: units numbered anew, their tokens, and the joined context."""
-    chosen = rt.top_items(rt.bm25(*_bm25_inputs(spark, sf_dir), "doc_id", "idx"), "doc_id", "idx", 6).select("doc_id", "idx")
-    rows = base.sentences(spark, sf_dir).select("doc_id", "idx", "sentence", "tokens").join(chosen, ["doc_id", "idx"])
-    units = F.array_sort(F.collect_list(F.struct("idx", "sentence", "tokens")))
-    rows = rows.groupBy("doc_id").agg(units.alias("u"))
+    at = lambda c, i: F.get(c, i)
+    units = F.transform("picks", lambda i: F.struct(at("s", i).alias("sentence"), at("tokens", i).alias("tokens")))
+    rows = base._once(_chosen(spark, sf_dir), u=units)
     shown = F.transform("u", lambda x, i: F.concat_ws(":", i.cast("string"), x["tokens"].cast("string")))
     context = F.array_join(F.transform("u", lambda x: x["sentence"]), "\n\n")
     return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.array_join(shown, ",").alias("units"), F.md5(F.encode(context, "utf-8")).alias("context"))
@@ -282,21 +291,19 @@ def c06_selected_example(spark, sf_dir):
 @query("""held AS (SELECT DISTINCT s.doc_id, u.term FROM sentence_terms s JOIN top_sentences USING (doc_id, idx), unnest(s.t) u(term))
 SELECT a.doc_id, count(q.term) AS n_terms, count(held.term) AS n_covered FROM asked a JOIN question_terms q USING (item_id) LEFT JOIN held ON held.doc_id = a.doc_id AND held.term = q.term GROUP BY a.doc_id""")
 def c07_policy_coverage(spark, sf_dir):
-    docs, asked = _bm25_inputs(spark, sf_dir)
-    chosen = rt.top_items(rt.bm25(docs, asked, "doc_id", "idx"), "doc_id", "idx", 6).select("doc_id", "idx")
-    held = docs.join(chosen, ["doc_id", "idx"]).select("doc_id", F.explode("terms").alias("term")).distinct().withColumn("there", F.lit(1))
-    wanted = asked.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
-    return wanted.join(held, ["doc_id", "term"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.count("there").alias("n_covered"))
+    wanted = F.array_distinct("asked")
+    held = F.array_distinct(F.flatten(F.transform("picks", lambda i: F.get("terms", i))))
+    chosen = _chosen(spark, sf_dir).select("doc_id", F.size(F.array_intersect(wanted, held)).cast("long").alias("n_covered"))
+    every = base.asked(spark, sf_dir).join(base.questions(spark, sf_dir), "item_id").select("doc_id", F.size(F.array_distinct(base.terms(F.col("question")))).cast("long").alias("n_terms"))
+    return every.where("n_terms > 0").join(chosen, "doc_id", "left").select("doc_id", "n_terms", F.coalesce("n_covered", F.lit(0)).alias("n_covered"))
 
 
 @query()
 def c10_budgeted_selection(spark, sf_dir):
     """A quarter of each document's tokens, by BM25 rank; the fold is held against brute force in the tests."""
-    docs, asked = _bm25_inputs(spark, sf_dir)
-    total = base.sentences(spark, sf_dir).groupBy("doc_id").agg(F.floor(F.sum("tokens") * 0.25).alias("budget"))
-    ranked = rt.top_items(rt.bm25(docs, asked, "doc_id", "idx"), "doc_id", "idx", 1 << 30).join(base.sentences(spark, sf_dir).select("doc_id", "idx", "tokens"), ["doc_id", "idx"])
-    out = rt.within_budget(ranked.join(total, "doc_id"), "doc_id", "idx", "tokens", "budget")
-    return out.select("doc_id", "used", F.size("kept").alias("n_kept"), F.array_join(F.transform(F.array_sort("kept"), lambda i: i.cast("string")), ",").alias("kept"))
+    budget = F.floor(F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t) * 0.25)
+    out = base._once(_chosen(spark, sf_dir), k=rt.within_budget(F.col("order"), F.col("tokens"), budget))
+    return out.select("doc_id", "k.used", F.size("k.kept").alias("n_kept"), F.array_join(F.transform(F.array_sort("k.kept"), lambda i: i.cast("string")), ",").alias("kept"))
 
 
 @query("SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY sha256(doc_id || ':' || idx)) AS rank FROM sentences")
