@@ -215,3 +215,44 @@ def k15_held_out_probe(spark, sf_dir):
     words = words.select("doc_id", F.log1p(F.size("t")).alias("n_words"), (F.size(F.array_distinct("t")) / F.greatest(F.size("t"), F.lit(1))).alias("variety"))
     rows = _folded(spark, sf_dir).join(words, "doc_id").withColumn("length", F.log1p("n_chars"))
     return bd.held_out_probe(rows, "doc_id", ["length", "n_words", "variety"], "quality", "fold", 5)
+
+
+def _over(items: str, queries: str) -> str:
+    """BM25 of the items (doc_id, idx, t) of a table for the terms (doc_id, q) of another."""
+    return f"""SELECT i.doc_id, i.idx, coalesce(x.score, 0.0) AS score FROM {items} i LEFT JOIN (
+        SELECT doc_id, idx, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM (
+            SELECT doc_id, idx, term, n, len, mean, tf, count(*) OVER (PARTITION BY doc_id, term)::DOUBLE AS df FROM (
+                SELECT doc_id, idx, n, len, mean, term, count(*)::DOUBLE AS tf FROM (
+                    SELECT doc_id, idx, n, len, mean, unnest(t) AS term FROM (SELECT doc_id, idx, t, len(t)::DOUBLE AS len, avg(len(t)) OVER (PARTITION BY doc_id) AS mean, count(*) OVER (PARTITION BY doc_id)::DOUBLE AS n FROM {items}))
+                GROUP BY ALL))
+        JOIN (SELECT doc_id, term, count(*)::DOUBLE AS qf FROM (SELECT doc_id, unnest(q) AS term FROM {queries}) GROUP BY ALL) USING (doc_id, term) GROUP BY doc_id, idx) x USING (doc_id, idx)"""
+
+
+_TERMS = lambda c: rf"regexp_extract_all(lower({c}), '[\p{{L}}\p{{N}}_]+')"
+_PLAIN = lambda c: "array_to_string(" + _TERMS(rf"regexp_replace(lower({c}), '\s*\([^)]*\)\s*$', '')") + ", ' ')"
+TABLES["titled"] = f"""SELECT doc_id, idx, packet_id, sentence, array_to_string(first_value({_TERMS('sentence')}) OVER (PARTITION BY doc_id, packet_id ORDER BY idx)[1:2], ' ') AS title FROM packet_sentences"""
+TABLES["title_groups"] = """SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY min(idx)) - 1 AS idx, 'Title: ' || title || chr(10) || string_agg(sentence, ' ' ORDER BY idx) AS paragraph FROM titled GROUP BY doc_id, title"""
+TABLES["title_items"] = f"SELECT doc_id, idx, {_TERMS('paragraph')} AS t FROM title_groups"
+TABLES["title_asked"] = f"SELECT doc_id, {_TERMS('question')} AS q FROM asked JOIN questions USING (item_id)"
+TABLES["title_scores"] = _over("title_items", "title_asked")
+TABLES["title_shares"] = f"""SELECT doc_id, idx, title, {_PLAIN('title')} AS plain, {_PLAIN('paragraph')} AS body, CASE WHEN max(score) OVER (PARTITION BY doc_id) > 0 THEN score / max(score) OVER (PARTITION BY doc_id) ELSE 0 END AS share FROM title_groups JOIN title_scores USING (doc_id, idx)"""
+TABLES["title_pairs"] = """SELECT a.doc_id, a.idx AS l, b.idx AS r, a.title AS lt, b.title AS rt, round(a.share + b.share + CASE WHEN length(a.plain) >= 3 AND contains(b.body, a.plain) OR length(b.plain) >= 3 AND contains(a.body, b.plain) THEN 1.5 ELSE 0 END, 9) AS points
+    FROM title_shares a JOIN title_shares b ON a.doc_id = b.doc_id AND a.idx < b.idx QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY points DESC, l, r) = 1"""
+TABLES["shown_items"] = f"SELECT doc_id, idx, {_TERMS(chr(39) + 'Title: ' + chr(39) + ' || title || chr(10) || sentence')} AS t FROM titled"
+TABLES["shown_asked"] = f"SELECT doc_id, {_TERMS('concat_ws(' + chr(39) + ' ' + chr(39) + ', question, lt, rt)')} AS q FROM asked JOIN questions USING (item_id) LEFT JOIN title_pairs USING (doc_id)"
+TABLES["shown_scores"] = _over("shown_items", "shown_asked")
+
+
+@query("""r AS (SELECT doc_id, idx, l, r, CASE WHEN title = lt THEN 0 WHEN title = rt THEN 1 END AS side, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, idx) AS rank,
+    row_number() OVER (PARTITION BY doc_id, title ORDER BY round(score, 9) DESC, idx) AS inside FROM shown_scores JOIN titled USING (doc_id, idx) LEFT JOIN title_pairs USING (doc_id)),
+p AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(side IS NOT NULL AND inside <= 3, false) DESC, rank) <= 6)
+SELECT doc_id, any_value(l) AS l, any_value(r) AS r, string_agg(idx, ',' ORDER BY idx) AS picks FROM p GROUP BY doc_id""")
+def c05_linked_title_pair(spark, sf_dir):
+    """Paragraphs are packets, titled by their first two words."""
+    rows = base._once(_retrievable(spark, sf_dir), at=F.transform("s", lambda x, i: F.floor(i * N / F.size("s")).cast("int")))
+    first = lambda p: F.get(F.filter("terms", lambda t, i: F.get("at", i) == p), F.lit(0))
+    rows = base._once(rows, titles=F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda p: F.array_join(F.slice(first(p), 1, 2), " ")))
+    rows = base._once(rows, candidates=F.transform("s", lambda s, i: F.struct(F.get("titles", F.get("at", i)).alias("title"), s.alias("sentence"))))
+    rows = rows.select("doc_id", "candidates").join(base.asked(spark, sf_dir), "doc_id").join(base.questions(spark, sf_dir), "item_id", "left")
+    rows = rt.linked_title_pair(rows, "candidates", F.col("question"), base.terms)
+    return rows.select("doc_id", F.col("pair.left").alias("l"), F.col("pair.right").alias("r"), F.array_join(F.transform("picks", lambda i: i.cast("string")), ",").alias("picks"))
