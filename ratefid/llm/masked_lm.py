@@ -20,8 +20,10 @@ RARE, PAD = KNOWN, KNOWN + 1
 #: Places before and after the token that the network sees.
 SIDES = (-2, -1, 1, 2)
 WIDTH = 24
-#: In each round every task learns from its share of the positions; after the last one each position was learned from once.
+#: In each round every shard learns from its share of the positions; after the last one each position was learned from once.
 ROUNDS = 2
+#: Tokens of a shard. Shards are dealt by a hash of the rows, so what is learned depends on the texts alone, not on tasks or executors.
+SHARD_TOKENS = 2_000_000
 BATCH = 4096
 RATE = 0.15
 #: The weights travel in pieces, and at most so many tasks' pieces are averaged in one place.
@@ -54,6 +56,18 @@ class Network:
             setattr(self, name, flat[at : at + n].reshape(shape))
             at += n
 
+    @classmethod
+    def unigram(cls, counts: np.ndarray, total: int) -> Network:
+        """A start that gives every known word, and rare ones together, about their share of ``total`` tokens whatever is around them."""
+        net = cls()
+        known = np.zeros(KNOWN)
+        known[: len(counts)] = counts[:KNOWN]
+        by_class = known.reshape(CLASSES, MEMBERS)
+        sums = np.append(by_class.sum(axis=1), max(0, total - known.sum()))
+        net.class_bias[:] = np.log((sums + 0.5) / (sums + 0.5).sum())
+        net.member_bias[:] = np.log((by_class + 0.5) / (by_class + 0.5).sum(axis=1, keepdims=True))
+        return net
+
     def hidden(self, places: np.ndarray) -> np.ndarray:
         """places: rows of ``context``, those around one position in a row."""
         total = self.context[places[:, 0]]
@@ -259,12 +273,15 @@ def _texts(part: pa.RecordBatch, column: int) -> list[np.ndarray]:
     return [np.frombuffer(x, np.dtype("<u2")) for x in part.column(column).to_pylist()]
 
 
-def trained(ids: DataFrame, rounds: int = ROUNDS) -> Network:
-    """Every task learns on from the common weights over all its texts; the weights are averaged by tokens, level by level, in Spark.
+def trained(ids: DataFrame, rounds: int = ROUNDS, start: Network | None = None, shards: int = 1) -> Network:
+    """Every shard learns on from the common weights over all its texts; the weights are averaged by tokens, level by level, in Spark.
 
-    Only the averaged weights, of fixed size, come to the driver. Without any token the network stays as it starts.
+    Rows are dealt to shards, and sorted there, by a hash of id and words: the same texts give the same network however they
+    are laid out. Only the averaged weights, of fixed size, come to the driver. Without any token the network stays as it starts.
     """
-    spark, now = ids.sparkSession, Network()
+    spark, now = ids.sparkSession, start or Network()
+    key = F.xxhash64("ids", "doc_id").alias("key")
+    ids = ids.select("ids", key).repartition(shards, "key").sortWithinPartitions("key")
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(now.flat)
 
@@ -350,7 +367,8 @@ def pseudo_likelihood(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     ids = written(encoded(docs, words, n), "encoded")
     rest = ids.select("row", F.explode("rest").alias("word")).join(counts, "word").groupBy("row")
     rest = rest.agg(F.sum(F.log("n")).alias("more_logs"), F.count(F.when(F.col("n") == 1, 1)).alias("more_once"))
-    out = network_scores(ids, trained(ids, rounds)).join(rest, "row", "left")
+    net = trained(ids, rounds, Network.unigram(n[:KNOWN], total), max(1, -(-total // SHARD_TOKENS)))
+    out = network_scores(ids, net).join(rest, "row", "left")
     scale = float(np.log(max(1, total - int(n[:KNOWN].sum()))))
     rare = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_rare") * F.lit(scale)
     out = out.withColumn("log_likelihood", F.col("log_likelihood") + rare).withColumn("n_once", F.col("once") + F.coalesce("more_once", F.lit(0)))

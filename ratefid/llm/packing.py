@@ -301,12 +301,13 @@ def in_table_order(docs: DataFrame) -> DataFrame:
     Spark numbers a table's files as the sorted ranges that they were written from; rows are dealt to tasks by file and place.
     A DataFrame that does not come from files is left as it is.
     """
+    place = F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("f"), F.col("_metadata.file_name").alias("n"), F.col("_metadata.row_index").alias("r"))
     try:
-        rows = docs.select("*", F.struct(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("f"), F.col("_metadata.file_name").alias("n"), F.col("_metadata.row_index").alias("r")).alias("_place"))
+        rows = docs.select(F.struct(*docs.columns).alias("caller"), place.alias("place"))
     except AnalysisException:
         return docs
     n = max(1, docs.rdd.getNumPartitions())
-    return rows.repartitionByRange(n, "_place").sortWithinPartitions("_place").select(*docs.columns)
+    return rows.repartitionByRange(n, "place").sortWithinPartitions("place").select(*[F.col("caller").getField(c).alias(c) for c in docs.columns])
 
 
 def word_vocabulary() -> str:

@@ -97,6 +97,15 @@ def test_a_table_is_packed_in_the_order_it_was_written(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
 
 
+def test_table_order_keeps_clashing_columns(spark, tmp_path):
+    docs = spark.range(20).selectExpr("id AS doc_id", "'a b' AS text", "1 AS _place", "2 AS place", "3 AS caller")
+    docs.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    got = in_table_order(table)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
+    assert in_table_order(docs).columns == docs.columns
+
+
 def test_nulls_ties_long_texts_and_empty_tables(spark):
     rows = [(1, None), (1, ""), (None, "a b"), (2, "word " * 10_000), (2, "word " * 10_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("x")).coalesce(1)
