@@ -11,6 +11,7 @@ from ratefid.operators import packet_checks as pc
 from ratefid.plans import evidence_queries as eq
 from ratefid.plans import registry
 
+registry.load()
 SF = "/root/testdata/sf0.001"
 
 
