@@ -49,16 +49,6 @@ def d14_cohorts(spark, sf_dir):
     return rows.select("doc_id", "lang", F.col("slice").alias("cohort"))
 
 
-@query("SELECT doc_id, packet_id, pos FROM orders WHERE false")
-def c09_label_invariance(spark, sf_dir):
-    """Orders made without labels, from documents joined to true and to flipped labels: no row may differ."""
-    order = base.orders(spark, sf_dir).where("arm = 'learned'").select("doc_id", "packet_id", "pos")
-    labels = base.table(spark, sf_dir, "labels")
-    flipped = labels.withColumn("toxic", 1 - F.col("toxic"))
-    seen = lambda lab: order.join(lab, "doc_id", "left").select("doc_id", "packet_id", "pos")
-    return seen(labels).exceptAll(seen(flipped))
-
-
 @query("""o AS (SELECT doc_id, depth, max(CASE WHEN arm = 'learned' THEN hit END) AS a, max(CASE WHEN arm = 'control' THEN hit END) AS b FROM hits WHERE level_id = 0 GROUP BY ALL)
 SELECT depth, k, count(*) FILTER (CASE k WHEN 1 THEN a ELSE a OR b END) AS covered, count(a) AS n FROM o, (SELECT unnest([1, 2]) AS k) GROUP BY ALL""")
 def c13_pool_coverage(spark, sf_dir):

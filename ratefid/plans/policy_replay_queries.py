@@ -24,24 +24,6 @@ FRACTIONS = (0.1, 0.25, 0.5, 0.75, 1.0)
 RATES = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 
-@query("""held AS (SELECT doc_id, bit_or(CASE WHEN supporting THEN 1 << packet_id ELSE 0 END) AS held FROM support GROUP BY doc_id),
-x AS (SELECT s.doc_id, s.mask, s.tokens, recall = 1 AS em, 2.0 * recall / (1 + recall) AS f1, CASE WHEN held = 0 THEN 1.0 ELSE bit_count(s.mask & held)::DOUBLE / bit_count(held) END AS support_recall FROM states s JOIN held USING (doc_id))
-SELECT *, least(f1, support_recall) AS fidelity FROM x""")
-def e04_scored_single_answers(spark, sf_dir):
-    """Every state answered by the question's terms that it has, against all of them: match, F1, support recall, and the lesser of both."""
-    rows = base.lattice(spark, sf_dir).select("doc_id", "tokens", "recall", F.expr("aggregate(transform(overlaps, (o, p) -> IF(o > 0, shiftleft(1, p), 0)), 0, (a, x) -> a + x)").alias("held"))
-    rows = rows.select("doc_id", "held", F.posexplode(F.arrays_zip("tokens", "recall")).alias("mask", "x"))
-    share = F.bit_count(F.col("mask").bitwiseAND(F.col("held"))) / F.nullif(F.bit_count("held"), F.lit(0))
-    rows = rows.select("doc_id", "mask", "x.tokens", (F.col("x.recall") == 1).alias("em"), (2.0 * F.col("x.recall") / (1 + F.col("x.recall"))).alias("f1"), F.coalesce(share, F.lit(1.0)).alias("support_recall"))
-    return rows.withColumn("fidelity", F.least("f1", "support_recall"))
-
-
-@query("SELECT doc_id, mask, tokens, fidelity, recall, recall = 1 AS complete, fidelity = 1 AS exact FROM states")
-def e05_scored_list_answers(spark, sf_dir):
-    """Every state answered by the list of its distinct terms: list F1, recall, whether all were found, whether nothing else was."""
-    return base.states(spark, sf_dir).select("doc_id", "mask", "tokens", "fidelity", "recall", (F.col("recall") == 1).alias("complete"), (F.col("fidelity") == 1).alias("exact"))
-
-
 @query("""b AS (SELECT doc_id, mask, reached, count(*) AS n_actions, count(*) FILTER (after = best) AS n_best, string_agg(packet || ':' || lost, ',' ORDER BY packet) AS costs FROM acts JOIN gains USING (doc_id, mask, reached, packet) JOIN seen USING (doc_id, mask, reached) GROUP BY ALL)
 SELECT doc_id, mask, reached, n_actions, n_best, costs, true AS agrees FROM b""")
 def g07_histories_with_costs(spark, sf_dir):
@@ -73,30 +55,6 @@ def g30_boundary_and_retention(spark, sf_dir):
     return kept.unionByName(early.select(*key, F.lit("boundary").alias("kind")))
 
 
-TABLES["reruns"] = """SELECT a.doc_id, d.lang, a.depth, coalesce(a.terms, []) AS x, coalesce(b.terms, []) AS y FROM answer_lists a JOIN answer_lists b ON a.doc_id = b.doc_id AND a.depth = b.depth JOIN documents d ON d.doc_id = a.doc_id WHERE a.arm = 'control' AND b.arm = 'learned'"""
-
-
-@query("""f AS (SELECT doc_id, lang, depth, x = y AS same, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) END AS f1 FROM reruns),
-h AS (SELECT doc_id, depth, count(*) FILTER (base <> candidate) AS flips, count(base) AS n_levels, CAST(sum(candidate_tokens + base_tokens) AS BIGINT) AS cost FROM sides GROUP BY ALL)
-SELECT lang, depth, count(*) AS n, avg(same::INT) AS agreement, avg(f1) AS f1, CAST(sum(flips) AS BIGINT) AS flips, 1.0 - sum(flips)::DOUBLE / nullif(sum(n_levels), 0)::DOUBLE AS threshold_agreement, CAST(sum(cost) AS BIGINT) AS cost FROM f JOIN h USING (doc_id, depth) GROUP BY ALL""")
-def i18_rerun_agreement(spark, sf_dir):
-    """Two runs of a document at a depth: same set of matched terms, their F1, levels that flip, and the tokens of both, by language."""
-    from .text_queries import _answer_sets
-
-    sets = _answer_sets(spark, sf_dir)
-    side = lambda arm, c: sets.where(F.col("arm") == arm).select("doc_id", "depth", F.col("terms").alias(c))
-    both = side("control", "x").join(side("learned", "y"), ["doc_id", "depth"])
-    size = F.size("x") + F.size("y")
-    both = both.select("doc_id", "depth", (F.col("x") == F.col("y")).alias("same"), F.when(size == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect("x", "y")) / size).alias("f1"))
-    levels = ev.paired(base.hits(spark, sf_dir), "control", "learned", ["doc_id", "depth"])
-    levels = levels.groupBy("doc_id", "depth").agg(F.count(F.when(F.col("base") != F.col("candidate"), 1)).alias("flips"), F.count("base").alias("n_levels"), F.sum(F.col("base_tokens") + F.col("candidate_tokens")).alias("cost"))
-    rows = both.join(levels, ["doc_id", "depth"]).join(base.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return rows.groupBy("lang", "depth").agg(
-        F.count(F.lit(1)).alias("n"), ev.rate("same").alias("agreement"), F.avg("f1").alias("f1"), F.sum("flips").alias("flips"),
-        (1.0 - F.sum("flips") / F.nullif(F.sum("n_levels"), F.lit(0))).alias("threshold_agreement"), F.sum("cost").alias("cost"),
-    )
-
-
 _FRACTIONS = ", ".join(f"(CAST({x} AS DOUBLE))" for x in FRACTIONS)
 TABLES["two_depths"] = f"""SELECT a.doc_id, a.level_id, a.hit AS early, b.hit AS late, a.tokens AS early_tokens, b.tokens AS late_tokens FROM hits a JOIN hits b USING (doc_id, arm, level_id) WHERE arm = 'learned' AND a.depth = {PROBE} AND b.depth = {WHOLE}"""
 

@@ -30,4 +30,4 @@ def oracles() -> dict[str, str]:
 
 
 def load() -> None:
-    from . import evaluate_queries, frontier_queries, more_queries, policy_queries, queries_base, split_queries, statistics_queries, tail_queries, text_queries, trajectory_queries, order_queries, policy_replay_queries, input_queries, evidence_queries, bootstrap_queries, example_queries  # noqa: F401
+    from . import evaluate_queries, frontier_queries, more_queries, policy_queries, queries_base, split_queries, statistics_queries, tail_queries, text_queries, trajectory_queries, order_queries, policy_replay_queries, input_queries, evidence_queries, bootstrap_queries, example_queries, answer_queries  # noqa: F401

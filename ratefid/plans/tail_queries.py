@@ -86,20 +86,6 @@ def b11_partition_check(spark, sf_dir):
     return rows.select("doc_id", "unit", F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])), ",").alias("errors"))
 
 
-@query("""t AS (SELECT doc_id, arm, list(packet_id ORDER BY pos) AS l, doc_id % 3 AS kind FROM orders GROUP BY ALL)
-SELECT doc_id, arm, CASE kind WHEN 0 THEN 'ok' WHEN 1 THEN 'repeated' ELSE 'not json' END AS verdict FROM t""")
-def b27_strict_json(spark, sf_dir):
-    """Selections written as JSON, a third of them with a repeated index and a third cut short, and parsed back."""
-    rows = base.orders(spark, sf_dir).groupBy("doc_id", "arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "packet_id"))), lambda x: x["packet_id"]).alias("l"))
-    whole = F.to_json(F.struct(F.col("l").alias("indices")))
-    twice = F.to_json(F.struct(F.concat(F.slice("l", 1, N - 1), F.slice("l", 1, 1)).alias("indices")))
-    kind = F.col("doc_id") % 3
-    rows = rows.withColumn("text", F.when(kind == 0, whole).when(kind == 1, twice).otherwise(F.substring(whole, 1, 9)))
-    got = F.from_json("text", "indices array<int>")["indices"]
-    verdict = F.when(got.isNull(), "not json").when(F.size(F.array_distinct(got)) != N, "repeated").when(F.exists(got, lambda i: (i < 0) | (i >= N)), "range").otherwise("ok")
-    return rows.select("doc_id", "arm", verdict.alias("verdict"))
-
-
 @query("""h AS (SELECT DISTINCT s.doc_id, s.idx FROM sentence_terms s JOIN question_terms q ON q.item_id = s.item_id AND list_contains(s.t, q.term) AND length(q.term) >= 3)
 SELECT s.doc_id, count(h.idx) AS positives, count(*) - count(h.idx) AS negatives FROM sentences s LEFT JOIN h USING (doc_id, idx) GROUP BY s.doc_id HAVING count(h.idx) > 0 AND count(h.idx) < count(*)""")
 def b29_sentence_triplets(spark, sf_dir):

@@ -94,13 +94,6 @@ def _list_pairs(spark, sf_dir):
     return turns.withColumn("gold", F.lead("keys").over(w)).where("gold IS NOT NULL")
 
 
-@query("SELECT conv_id, turn, hit, CASE WHEN n_pred = 0 THEN 0.0 ELSE hit / n_pred END AS precision, CASE WHEN n_gold = 0 THEN 0.0 ELSE hit / n_gold END AS recall, CASE WHEN n_pred + n_gold = 0 THEN 0.0 ELSE 2.0::DOUBLE * hit / (n_pred + n_gold) END AS f1 FROM list_scores")
-def h06_list_metrics(spark, sf_dir):
-    rows = _list_pairs(spark, sf_dir).select("conv_id", "turn", F.size(F.array_intersect("keys", "gold")).cast("long").alias("hit"), F.size("keys").alias("p"), F.size("gold").alias("g"))
-    part = lambda top, below: F.when(below == 0, 0.0).otherwise(top / below)
-    return rows.select("conv_id", "turn", "hit", part(F.col("hit"), F.col("p")).alias("precision"), part(F.col("hit"), F.col("g")).alias("recall"), part(F.lit(2.0) * F.col("hit"), F.col("p") + F.col("g")).alias("f1"))
-
-
 TABLES["answer_sets"] = "SELECT p.doc_id, p.arm, p.depth, t.term FROM prefix_masks p JOIN packet_terms t ON t.doc_id = p.doc_id AND t.is_q = 1 AND t.mask & p.mask <> 0"
 TABLES["answer_lists"] = "SELECT p.doc_id, p.arm, p.depth, list_sort(list(a.term) FILTER (a.term IS NOT NULL)) AS terms FROM prefix_masks p LEFT JOIN answer_sets a USING (doc_id, arm, depth) GROUP BY ALL"
 
@@ -158,11 +151,6 @@ def h14_stability_stop(spark, sf_dir):
     return rows.groupBy("doc_id", "arm").agg(F.coalesce(F.min(F.when(F.col("same") & (F.size("terms") >= 2), F.col("depth"))), F.lit(N)).alias("stop_depth"))
 
 
-@query(r"SELECT doc_id, idx, md5(sentence) AS sentence, tokens FROM (SELECT *, len(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+')) AS tokens FROM sentences)")
-def b04_sentences(spark, sf_dir):
-    return base.sentences(spark, sf_dir).select("doc_id", "idx", F.md5(F.encode("sentence", "utf-8")).alias("sentence"), "tokens")
-
-
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS tokens FROM documents")
 def b07_token_count(spark, sf_dir):
     return base.table(spark, sf_dir, "documents").select("doc_id", tx.count_tokens(F.col("text")).cast("long").alias("tokens"))
@@ -210,11 +198,6 @@ def b16_token_audit(spark, sf_dir):
     )
 
 
-@query("SELECT conv_id, turn, trim(regexp_extract(trim(text), '([^\\n]*)', 1)) AS answer FROM conversations")
-def b26_parsed_answer(spark, sf_dir):
-    return base.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.parsed_answer(F.col("text")).alias("answer"))
-
-
 TABLES["sentence_terms"] = r"SELECT s.doc_id, s.idx, q.item_id, list_distinct(regexp_extract_all(lower(s.sentence), '[\p{L}\p{N}_]+')) AS t FROM sentences s JOIN asked q USING (doc_id)"
 
 
