@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,12 +24,6 @@ LEAST_ROWS, LEAST_Z = 3, 2.0
 #: Besides whole words, their first bytes are features, so endings do not hide a stem.
 PREFIXES = (4, 5, 6)
 
-#: Terms found in the labelled rows: of so many words that are in most of them, those in at least this share, and how alike the words around
-#: two of them must be (a cosine).
-FREQUENT_WORDS, LEAST_SHARE, LEAST_ALIKE = 256, 0.01, 0.8
-#: Swapped sentences of a labelled row that are learned from, at most; they are chosen by a hash of the sentence.
-SWAPS_PER_ROW = 4
-
 #: Terms that name groups of people, by kind; a term is swapped for the next one of its row.
 IDENTITY_TERMS = (
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
@@ -53,6 +46,7 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"),
 )
 
+
 def text_features(text: str) -> np.ndarray:
     """The distinct features of a text: its words and their prefixes, hashed to BITS bits."""
     return np.unique(prefix_hashes(*small_bytes(text, ALPHANUMERIC), PREFIXES) >> np.uint64(64 - BITS)).astype(np.int32)
@@ -75,57 +69,21 @@ def swapped_sentences(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_T
     return out
 
 
-def interchangeable_terms(labelled: DataFrame, fixed: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[tuple[str, ...], ...]:
-    """Pairs of frequent words that stand between the same words and tell nothing of the class, so a swap must not either.
+def mentioned(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[str, str] | None:
+    """A sentence of the text in which a group is named in the place of one word, and the same with the next group of its kind.
 
-    ``labelled`` has toxic and text. Only counts of FREQUENT_WORDS words and of each two of them side by side reach the driver.
+    Sentence, word and group come from a hash of the text. So every labelled row, also where a corpus names no group at all, has a
+    sentence whose score must not depend on the group; None where there is no word.
     """
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for part in parts(batches, 1):
-            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                held.update((toxic, w) for w in set(_WORD.findall((text or "").lower())))
-        toxic, words = zip(*held, strict=True) if held else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(words, pa.string()), pa.array(held.values(), pa.int64())], names=["toxic", "word", "n"])
-
-    sizes = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    total = max(1, sum(sizes.values()))
-    counts = labelled.select("toxic", "text").mapInArrow(seen, "toxic int, word string, n long")
-    counts = counts.groupBy("word").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
-    top = counts.where(F.col("n0") + F.col("n1") >= LEAST_SHARE * total).orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(FREQUENT_WORDS).collect()
-    known = {t for row in fixed for t in row}
-
-    def signal(r) -> float:
-        shares, both = [r[f"n{c}"] / max(1, sizes.get(c, 0)) for c in (0, 1)], (r.n0 + r.n1) / total
-        return abs(shares[1] - shares[0]) / (both * (1 - both) * sum(1 / max(1, sizes.get(c, 0)) for c in (0, 1)) + 1e-12) ** 0.5
-
-    words = [r.word for r in top if len(r.word) > 1 and r.word not in known and signal(r) < LEAST_Z]
-    place = {w: i for i, w in enumerate(words)}
-    if len(words) < 2:
-        return ()
-
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((len(words), len(words)), np.int64)
-        for part in parts(batches, 0):
-            for text in part.column(0).to_pylist():
-                ids = np.array([place.get(w, -1) for w in _WORD.findall((text or "").lower())], np.int64)
-                left, right = ids[:-1], ids[1:]
-                both = (left >= 0) & (right >= 0)
-                np.add.at(held, (left[both], right[both]), 1)
-        left, right = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(held[left, right])], names=["a", "b", "n"])
-
-    pairs = labelled.select("text").mapInArrow(beside, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros((len(words), len(words)))
-    for r in pairs:
-        table[r.a, r.b] = r.n
-    around = np.sqrt(np.hstack([table, table.T]))
-    around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-12)
-    alike = around @ around.T
-    np.fill_diagonal(alike, -1)
-    best = alike.argmax(axis=1)
-    return tuple((words[i], words[j]) for i, j in enumerate(best.tolist()) if i < j and best[j] == i and alike[i, j] >= LEAST_ALIKE)
+    h = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    sentences = [m[0] for m in _SENTENCE.finditer(text) if _WORD.search(m[0])]
+    if not sentences or not terms:
+        return None
+    sentence = sentences[h % len(sentences)]
+    words = list(_WORD.finditer(sentence))
+    place, row = words[(h >> 8) % len(words)], terms[(h >> 4) % len(terms)]
+    at = (h >> 16) % len(row)
+    return tuple(sentence[: place.start()] + row[i % len(row)] + sentence[place.end() :] for i in (at, at + 1))
 
 
 @dataclass
@@ -200,10 +158,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, swap
     return Model(every[:n].astype(np.float32), float(every[n]), len(changes))
 
 
-def learn(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] | None = None, penalty: float = 4.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, penalty: float = 4.0) -> Model:
     """Fit on rows of ``labels`` (doc_id, toxic) whose document is not held out, at most MAX_ROWS_PER_CLASS of each class.
 
-    The terms that are swapped are those given, or IDENTITY_TERMS and the pairs that ``interchangeable_terms`` finds in these rows.
+    Swapped are all sentences of these rows that name a group of ``terms``, and of each row one into which such a name is put.
     Only these rows' features, a bounded number, come to the driver. Rows with a null doc_id or label are not used; of several
     labels of a document the highest counts. Without any label all documents score one half.
     """
@@ -215,8 +173,6 @@ def learn(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...]
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
     rows = written(rows, "labelled")
-    if terms is None:
-        terms = IDENTITY_TERMS + interchangeable_terms(rows)
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.list_(pa.list_(pa.int32()))
@@ -224,7 +180,8 @@ def learn(docs: DataFrame, labels: DataFrame, terms: tuple[tuple[str, ...], ...]
             features, gone, come = [], [], []
             for text in part.column(2).to_pylist():
                 features.append(text_features(text or ""))
-                swaps = sorted(swapped_sentences(text or "", terms), key=lambda s: (zlib.crc32(s[0].encode("utf-8", "surrogatepass")), s[0]))[:SWAPS_PER_ROW]
+                put = mentioned(text or "", terms)
+                swaps = swapped_sentences(text or "", terms) + ([put] if put else [])
                 both = [(text_features(a), text_features(b)) for a, b in swaps]
                 gone.append([np.setdiff1d(a, b).tolist() for a, b in both])
                 come.append([np.setdiff1d(b, a).tolist() for a, b in both])

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from ratefid.llm.toxicity import IDENTITY_TERMS, Model, fit, interchangeable_terms, learn, op1_toxicity, swapped_sentences, text_features, toxicity
+from ratefid.llm.toxicity import IDENTITY_TERMS, Model, fit, learn, mentioned, op1_toxicity, swapped_sentences, text_features, toxicity
 
 
 def changed(a, b):
@@ -34,19 +34,27 @@ def test_the_registered_query_swaps_terms_and_scores_as_counted_by_hand(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
     model = learn(docs, spark.read.parquet(f"{d}/labels.parquet"))
-    assert model.n_swaps > 100 and len(model.terms) > len(IDENTITY_TERMS)
+    assert model.n_swaps > 100 and model.terms == IDENTITY_TERMS
     got = {r.doc_id: r.score for r in op1_toxicity(spark, d).collect()}
     for r in docs.orderBy("doc_id").limit(40).collect():
         total = model.bias + sum(float(model.weights[f]) for f in set(text_features(r.text or "").tolist()))
         assert abs(got[r.doc_id] - 1 / (1 + np.exp(-total))) < 1e-6
 
 
-def test_terms_are_words_in_the_same_places_without_a_class(spark):
-    rng = random.Random(1)
-    rows = [(i % 2, " ".join(f"{rng.choice(['red', 'blue'])} {rng.choice(['fox', 'hen'])} {'bad' if i % 2 else 'good'} ran" for _ in range(20))) for i in range(300)]
-    pairs = {frozenset(p) for p in interchangeable_terms(spark.createDataFrame(rows, "toxic int, text string"))}
-    assert frozenset(("red", "blue")) in pairs and frozenset(("fox", "hen")) in pairs and not any({"bad", "good"} & p for p in pairs)
-    assert interchangeable_terms(spark.createDataFrame([], "toxic int, text string")) == ()
+def test_group_names_put_into_held_out_texts(spark):
+    """Clean held-out documents with a group named in them stay clean, and the penalty makes the name matter less."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0).orderBy("doc_id").collect()
+    pairs = [p for r in clean if (p := mentioned(r.text or ""))]
+    assert len(pairs) > 500 and all(any(t in a.lower() for row in IDENTITY_TERMS for t in row) for a, _ in pairs)
+    change, wrong = {}, {}
+    for penalty in (0.0, 4.0):
+        m = learn(docs, labels, IDENTITY_TERMS, penalty)
+        scores = np.array([[m.score(text_features(x)) for x in p] for p in pairs])
+        change[penalty], wrong[penalty] = np.abs(scores[:, 0] - scores[:, 1]).mean(), (scores >= 0.5).mean()
+    print("swaps", m.n_swaps, "change", change, "wrong", wrong)
+    assert m.n_swaps > 2_000 and wrong[4.0] <= wrong[0.0] and wrong[4.0] < 0.01 and change[4.0] <= change[0.0]
 
 
 def test_held_out_accuracy(spark):
@@ -75,6 +83,9 @@ def test_swapping_groups_changes_little(spark):
 def test_swaps_keep_the_rest():
     assert swapped_sentences("A Woman sang. He left!\nOld men ran") == [("A Woman sang. ".rstrip(" "), "A man sang."), ("Old men ran", "young women ran")]
     assert swapped_sentences("") == [] and swapped_sentences("womanly") == []
+    assert mentioned("") is None and mentioned(" .\n") is None and mentioned("One two. Three", ()) is None
+    one, other = mentioned("Only words here", (("a", "b"),))
+    assert one != other and {len(one.split()), len(other.split())} == {3}
 
 
 def test_nulls_ties_and_empty_tables(spark):
