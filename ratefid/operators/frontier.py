@@ -188,12 +188,16 @@ def membership_summary(members: DataFrame, n: int, key: str = "doc_id") -> DataF
 
 
 def precedence(members: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """Pairs (winner, loser): some admissible state has the winner without the loser and none has it the other way."""
-    ids = F.sequence(F.lit(0), F.lit(n - 1))
-    rows = members.withColumn("winner", F.explode(ids)).withColumn("loser", F.explode(ids)).where("winner <> loser")
-    one, other = has("mask", F.col("winner")), has("mask", F.col("loser"))
-    rows = rows.groupBy(key, "slack", "winner", "loser").agg(F.bool_or(one & ~other).alias("ahead"), F.bool_or(other & ~one).alias("behind"))
-    return rows.where("ahead AND NOT behind").select(key, "slack", "winner", "loser")
+    """Pairs (winner, loser): some admissible state has the winner without the loser and none has it the other way.
+
+    Of each packet one bitwise sum tells which packets some state with it lacks, so members are grouped once and none is multiplied.
+    """
+    full = (1 << n) - 1
+    lacks = [F.bit_or(F.when(has("mask", F.lit(p)), F.lit(full).bitwiseXOR(F.col("mask"))).otherwise(0)).alias(f"_{p}") for p in range(n)]
+    rows = members.groupBy(key, "slack").agg(*lacks).select(key, "slack", F.array(*[F.col(f"_{p}") for p in range(n)]).alias("_l"))
+    bit = lambda a, b: F.shiftright(F.get("_l", a), 0).bitwiseAND(F.get(F.array(*[F.lit(1 << i) for i in range(n)]), b)) != 0
+    pairs = F.array(*[F.struct(F.lit(a).alias("winner"), F.lit(b).alias("loser")) for a in range(n) for b in range(n) if a != b])
+    return rows.select(key, "slack", F.inline(F.filter(pairs, lambda x: bit(x["winner"], x["loser"]) & ~bit(x["loser"], x["winner"]))))
 
 
 def reveal_thresholds(chain: DataFrame, packets: DataFrame, n_levels: int, key: str = "doc_id") -> DataFrame:
@@ -217,21 +221,23 @@ def state_at_level(thresholds: DataFrame, levels: tuple[float, ...], key: str =
     return rows.groupBy(key, "level_id").agg(F.sum(F.when(F.col("level") >= F.col("threshold"), bit("packet_id")).otherwise(0)).alias("mask"))
 
 
-def prefix_chain(prefixes: DataFrame, levels: tuple[float, ...], group: list[str]) -> DataFrame:
-    """Cheapest rising depths of a fixed order that reach the levels in turn, up to the last that the order reaches: cost and depths."""
-    rows = prefixes.select(*group, "depth", "tokens", "fidelity")
-    until = Window.partitionBy(*group).orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    for k, level in enumerate(levels):
-        reach = F.col("fidelity") >= level
-        if k == 0:
-            own = F.when(reach, F.struct(F.col("tokens").alias("cost"), F.array("depth").alias("depths")))
-        else:
-            own = F.when(reach & F.col("low").isNotNull(), F.struct((F.col("tokens") + F.col("low.cost")).alias("cost"), F.concat("low.depths", F.array("depth")).alias("depths")))
-        rows = rows.withColumn(f"own{k}", own).withColumn("low", F.min(f"own{k}").over(until))
-    ends = [F.min(f"own{k}").alias(f"end{k}") for k in range(len(levels))]
-    best = F.coalesce(*[F.col(f"end{k}") for k in reversed(range(len(levels)))])
-    out = rows.groupBy(*group).agg(*ends).withColumn("b", best)
-    return out.select(*group, F.col("b.cost").alias("cost"), F.array_join(F.transform("b.depths", lambda d: d.cast("string")), ",").alias("depths"))
+def prefix_chain(walks: DataFrame, levels: tuple[float, ...], group: list[str]) -> DataFrame:
+    """Cheapest rising depths of a fixed order that reach the levels in turn, up to the last that the order reaches: cost and depths.
+
+    ``walks`` has a row an order, with arrays tokens and fidelity by depth. The fold over depths holds, of each level, the cheapest
+    choice so far that ends with it; ties go to the lesser depths.
+    """
+    kind = "struct<cost: bigint, depths: array<int>>"
+    grid = f"array({', '.join(f'{x}D' for x in levels)})"
+    own = "IF(fidelity[d] >= l, IF(k = 0, named_struct('cost', tokens[d], 'depths', array(d)), IF(s.prev IS NULL, NULL, named_struct('cost', tokens[d] + s.prev.cost, 'depths', concat(s.prev.depths, array(d))))), NULL)"
+    step = (
+        f"aggregate(transform({grid}, (l, k) -> struct(l, k)), named_struct('prev', CAST(NULL AS {kind}), 'out', CAST(array() AS array<{kind}>)), "
+        f"(s, x) -> transform(transform(array(x), y -> transform(array(y.l), l -> transform(array(y.k), k -> array_min(array(a[k], CAST({own} AS {kind}))))[0])[0]), z -> named_struct('prev', z, 'out', concat(s.out, array(z))))[0]).out"
+    )
+    fold = f"aggregate(sequence(0, size(tokens) - 1), transform({grid}, l -> CAST(NULL AS {kind})), (a, d) -> {step})"
+    out = walks.select(*group, F.expr(f"filter({fold}, x -> x IS NOT NULL)").alias("ends"))
+    last = F.get("ends", F.size("ends") - 1)
+    return out.select(*group, last["cost"].alias("cost"), F.array_join(F.transform(last["depths"], lambda d: d.cast("string")), ",").alias("depths"))
 
 
 def nondominated(points: DataFrame, group: list[str], gain: str, cost: str) -> DataFrame:

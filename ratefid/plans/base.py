@@ -141,15 +141,68 @@ def level_table(spark: SparkSession, levels: tuple[float, ...] = LEVELS) -> Data
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(levels)], "level_id int, level double")
 
 
+def _by(first) -> Column:
+    """The packets in order of a key, then number."""
+    return F.transform(F.array_sort(F.transform(_ids(), lambda p: F.struct(first(p).alias("k"), p.alias("p")))), lambda x: x["p"])
+
+
+def _learned_order() -> Column:
+    return _by(lambda p: -F.get(F.col("overlaps"), p))
+
+
+def _control_order() -> Column:
+    return _by(lambda p: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), p.cast("string")), 256))
+
+
+def _arms(df: DataFrame) -> DataFrame:
+    """A row for each arm of a document with its overlaps: arm and order, an array of packets."""
+    arms = F.array(F.struct(F.lit("learned").alias("arm"), _learned_order().alias("order")), F.struct(F.lit("control").alias("arm"), _control_order().alias("order")))
+    return df.select("*", F.inline(arms))
+
+
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lattice with arm and its order, an array of packets; a row for each arm."""
-    key = lambda p: F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), p.cast("string")), 256)
-    sort = lambda first: F.transform(F.array_sort(F.transform(_ids(), lambda p: F.struct(first(p).alias("k"), p.alias("p")))), lambda x: x["p"])
-    arms = F.array(
-        F.struct(F.lit("learned").alias("arm"), sort(lambda p: -F.get(F.col("overlaps"), p)).alias("order")),
-        F.struct(F.lit("control").alias("arm"), sort(key).alias("order")),
-    )
-    return lattice(spark, sf_dir).select("*", F.inline(arms))
+    return _arms(lattice(spark, sf_dir))
+
+
+def _masks(order: str = "order") -> Column:
+    """The masks that an order passes, from none to all."""
+    return F.aggregate(order, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.pow(F.lit(2), p).cast("int"))))
+
+
+def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, arm, best, and by depth the arrays masks, tokens and fidelity: an order in one row."""
+    rows = _once(_ordered(spark, sf_dir), best=F.array_max("fidelity"), masks=_masks())
+    at = lambda c: F.transform("masks", lambda m: F.get(c, m)).alias(c)
+    return rows.select("doc_id", "arm", "best", "masks", at("tokens"), at("fidelity"))
+
+
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, depth, level_id, and of the control order (base) and the learned one (candidate) hit and tokens, with repair and break.
+
+    Both orders of a document are in one row before depths and levels are taken out, so they need no join.
+    """
+    df = lattice(spark, sf_dir)
+    df = _once(df, base_order=_control_order(), candidate_order=_learned_order(), best=F.array_max("fidelity"))
+    df = _once(df, base_masks=_masks("base_order"), candidate_masks=_masks("candidate_order"))
+    df = df.select("doc_id", "best", "tokens", "fidelity", F.posexplode(F.arrays_zip("base_masks", "candidate_masks")).alias("depth", "m"))
+    at = lambda c, side: F.get(c, F.col(f"m.{side}_masks"))
+    df = df.select("doc_id", "depth", "best", *[at(c, s).alias(f"{s}_{c}") for s in ("base", "candidate") for c in ("tokens", "fidelity")])
+    grid = F.array(*[F.struct(F.lit(i).alias("level_id"), F.lit(float(x)).alias("level")) for i, x in enumerate(LEVELS)])
+    df = df.select("*", F.inline(grid))
+    hit = lambda s: F.when(F.col("best") >= F.col("level"), F.col(f"{s}_fidelity") >= F.col("level")).alias(s)
+    df = df.select("doc_id", "depth", "level_id", hit("base"), hit("candidate"), "base_tokens", "candidate_tokens")
+    return df.withColumn("repair", F.col("candidate") & ~F.col("base")).withColumn("break", F.col("base") & ~F.col("candidate"))
+
+
+def answer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, arm, depth, terms: the question's terms in the packets of each prefix, sorted. A term comes with the first packet that holds it."""
+    rows = _once(_worded(spark, sf_dir), overlaps=F.transform("held", lambda w: F.size(F.array_intersect(w, F.col("asked")))))
+    first = lambda t: F.array_position(F.transform("order", lambda p: F.array_contains(F.get("held", p), t)), F.lit(True))
+    rows = _once(_arms(rows), firsts=F.array_sort(F.transform("asked", lambda t: F.struct(t.alias("t"), first(t).alias("at")))))
+    rows = rows.select("doc_id", "arm", "firsts", F.explode(F.sequence(F.lit(0), F.lit(N_PACKETS))).alias("depth"))
+    held = F.filter("firsts", lambda x: (x["at"] > 0) & (x["at"] <= F.col("depth")))
+    return rows.select("doc_id", "arm", "depth", F.transform(held, lambda x: x["t"]).alias("terms"))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:

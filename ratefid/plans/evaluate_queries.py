@@ -26,7 +26,7 @@ TABLES["sides"] = "SELECT b.doc_id, b.depth, b.level_id, b.hit AS base, c.hit AS
 
 
 def _sides(spark, sf_dir):
-    return ev.paired(base.hits(spark, sf_dir), "control", "learned", ["doc_id", "depth"])
+    return base.sides(spark, sf_dir)
 
 
 @query("SELECT arm, depth, level_id, grouping(level_id)::INT AS pooled, avg(hit::INT) AS success, count(hit) AS n_active, avg(tokens) AS tokens FROM hits GROUP BY GROUPING SETS ((arm, depth, level_id), (arm, depth))")

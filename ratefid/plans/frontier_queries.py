@@ -122,11 +122,11 @@ def f04_tied_optima(spark, sf_dir):
 
 @query("SELECT s.doc_id, count(*) AS n_pairs FROM states s JOIN pairs ON lo = s.mask JOIN states t ON t.doc_id = s.doc_id AND t.mask = hi WHERE s.fidelity >= 0.05 AND t.fidelity >= 0.1 GROUP BY s.doc_id")
 def f05_nested_pairs(spark, sf_dir):
-    s = _states(spark, sf_dir).select("doc_id", "mask", "fidelity")
-    low = s.where("fidelity >= 0.05").select("doc_id", F.col("mask").alias("low"))
-    high = s.where("fidelity >= 0.1").select("doc_id", F.col("mask").alias("high"))
-    rows = low.join(high, "doc_id").where(F.col("low").bitwiseAND(F.col("high")) == F.col("low"))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    """Of each low state the high ones above it are counted by one fold over the packets."""
+    above = f"aggregate(sequence(0, {N - 1}), transform(fidelity, f -> IF(f >= 0.1D, 1L, 0L)), (a, b) -> transform(a, (x, m) -> x + IF((m & shiftleft(1, b)) = 0, a[m | shiftleft(1, b)], 0L)))"
+    rows = base._once(base.lattice(spark, sf_dir), above=F.expr(above))
+    low = F.zip_with("fidelity", "above", lambda f, n: F.when(f >= 0.05, n).otherwise(0))
+    return rows.select("doc_id", F.aggregate(low, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_pairs")).where("n_pairs > 0")
 
 
 @query("SELECT * FROM chain")
@@ -258,7 +258,7 @@ TABLES["walks"] = " UNION ALL ".join(f"SELECT doc_id, arm, {k} AS k, cost, depth
 @query("""last AS (SELECT * FROM walks QUALIFY k = max(k) OVER (PARTITION BY doc_id, arm)), lowest AS (SELECT doc_id, arm, first(cost ORDER BY cost, depths) AS cost, first(depths ORDER BY cost, depths) AS depths FROM last GROUP BY ALL)
 SELECT doc_id, arm, cost, array_to_string(depths, ',') AS depths FROM (SELECT DISTINCT doc_id, arm FROM prefixes) LEFT JOIN lowest USING (doc_id, arm)""")
 def f20_prefix_chain(spark, sf_dir):
-    return fr.prefix_chain(base.prefixes(spark, sf_dir), LEVELS, ["doc_id", "arm"])
+    return fr.prefix_chain(base.walks(spark, sf_dir), LEVELS, ["doc_id", "arm"])
 
 
 _POINTS = "points AS (SELECT arm, depth, count(*) FILTER (hit) AS success, CAST(sum(tokens) AS BIGINT) AS cost FROM hits GROUP BY ALL)"

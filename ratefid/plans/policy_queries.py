@@ -146,10 +146,11 @@ def i35_role_statistics(spark, sf_dir):
 @query("""w AS (SELECT doc_id, mask, fidelity, fidelity >= 0.1 AS pos FROM states) SELECT p.doc_id, avg((p.fidelity > q.fidelity)::INT) AS accuracy, count(*) AS n FROM (SELECT doc_id, tokens AS fidelity FROM states WHERE fidelity >= 0.1) p JOIN (SELECT doc_id, tokens AS fidelity FROM states WHERE fidelity < 0.1) q USING (doc_id) GROUP BY p.doc_id""")
 def k11_pair_accuracy(spark, sf_dir):
     """How often a state at the level has more tokens than one below it: the score is the token count."""
-    s = base.states(spark, sf_dir)
-    p = s.where("fidelity >= 0.1").select("doc_id", F.col("tokens").alias("x"))
-    q = s.where("fidelity < 0.1").select("doc_id", F.col("tokens").alias("y"))
-    return p.join(q, "doc_id").groupBy("doc_id").agg(ev.rate(F.col("x") > F.col("y")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    side = lambda test: F.transform(F.filter(F.arrays_zip("fidelity", "tokens"), lambda x: test(x["fidelity"])), lambda x: x["tokens"])
+    rows = base._once(base.lattice(spark, sf_dir), p=side(lambda f: f >= 0.1), q=side(lambda f: f < 0.1)).where("size(p) > 0 AND size(q) > 0")
+    n = F.size("p").cast("long") * F.size("q")
+    right = F.aggregate(F.transform("p", lambda x: F.size(F.filter("q", lambda y: y < x)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("doc_id", (right / n).alias("accuracy"), n.alias("n"))
 
 
 @query("""SELECT doc_id, mask, CASE WHEN doc_id % 11 = 4 AND mask = 9 THEN 'missing in stored' ELSE 'fidelity' END AS difference FROM states

@@ -100,10 +100,7 @@ TABLES["answer_lists"] = "SELECT p.doc_id, p.arm, p.depth, list_sort(list(a.term
 
 def _answer_sets(spark, sf_dir):
     """doc_id, arm, depth, terms: the question's terms in the packets of each prefix."""
-    held = base.packet_terms(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("term", "mask")).alias("held"))
-    rows = base.prefixes(spark, sf_dir).select("doc_id", "arm", "depth", F.col("mask").alias("m")).join(held, "doc_id", "left")
-    inside = F.filter(F.coalesce("held", F.array().cast("array<struct<term:string,mask:int>>")), lambda h: h["mask"].bitwiseAND(F.col("m")) != 0)
-    return rows.select("doc_id", "arm", "depth", F.array_sort(F.transform(inside, lambda h: h["term"])).alias("terms"))
+    return base.answer_terms(spark, sf_dir)
 
 
 @query("SELECT doc_id, arm, depth, coalesce(len(terms), 0) AS n, coalesce(array_to_string(terms, ','), '') AS terms FROM answer_lists")
