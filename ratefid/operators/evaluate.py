@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .split import range_rank, running_total
+
 
 def rate(test: Column | str) -> Column:
     """Share of the rows where it is known that pass it."""
@@ -41,9 +43,9 @@ def auc(scores: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
 
 
 def average_precision(scores: DataFrame, score: str, label: str, key: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.desc(score), key)
-    rows = scores.withColumn("_r", F.row_number().over(w)).withColumn("_h", F.sum(F.col(label).cast("long")).over(w))
-    return rows.groupBy(*by).agg(F.avg(F.when(F.col(label) == 1, F.col("_h") / F.col("_r"))).alias("ap"))
+    """By group the mean share of positives above each positive, ties of a score by the key; a group of any size is ranked in ranges."""
+    ranked = running_total(range_rank(scores.select(*by, score, label, key), by, [-F.col(score), F.col(key)]), by, label)
+    return ranked.groupBy(*by).agg(F.avg(F.when(F.col(label) == 1, F.col("total") / F.col("position"))).alias("ap"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:

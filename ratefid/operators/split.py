@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratefid.sources.files import round_trip
+
 
 def salted_hash(key: Column, salt: str) -> Column:
     return F.sha2(F.concat(F.lit(f"{salt}:"), key.cast("string")), 256)
@@ -27,6 +29,40 @@ def hash_rank(df: DataFrame, key: str, salt: str, by: list[str] = ()) -> DataFra
     return rows.withColumn("_k", rank).join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_k")).alias("position"))
 
 
+def range_rank(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """position (from 1) of each row in its group by ``order``, and size of the group; the order should tell all rows apart.
+
+    Rows are put in ranges of (group, order), so that a group of any size, or many rows of one value, lie in several of them. They
+    are ranked inside a range, and the sizes of a group's ranges before one say where it begins. The ranges are written, since two
+    plans use them.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    rows = df.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)])
+    rows = round_trip(rows.repartitionByRange(*by, *names).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    sizes = sizes.withColumn("_before", F.sum("_n").over(group.orderBy("_part")) - F.col("_n")).withColumn("size", F.sum("_n").over(group))
+    sizes = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_range"), "_before", "size")
+    same = F.col("_part") == F.col("_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*names))
+    return rows.withColumn("_k", rank).join(sizes, same).select(*df.columns, (F.col("_before") + F.col("_k")).alias("position"), "size")
+
+
+def running_total(ranked: DataFrame, by: list[str], value: str, block: int = 100_000) -> DataFrame:
+    """Adds total: of ranked rows the sum of ``value`` up to each position of its group, block by block of positions."""
+    rows = ranked.withColumn("_block", F.floor(F.col("position") / block))
+    sums = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_s"))
+    sums = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy(*by).orderBy("_block")) - F.col("_s"))
+    sums = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_block").alias("_at"), "_before")
+    same = F.col("_block") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    own = F.sum(value).over(Window.partitionBy(*by, "_block").orderBy("position"))
+    return rows.withColumn("_own", own).join(sums, same).select(*ranked.columns, (F.col("_before") + F.col("_own")).alias("total"))
+
+
 def lowest_hashes(df: DataFrame, key: str, salt: str, n: int) -> DataFrame:
     """The n rows of lowest salted hash: a top-k, so each task hands on n rows at most."""
     return df.withColumn("_h", salted_hash(F.col(key), salt)).orderBy("_h", key).limit(n).drop("_h")

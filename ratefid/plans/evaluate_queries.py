@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as ev
 from ..operators import frontier as fr
 from ..operators import lattice as lt
+from ..operators.split import range_rank
 from . import base
 from .registry import query
 from .sql import TABLES
@@ -61,9 +62,8 @@ def i10_fixed_depth_metrics(spark, sf_dir):
 @query("""r AS (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM labelled)
 SELECT lang, fraction, count(*) AS covered, sum(1 - quality)::BIGINT AS risk FROM r, (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 1.0]) AS fraction) WHERE k <= ceil(n * fraction) GROUP BY ALL""")
 def i11_risk_coverage(spark, sf_dir):
-    by = Window.partitionBy("lang")
-    rows = _labelled(spark, sf_dir).withColumn("k", F.row_number().over(by.orderBy(F.desc("n_chars"), "doc_id"))).withColumn("n", F.count(F.lit(1)).over(by))
-    rows = rows.withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 1.0)]))).where(F.col("k") <= F.ceil(F.col("n") * F.col("fraction")))
+    rows = range_rank(_labelled(spark, sf_dir), ["lang"], [-F.col("n_chars"), F.col("doc_id")])
+    rows = rows.withColumn("fraction", F.explode(F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 1.0)]))).where(F.col("position") <= F.ceil(F.col("size") * F.col("fraction")))
     return rows.groupBy("lang", "fraction").agg(F.count(F.lit(1)).alias("covered"), F.sum(1 - F.col("quality")).alias("risk"))
 
 

@@ -10,6 +10,7 @@ from ..operators import frontier as fr
 from ..operators import lattice as lt
 from ..operators import relational as rel
 from ..operators import trajectory as tr
+from ..operators.split import range_rank, running_total
 from ..sources import files
 from . import base
 from .registry import query
@@ -137,8 +138,7 @@ def i33_cost_audit(spark, sf_dir):
 SELECT a.doc_id, b.n_chars AS rotated FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY s) AS n FROM x) a JOIN (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id) AS k FROM x) b ON a.s = b.s AND b.k = (a.k + 2) % a.n + 1""")
 def k18_rotated_control(spark, sf_dir):
     rows = base.table(spark, sf_dir, "labels").join(base.table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
-    by = Window.partitionBy("source")
-    rows = rows.withColumn("k", F.row_number().over(by.orderBy("doc_id"))).withColumn("n", F.count(F.lit(1)).over(by)).select("source", "doc_id", "n_chars", "k", "n")
+    rows = range_rank(rows, ["source"], [F.col("doc_id")]).select("source", "doc_id", "n_chars", F.col("position").alias("k"), F.col("size").alias("n"))
     other = rows.select("source", F.col("k").alias("at"), F.col("n_chars").alias("rotated"))
     return rows.withColumn("at", (F.col("k") + 2) % F.col("n") + 1).join(other, ["source", "at"]).select("doc_id", "rotated")
 
@@ -147,13 +147,9 @@ def k18_rotated_control(spark, sf_dir):
 SELECT lang, k AS at, CAST(sum(quality) OVER w AS DOUBLE) / nullif(sum(quality) OVER (PARTITION BY lang), 0) AS recall, k / n AS expected FROM r WINDOW w AS (PARTITION BY lang ORDER BY k)""")
 def k10_recall_at_k(spark, sf_dir):
     rows = base.table(spark, sf_dir, "labels").join(base.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    order, every = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"), Window.partitionBy("lang")
-    return rows.select(
-        "lang",
-        F.row_number().over(order).alias("at"),
-        (F.sum("quality").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.nullif(F.sum("quality").over(every), F.lit(0))).alias("recall"),
-        (F.row_number().over(order) / F.count(F.lit(1)).over(every)).alias("expected"),
-    )
+    rows = running_total(range_rank(rows, ["lang"], [-F.col("n_chars"), F.col("doc_id")]), ["lang"], "quality")
+    every = rows.groupBy("lang").agg(F.sum("quality").alias("found"))
+    return rows.join(every, "lang").select("lang", F.col("position").alias("at"), (F.col("total") / F.nullif(F.col("found"), F.lit(0))).alias("recall"), (F.col("position") / F.col("size")).alias("expected"))
 
 
 _PAGE = r"(?s)<p[^>]*>(.*?)</p>"

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as ev
+from ..operators.split import range_rank
 from ..operators import frontier as fr
 from ..operators import lattice as lt
 from ..operators import relational as rel
@@ -115,9 +116,8 @@ SELECT x.fold, c.cut, count(*) FILTER (n_chars >= cut) AS above, count(*) AS n F
 def i19_out_of_fold_thresholds(spark, sf_dir):
     rows = _folded(spark, sf_dir)
     train = rows.withColumn("other", F.col("fold")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4)))).where("fold <> other")
-    w = Window.partitionBy("fold")
-    ranked = train.withColumn("k", F.row_number().over(w.orderBy("n_chars", "doc_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    cuts = ranked.where(F.col("k") == F.ceil(0.8 * F.col("n"))).select("fold", F.col("n_chars").alias("cut"))
+    ranked = range_rank(train, ["fold"], [F.col("n_chars"), F.col("doc_id")])
+    cuts = ranked.where(F.col("position") == F.ceil(0.8 * F.col("size"))).select("fold", F.col("n_chars").alias("cut"))
     return rows.join(cuts, "fold").groupBy("fold", "cut").agg(F.count(F.when(F.col("n_chars") >= F.col("cut"), 1)).alias("above"), F.count(F.lit(1)).alias("n"))
 
 
