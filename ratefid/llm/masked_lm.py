@@ -23,7 +23,7 @@ WIDTH = 24
 #: In each round every shard learns from its share of the positions; after the last one each position was learned from once.
 ROUNDS = 2
 #: Tokens of a shard. Shards are dealt by a hash of the rows, so what is learned depends on the texts alone, not on tasks or executors.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
 BATCH = 4096
 RATE = 0.15
 #: The weights travel in pieces, and at most so many tasks' pieces are averaged in one place.
@@ -280,28 +280,49 @@ def trained(ids: DataFrame, rounds: int = ROUNDS, start: Network | None = None,
     are laid out. Only the averaged weights, of fixed size, come to the driver. Without any token the network stays as it starts.
     """
     spark, now = ids.sparkSession, start or Network()
-    key = F.xxhash64("ids", "doc_id").alias("key")
-    ids = ids.select("ids", key).repartition(shards, "key").sortWithinPartitions("key")
+    key = F.xxhash64("ids", "doc_id")
+    ids = ids.select("ids", F.pmod(key, F.lit(shards)).alias("shard"), key.alias("key"))
+    ids = ids.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key")
     for turn in range(rounds):
         start = spark.sparkContext.broadcast(now.flat)
 
         def job(batches: Iterator[pa.RecordBatch], turn=turn, start=start) -> Iterator[pa.RecordBatch]:
-            net, squares, seen = Network(start.value.copy()), Network(np.full_like(start.value, 1e-4)), 0
-            for part in parts(batches, 0, PART_BYTES):
-                here = Positions(_texts(part, 0))
+            net, squares, seen, own = None, None, 0, None
+            held, size = [], 0
+
+            def learn() -> int:
+                here = Positions([np.frombuffer(x, np.dtype("<u2")) for x in held])
+                n = 0
                 for at in range(turn, len(here), rounds * BATCH):
                     around, target, _ = here.take(np.arange(at, min(len(here), at + rounds * BATCH), rounds))
                     net.learn(around, target, squares)
-                    seen += len(target)
-            if seen:
+                    n += len(target)
+                held.clear()
+                return n
+
+            def weights() -> pa.RecordBatch:
                 pieces = [p.tobytes() for p in np.array_split(net.flat, PIECES)]
-                task = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], names=["task", "piece", "n", "weights"]
+                return pa.RecordBatch.from_arrays(
+                    [pa.array([own] * PIECES, pa.int64()), pa.array(range(PIECES), pa.int32()), pa.array([float(seen)] * PIECES), pa.array(pieces, pa.binary())], names=["task", "piece", "n", "weights"]
                 )
 
-        schema, n_tasks = "task long, piece int, n double, weights binary", max(1, ids.rdd.getNumPartitions())
-        held = ids.select("ids").mapInArrow(job, schema)
+            for batch in batches:
+                for text, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if shard != own or size >= PART_BYTES:  # parts are cut by bytes alone, wherever batches end
+                        seen, size = seen + (learn() if held else 0), 0
+                    if shard != own:
+                        if seen:
+                            yield weights()
+                        net, squares, seen, own = Network(start.value.copy()), Network(np.full_like(start.value, 1e-4)), 0, shard
+                    held.append(text)
+                    size += len(text)
+            if held:
+                seen += learn()
+            if seen:
+                yield weights()
+
+        schema, n_tasks = "task long, piece int, n double, weights binary", shards
+        held = ids.select("ids", "shard").mapInArrow(job, schema)
         while True:
             held = held.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("task", "piece").applyInArrow(_averaged, schema)
             n_tasks = -(-n_tasks // FAN_IN)
