@@ -158,7 +158,7 @@ def i03_order_and_cut(spark, sf_dir):
     named = lambda df, arm: df.select("doc_id", F.lit(arm).alias("arm"), "level_id", "mask")
     grid = F.array(*[F.struct(F.lit(k).alias("level_id"), F.lit(c).alias("count")) for k, c in enumerate(COUNTS)])
     fixed = learned.select("doc_id", "mask", "depth", F.inline(grid)).where("depth = count")
-    cut = fr.prefix_chain(base.prefixes(spark, sf_dir).where("arm = 'learned'"), LEVELS, ["doc_id", "arm"]).where("depths IS NOT NULL")
+    cut = fr.prefix_chain(base.walks(spark, sf_dir).where("arm = 'learned'"), LEVELS, ["doc_id", "arm"]).where("depths IS NOT NULL")
     cut = cut.select("doc_id", F.posexplode(F.split("depths", ",")).alias("level_id", "d")).select("doc_id", "level_id", F.col("d").cast("int").alias("depth"))
     arms = named(fr.nested_chain(lattices, LEVELS, N), "free order, free cut").unionByName(named(_sized(spark, sf_dir), "free order, fixed cut"))
     arms = arms.unionByName(named(fixed, "learned order, fixed cut")).unionByName(named(learned.join(cut, ["doc_id", "depth"]), "learned order, free cut"))
