@@ -273,6 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class at 3 words and 0.85; nulls, short texts, repeats and empty tables as ``near_duplicates`` says."""
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85, rows=6)
 
 

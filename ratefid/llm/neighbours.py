@@ -213,5 +213,6 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth id among all rows; unusable vectors, ties, repeats and empty tables as ``nearest`` says."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
