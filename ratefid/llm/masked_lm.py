@@ -70,9 +70,10 @@ class Network:
 
     def hidden(self, places: np.ndarray) -> np.ndarray:
         """places: rows of ``context``, those around one position in a row."""
-        total = self.context[places[:, 0]]
+        total = self.context.take(places[:, 0], axis=0)
+        more = np.empty_like(total)
         for i in range(1, len(SIDES)):
-            total += self.context[places[:, i]]
+            total += self.context.take(places[:, i], axis=0, out=more, mode="clip")  # clip, as out is buffered otherwise; all places are there
         return np.tanh(total, out=total)
 
     def large(self) -> bool:
@@ -84,10 +85,10 @@ class Network:
         """Of each position the logarithm of what its word, or that it is a rare one, is given by the words around it."""
         order, classes, members, starts = _by_class(target)
         clip, h = self.large(), self.hidden(_places(around[order]))
-        own = _log_softmax(h @ self.to_class + self.class_bias, classes, clip)
+        own = _log_softmax(_logits(h, self.to_class, self.class_bias), classes, clip)
         for c in np.flatnonzero(np.diff(starts)).tolist():
             at = slice(starts[c], starts[c + 1])
-            own[at] += _log_softmax(h[at] @ self.to_member[c] + self.member_bias[c], members[at], clip)
+            own[at] += _log_softmax(_logits(h[at], self.to_member[c], self.member_bias[c]), members[at], clip)
         out = np.empty_like(own)
         out[order] = own
         return out
@@ -98,7 +99,7 @@ class Network:
         order, classes, members, starts = _by_class(target)
         places = _places(around[order])
         clip, h = self.large(), self.hidden(places)
-        wrong = _softmax(h @ self.to_class + self.class_bias, clip)
+        wrong = _softmax(_logits(h, self.to_class, self.class_bias), clip)
         wrong[np.arange(len(h)), classes] -= 1
         wrong *= n
         back = wrong @ self.to_class.T
@@ -109,9 +110,9 @@ class Network:
             own = np.flatnonzero((room == r) & (sizes > 0))
             used = np.arange(r) < sizes[own][:, None]
             rows = np.minimum(starts[own][:, None] + np.arange(r), len(h) - 1)
-            part = h[rows]
+            part = h.take(rows, axis=0)
             weights = self.to_member[own]
-            miss = _softmax(np.matmul(part, weights) + self.member_bias[own][:, None, :], clip)
+            miss = _softmax(_logits(part, weights, self.member_bias[own][:, None, :]), clip)
             kept = rows[used]
             at = np.flatnonzero(used)
             miss.reshape(-1, MEMBERS)[at, members[kept]] -= 1
@@ -125,7 +126,7 @@ class Network:
         by_place = np.argsort(flat, kind="stable")  # a radix sort, as places have 16 bits
         ids = flat[by_place]
         first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        context = np.add.reduceat(back[by_place // len(SIDES)], first, axis=0)
+        context = np.add.reduceat(back.take(by_place // len(SIDES), axis=0), first, axis=0)
         every = slice(None)
         return [("to_class", every, h.T @ wrong), ("class_bias", every, wrong.sum(axis=0)), ("to_member", every, by_member), ("member_bias", every, biases), ("context", ids[first], context)]
 
@@ -144,6 +145,12 @@ class Network:
 MOST = 40
 
 
+def _logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    x = np.matmul(h, weights)
+    x += bias
+    return x
+
+
 def _exponentials(x: np.ndarray, clip: bool) -> tuple[np.ndarray, np.ndarray]:
     """In place."""
     if clip:
@@ -248,15 +255,17 @@ def encoded(docs: DataFrame, words: np.ndarray, counts: np.ndarray) -> DataFrame
         row = TaskContext.get().partitionId() << 33
         for part in parts(batches, 1, PART_BYTES):
             ids, logs, once, rest = [], [], [], []
-            for text in part.column(1).to_pylist():
-                w = text_words(text or "").view(np.int64)
-                at = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
-                found = known[at] == w if len(known) else np.zeros(len(w), bool)
-                own = np.where(found, rank[at] if len(known) else RARE, RARE).astype("<u2")
-                rare = n[at[found & (own == RARE)]]
+            texts = [text_words(text or "").view(np.int64) for text in part.column(1).to_pylist()]
+            words, which = np.unique(np.concatenate(texts), return_inverse=True)  # each word of the part is looked up once
+            at = np.minimum(np.searchsorted(known, words), max(0, len(known) - 1))
+            there = known[at] == words if len(known) else np.zeros(len(words), bool)
+            ranks = np.where(there, rank[at] if len(known) else RARE, RARE).astype("<u2")
+            counts = np.where(there, n[at] if len(known) else 0, 0)
+            for w, at in zip(texts, np.split(which, np.cumsum([len(w) for w in texts])[:-1]), strict=True):
+                own, found, n_own = ranks[at], there[at], counts[at]
                 ids.append(own.tobytes())
-                logs.append(float(np.log(rare).sum()))
-                once.append(int((n[at[found]] == 1).sum()))
+                logs.append(float(np.log(n_own[found & (own == RARE)]).sum()))
+                once.append(int((n_own == 1).sum()))
                 rest.append(w[~found])
             number = pa.array(np.arange(row, row + part.num_rows))
             row += part.num_rows
