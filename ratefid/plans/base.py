@@ -177,8 +177,61 @@ def walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "arm", "best", "masks", at("tokens"), at("fidelity"))
 
 
+def _grid() -> Column:
+    """An array of level_id, level and the level above it."""
+    above = (*LEVELS[1:], float("inf"))
+    return F.array(*[F.struct(F.lit(i).alias("level_id"), F.lit(float(x)).alias("level"), F.lit(float(y)).alias("above")) for i, (x, y) in enumerate(zip(LEVELS, above, strict=True))])
+
+
+def _top() -> Column:
+    return ((F.col("best") >= F.col("level")) & (F.col("best") < F.col("above"))).alias("top")
+
+
+def regrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, arm, depth, level_id, tokens, hit, top and regret: the tokens of a hit beyond the cheapest state's that reaches the level."""
+    good = lambda x: F.filter(F.arrays_zip("tokens", "fidelity"), lambda s: s["fidelity"] >= x)
+    least = F.array(*[F.array_min(F.transform(good(x), lambda s: s["tokens"])) for x in LEVELS])
+    rows = _once(_arms(_once(lattice(spark, sf_dir), least=least, best=F.array_max("fidelity"))), masks=_masks())
+    rows = rows.select("doc_id", "arm", "least", "best", "tokens", "fidelity", F.posexplode("masks").alias("depth", "mask"))
+    at = lambda c: F.get(c, F.col("mask")).alias(c)
+    rows = rows.select("doc_id", "arm", "depth", "least", "best", at("tokens"), at("fidelity")).select("*", F.inline(_grid()))
+    hit = F.when(F.col("best") >= F.col("level"), F.col("fidelity") >= F.col("level"))
+    rows = rows.select("doc_id", "arm", "depth", "level_id", "tokens", hit.alias("hit"), _top(), F.get("least", F.col("level_id")).alias("least"))
+    return rows.withColumn("regret", F.when(F.col("hit"), F.col("tokens") - F.col("least"))).drop("least")
+
+
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, arm, best, rule, chosen, whole, and by depth the arrays tokens and fidelity: the depth that a rule stops an order at.
+
+    "first" stops where half of the question's terms are found, or at the end; "best" where recall less the share of the tokens is largest, at the first such depth.
+    """
+    rows = _once(_ordered(spark, sf_dir), best=F.array_max("fidelity"), masks=_masks())
+    at = lambda c: F.transform("masks", lambda m: F.get(c, m)).alias(c)
+    rows = rows.select("doc_id", "arm", "best", at("tokens"), at("fidelity"), at("recall"))
+    rows = _once(rows, whole=F.element_at("tokens", -1))
+    share = lambda t: F.coalesce(t / F.nullif(F.col("whole"), F.lit(0)), F.lit(0.0))
+    rows = _once(rows, scores=F.zip_with("recall", "tokens", lambda r, t: r - share(t)))
+    first = F.array_position(F.transform("recall", lambda r: F.coalesce(r >= 0.5, F.lit(False))), F.lit(True))
+    first = F.when(first > 0, first - 1).otherwise(N_PACKETS)
+    best = F.array_position("scores", F.array_max("scores")) - 1
+    rules = [F.struct(F.lit(n).alias("rule"), d.cast("int").alias("chosen")) for n, d in (("first", first), ("best", best))]
+    return rows.select("doc_id", "arm", "best", "whole", "tokens", "fidelity", F.inline(F.array(*rules)))
+
+
+def half_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, arm, mask (of the first half of the packets of an order), and the array tokens by mask."""
+    return _ordered(spark, sf_dir).select("doc_id", "arm", F.get(_masks(), F.lit(N_PACKETS // 2)).alias("mask"), "tokens")
+
+
+def both_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the learned order a, the control order b, and the array tokens by mask."""
+    return lattice(spark, sf_dir).select("doc_id", _learned_order().alias("a"), _control_order().alias("b"), "tokens")
+
+
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, depth, level_id, and of the control order (base) and the learned one (candidate) hit and tokens, with repair and break.
+    """doc_id, depth, level_id, and of the control order (base) and the learned one (candidate) hit and tokens, with repair, break and top.
+
+    top marks the highest level that the document can reach; a state that reaches it reaches all.
 
     Both orders of a document are in one row before depths and levels are taken out, so they need no join.
     """
@@ -188,10 +241,9 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.select("doc_id", "best", "tokens", "fidelity", F.posexplode(F.arrays_zip("base_masks", "candidate_masks")).alias("depth", "m"))
     at = lambda c, side: F.get(c, F.col(f"m.{side}_masks"))
     df = df.select("doc_id", "depth", "best", *[at(c, s).alias(f"{s}_{c}") for s in ("base", "candidate") for c in ("tokens", "fidelity")])
-    grid = F.array(*[F.struct(F.lit(i).alias("level_id"), F.lit(float(x)).alias("level")) for i, x in enumerate(LEVELS)])
-    df = df.select("*", F.inline(grid))
+    df = df.select("*", F.inline(_grid()))
     hit = lambda s: F.when(F.col("best") >= F.col("level"), F.col(f"{s}_fidelity") >= F.col("level")).alias(s)
-    df = df.select("doc_id", "depth", "level_id", hit("base"), hit("candidate"), "base_tokens", "candidate_tokens")
+    df = df.select("doc_id", "depth", "level_id", hit("base"), hit("candidate"), "base_tokens", "candidate_tokens", _top())
     return df.withColumn("repair", F.col("candidate") & ~F.col("base")).withColumn("break", F.col("base") & ~F.col("candidate"))
 
 

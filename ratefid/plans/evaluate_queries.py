@@ -30,12 +30,22 @@ def _sides(spark, sf_dir):
     return base.sides(spark, sf_dir)
 
 
-@query("SELECT arm, depth, level_id, grouping(level_id)::INT AS pooled, avg(hit::INT) AS success, count(hit) AS n_active, avg(tokens) AS tokens FROM hits GROUP BY GROUPING SETS ((arm, depth, level_id), (arm, depth))")
+@query("""h AS (SELECT h.*, max(h.level_id) FILTER (h.active) OVER d AS top, bool_and(hit) OVER d AS every, CASE WHEN hit THEN h.tokens - f.tokens END AS regret
+    FROM hits h JOIN frontier f ON f.doc_id = h.doc_id AND f.level_id = h.level_id WINDOW d AS (PARTITION BY h.doc_id, arm, depth))
+SELECT arm, depth, level_id, grouping(level_id)::INT AS pooled, avg(hit::INT) AS success, count(hit) AS n_active, avg(tokens) AS tokens, avg(every::INT) FILTER (level_id = top) AS all_success,
+    count(*) FILTER (level_id = top) AS n_highest, avg(regret) AS regret FROM h GROUP BY GROUPING SETS ((arm, depth, level_id), (arm, depth))""")
 def i02_arm_summary(spark, sf_dir):
-    rows = base.hits(spark, sf_dir)
-    each = lambda df: df.agg(ev.rate("hit").alias("success"), F.count("hit").alias("n_active"), F.avg("tokens").alias("tokens"))
-    fine = each(rows.groupBy("arm", "depth", "level_id")).withColumn("pooled", F.lit(0))
-    return fine.unionByName(each(rows.groupBy("arm", "depth")).withColumn("level_id", F.lit(None).cast("int")).withColumn("pooled", F.lit(1)))
+    """By arm, depth and level, and pooled over levels. all_success counts documents, each under its highest reachable level."""
+    rows = base.regrets(spark, sf_dir).groupingSets([["arm", "depth", "level_id"], ["arm", "depth"]], "arm", "depth", "level_id")
+    return rows.agg(
+        F.grouping("level_id").cast("int").alias("pooled"),
+        ev.rate("hit").alias("success"),
+        F.count("hit").alias("n_active"),
+        F.avg("tokens").alias("tokens"),
+        ev.rate(F.when(F.col("top"), F.col("hit"))).alias("all_success"),
+        F.count(F.when(F.col("top"), 1)).alias("n_highest"),
+        F.avg("regret").alias("regret"),
+    )
 
 
 @query("""m AS (SELECT arm, depth, avg(hit::INT) AS success, avg(tokens) AS tokens FROM hits GROUP BY ALL)
@@ -67,11 +77,19 @@ def i11_risk_coverage(spark, sf_dir):
     return rows.groupBy("lang", "fraction").agg(F.count(F.lit(1)).alias("covered"), F.sum(1 - F.col("quality")).alias("risk"))
 
 
-@query("SELECT depth, level_id, count(*) FILTER (candidate) AS successes, count(*) FILTER (repair) AS repairs, count(*) FILTER (break) AS breaks, CAST(sum(candidate_tokens - base_tokens) AS BIGINT) AS token_delta FROM sides GROUP BY ALL")
+@query("""s AS (SELECT *, level_id = max(level_id) FILTER (base IS NOT NULL) OVER d AS top, bool_and(base) OVER d AS b, bool_and(candidate) OVER d AS c FROM sides WINDOW d AS (PARTITION BY doc_id, depth))
+SELECT depth, level_id, count(*) FILTER (candidate) AS successes, count(*) FILTER (repair) AS repairs, count(*) FILTER (break) AS breaks, CAST(sum(candidate_tokens - base_tokens) AS BIGINT) AS token_delta,
+    count(*) FILTER (top AND c AND NOT b) AS complete_repairs, count(*) FILTER (top AND b AND NOT c) AS complete_breaks FROM s GROUP BY ALL""")
 def i12_paired_summary(spark, sf_dir):
-    n = lambda c: F.count(F.when(F.col(c), 1))
+    """By depth and level. Complete repairs and breaks concern all levels that a document can reach; each counts under the highest of them."""
+    n = lambda c: F.count(F.when(c, 1))
     return _sides(spark, sf_dir).groupBy("depth", "level_id").agg(
-        n("candidate").alias("successes"), n("repair").alias("repairs"), n("break").alias("breaks"), F.sum(F.col("candidate_tokens") - F.col("base_tokens")).alias("token_delta")
+        n(F.col("candidate")).alias("successes"),
+        n(F.col("repair")).alias("repairs"),
+        n(F.col("break")).alias("breaks"),
+        F.sum(F.col("candidate_tokens") - F.col("base_tokens")).alias("token_delta"),
+        n(F.col("top") & F.col("repair")).alias("complete_repairs"),
+        n(F.col("top") & F.col("break")).alias("complete_breaks"),
     )
 
 
@@ -100,12 +118,15 @@ def i15_failure_masks(spark, sf_dir):
     return rows.groupBy("arm", "depth", "failed").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""t AS (SELECT arm, depth, tokens - lag(tokens) OVER w AS added, fidelity < lag(fidelity) OVER w AS rollback FROM prefixes WINDOW w AS (PARTITION BY doc_id, arm ORDER BY depth))
-SELECT arm, depth, count(*) AS n, avg(added) AS added, avg(rollback::INT) AS rollbacks FROM t WHERE added IS NOT NULL GROUP BY ALL""")
+@query("""t AS (SELECT doc_id, arm, depth, tokens - lag(tokens) OVER w AS added, fidelity < lag(fidelity) OVER w AS rollback FROM prefixes WINDOW w AS (PARTITION BY doc_id, arm ORDER BY depth)),
+f AS (SELECT doc_id, count(*) FILTER (tokens > 0) AS n_filled FROM packets GROUP BY doc_id)
+SELECT arm, n_filled, depth, count(*) AS n, avg(added) AS added, avg(rollback::INT) AS rollbacks FROM t JOIN f USING (doc_id) WHERE added IS NOT NULL GROUP BY ALL""")
 def i16_transitions(spark, sf_dir):
-    by = Window.partitionBy("doc_id", "arm").orderBy("depth")
-    rows = base.prefixes(spark, sf_dir).select("arm", "depth", (F.col("tokens") - F.lag("tokens").over(by)).alias("added"), (F.col("fidelity") < F.lag("fidelity").over(by)).alias("rollback"))
-    return rows.where("added IS NOT NULL").groupBy("arm", "depth").agg(F.count(F.lit(1)).alias("n"), F.avg("added").alias("added"), ev.rate("rollback").alias("rollbacks"))
+    """Steps along an order by arm, number of packets with tokens, and depth."""
+    steps = F.transform(F.sequence(F.lit(1), F.lit(N)), lambda d: F.struct(d.alias("depth"), (F.get("tokens", d) - F.get("tokens", d - 1)).alias("tokens"), (F.get("fidelity", d) < F.get("fidelity", d - 1)).alias("rollback")))
+    rows = base.walks(spark, sf_dir).select("arm", steps.alias("steps"))
+    rows = rows.select("arm", F.size(F.filter("steps", lambda s: s["tokens"] > 0)).cast("long").alias("n_filled"), F.inline("steps"))
+    return rows.groupBy("arm", "n_filled", "depth").agg(F.count(F.lit(1)).alias("n"), F.avg("tokens").alias("added"), ev.rate("rollback").alias("rollbacks"))
 
 
 @query("""p AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY doc_id, arm, level_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM hits WHERE depth IN (2, 4, 6) AND active)
@@ -123,13 +144,49 @@ def i20_depth_histogram(spark, sf_dir):
     return rows.groupBy("arm", "level_id", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""o AS (SELECT doc_id, level_id, mask AS oracle, tokens AS oracle_tokens FROM chain), p AS (SELECT doc_id, arm, depth, mask, tokens FROM prefixes WHERE depth = 3)
-SELECT arm, level_id, avg(bit_count(mask & ~oracle & 63)::INT) AS extra, avg(bit_count(oracle & ~mask & 63)::INT) AS missing, avg(tokens - oracle_tokens) AS excess FROM p JOIN o USING (doc_id) GROUP BY ALL""")
+@query("""p AS (SELECT *, max(tokens) OVER (PARTITION BY doc_id, arm) AS whole FROM prefixes),
+c AS (SELECT doc_id, arm, any_value(whole) AS whole, coalesce(min(depth) FILTER (recall >= 0.5), 6) AS "first", arg_max(depth, (recall - coalesce(tokens / nullif(whole, 0), 0), -depth)) AS best FROM p GROUP BY ALL),
+r AS (SELECT doc_id, arm, whole, 'first' AS rule, "first" AS chosen FROM c UNION ALL SELECT doc_id, arm, whole, 'best', best FROM c),
+d AS (SELECT doc_id, arm, rule, chosen, level_id, bool_or(hit) AS reachable, min(depth) FILTER (hit) AS own, bool_or(hit) FILTER (depth = chosen) AS ok, max(tokens) FILTER (depth = chosen) / nullif(any_value(whole), 0) AS share
+    FROM r JOIN hits USING (doc_id, arm) WHERE active GROUP BY doc_id, arm, rule, chosen, level_id)
+SELECT arm, rule, level_id, count(*) AS n, count(*) FILTER (ok) AS safe, avg(ok::INT) FILTER (reachable) AS hit_given_reachable, count(*) FILTER (NOT ok AND chosen < own) AS early, count(*) FILTER (NOT ok AND chosen > own) AS late,
+    avg(share) AS context, avg(share) FILTER (ok) AS context_of_hits, avg(CASE WHEN ok THEN share ELSE 1 + share END) AS context_with_failures FROM d GROUP BY ALL""")
+def i20_decision_metrics(spark, sf_dir):
+    """What two stopping rules reach. A miss is early before the first depth that hits, late after it; a failure pays for the whole text too."""
+    grid = F.array(*[F.struct(F.lit(i).alias("level_id"), F.lit(float(x)).alias("level")) for i, x in enumerate(LEVELS)])
+    rows = base.choices(spark, sf_dir).select("*", F.inline(grid)).where("best >= level")
+    own = F.array_position(F.transform("fidelity", lambda f: f >= F.col("level")), F.lit(True))
+    rows = rows.select("arm", "rule", "level_id", "chosen", F.when(own > 0, own - 1).alias("own"), (F.get("fidelity", F.col("chosen")) >= F.col("level")).alias("ok"), (F.get("tokens", F.col("chosen")) / F.nullif(F.col("whole"), F.lit(0))).alias("share"))
+    n = lambda c: F.count(F.when(c, 1))
+    ok, share = F.col("ok"), F.col("share")
+    return rows.groupBy("arm", "rule", "level_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        n(ok).alias("safe"),
+        ev.rate(F.when(F.col("own").isNotNull(), ok)).alias("hit_given_reachable"),
+        n(~ok & (F.col("chosen") < F.col("own"))).alias("early"),
+        n(~ok & (F.col("chosen") > F.col("own"))).alias("late"),
+        F.avg(share).alias("context"),
+        F.avg(F.when(ok, share)).alias("context_of_hits"),
+        F.avg(F.when(ok, share).otherwise(1 + share)).alias("context_with_failures"),
+    )
+
+
+@query("""o AS (SELECT doc_id, level_id, mask AS oracle, tokens AS oracle_tokens FROM chain), p AS (SELECT doc_id, arm, depth, mask, tokens FROM prefixes WHERE depth = 3),
+x AS (SELECT arm, level_id, p.mask AS mask, oracle, p.tokens - oracle_tokens AS excess, e.tokens AS extra_tokens, m.tokens AS missing_tokens FROM p JOIN o USING (doc_id)
+    JOIN states e ON e.doc_id = p.doc_id AND e.mask = p.mask & ~oracle & 63 JOIN states m ON m.doc_id = p.doc_id AND m.mask = oracle & ~p.mask & 63)
+SELECT arm, level_id, avg(bit_count(mask & ~oracle & 63)::INT) AS extra, avg(bit_count(oracle & ~mask & 63)::INT) AS missing, avg(extra_tokens) AS extra_tokens, avg(missing_tokens) AS missing_tokens,
+    avg(excess) AS excess, min(excess) AS least_excess, median(excess) AS median_excess, max(excess) AS most_excess FROM x GROUP BY ALL""")
 def i21_regret_decomposition(spark, sf_dir):
+    """Half an order against the best nested chain: packets and tokens too many and too few."""
     oracle = fr.nested_chain(base.lattice(spark, sf_dir), LEVELS, N).select("doc_id", "level_id", F.col("mask").alias("oracle"), F.col("tokens").alias("oracle_tokens"))
-    rows = base.prefixes(spark, sf_dir).where("depth = 3").join(oracle, "doc_id")
-    only = lambda a, b: F.avg(F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))))
-    return rows.groupBy("arm", "level_id").agg(only("mask", "oracle").alias("extra"), only("oracle", "mask").alias("missing"), F.avg(F.col("tokens") - F.col("oracle_tokens")).alias("excess"))
+    rows = base.half_walks(spark, sf_dir).join(oracle, "doc_id")
+    only = lambda a, b: F.col(a).bitwiseAND(F.bitwise_not(F.col(b)))
+    extra, missing = only("mask", "oracle"), only("oracle", "mask")
+    rows = rows.select("arm", "level_id", extra.alias("e"), missing.alias("m"), F.get("tokens", extra).alias("et"), F.get("tokens", missing).alias("mt"), (F.get("tokens", F.col("mask")) - F.col("oracle_tokens")).alias("x"))
+    return rows.groupBy("arm", "level_id").agg(
+        F.avg(F.bit_count("e")).alias("extra"), F.avg(F.bit_count("m")).alias("missing"), F.avg("et").alias("extra_tokens"), F.avg("mt").alias("missing_tokens"),
+        F.avg("x").alias("excess"), F.min("x").alias("least_excess"), F.median("x").alias("median_excess"), F.max("x").alias("most_excess"),
+    )
 
 
 @query("""h AS (SELECT doc_id, arm, level_id, depth, hit, tokens FROM hits WHERE active)
@@ -255,9 +312,18 @@ def k05_average_precision(spark, sf_dir):
     return ev.average_precision(_labelled(spark, sf_dir), "n_chars", "quality", "doc_id", ["lang"])
 
 
-@query("SELECT lang, quantile_cont(n_chars, 0.9) AS p90, median(n_chars) AS p50 FROM labelled GROUP BY lang")
+@query("""r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM labelled)
+SELECT lang, quantile_cont(n_chars, 0.9) AS p90, median(n_chars) AS p50, max(n_chars) FILTER (k - 1 = round_even((n - 1) * 0.9::DOUBLE, 0)) AS p90_nearest, max(n_chars) FILTER (k = ceil(n * 0.9::DOUBLE)) AS p90_ceiling FROM r GROUP BY lang""")
 def k12_percentiles(spark, sf_dir):
-    return _labelled(spark, sf_dir).groupBy("lang").agg(F.percentile("n_chars", F.lit(0.9)).alias("p90"), F.median("n_chars").alias("p50"))
+    """Linear, at the nearest rank (halves to even), and at the rank rounded up."""
+    rows = range_rank(_labelled(spark, sf_dir), ["lang"], [F.col("n_chars"), F.col("doc_id")])
+    at = lambda k: F.max(F.when(F.col("position") == k, F.col("n_chars")))
+    return rows.groupBy("lang").agg(
+        F.percentile("n_chars", F.lit(0.9)).alias("p90"),
+        F.median("n_chars").alias("p50"),
+        at(F.rint((F.col("size") - 1) * F.lit(0.9)) + 1).alias("p90_nearest"),
+        at(F.ceil(F.col("size") * F.lit(0.9))).alias("p90_ceiling"),
+    )
 
 
 @query(r"""t AS (SELECT item_id, term, count(*)::DOUBLE AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(question), '[\p{L}\p{N}_]+')) AS term FROM questions) GROUP BY ALL), d AS (SELECT term, count(*)::DOUBLE AS df FROM t GROUP BY term HAVING count(*) >= 2),
@@ -274,10 +340,13 @@ def k16_standardised(spark, sf_dir):
     return rows.join(s, "lang").select("doc_id", ((F.col("n_chars") - F.col("m")) / F.nullif(F.col("sd"), F.lit(0.0))).alias("z"))
 
 
-@query("""o AS (SELECT doc_id, arm, list(packet_id ORDER BY pos) AS l FROM orders GROUP BY ALL)
-SELECT a.doc_id, coalesce(list_position(list_transform(list_zip(a.l, b.l), lambda x: x[1] = x[2]), false) - 1, 6) AS common FROM o a JOIN o b ON a.doc_id = b.doc_id WHERE a.arm = 'learned' AND b.arm = 'control'""")
+@query("""o AS (SELECT doc_id, arm, list(packet_id ORDER BY pos) AS l FROM orders GROUP BY ALL),
+c AS (SELECT a.doc_id, coalesce(list_position(list_transform(list_zip(a.l, b.l), lambda x: x[1] = x[2]), false) - 1, 6)::INT AS common FROM o a JOIN o b ON a.doc_id = b.doc_id WHERE a.arm = 'learned' AND b.arm = 'control')
+SELECT c.doc_id, common, CAST(p.tokens AS DOUBLE) / nullif(w.tokens, 0) AS reusable FROM c JOIN prefixes p ON p.doc_id = c.doc_id AND p.arm = 'control' AND p.depth = common JOIN prefixes w ON w.doc_id = c.doc_id AND w.arm = 'control' AND w.depth = 6""")
 def k20_common_prefix(spark, sf_dir):
-    rows = base.orders(spark, sf_dir).groupBy("doc_id", "arm").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "packet_id"))), lambda x: x["packet_id"]).alias("l"))
-    a, b = rows.where("arm = 'learned'").select("doc_id", F.col("l").alias("a")), rows.where("arm = 'control'").select("doc_id", F.col("l").alias("b"))
-    at = F.array_position(F.zip_with("a", "b", lambda x, y: x == y), F.lit(False))
-    return a.join(b, "doc_id").select("doc_id", F.when(at == 0, F.lit(N)).otherwise(at - 1).cast("int").alias("common"))
+    """Packets that both orders of a document begin with, and their share of its tokens, which a cache of prefixes saves."""
+    rows = base.both_orders(spark, sf_dir)
+    at = F.array_position(F.zip_with("a", "b", lambda x, y: x == y), F.lit(False)).cast("int")
+    rows = rows.withColumn("common", F.when(at == 0, F.lit(N)).otherwise(at - 1))
+    held = F.aggregate(F.slice("a", F.lit(1), F.col("common")), F.lit(0), lambda m, p: m.bitwiseOR(F.pow(F.lit(2), p).cast("int")))
+    return rows.select("doc_id", "common", (F.get("tokens", held) / F.nullif(F.element_at("tokens", -1), F.lit(0))).alias("reusable"))

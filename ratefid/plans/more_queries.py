@@ -97,13 +97,16 @@ def g31_safe_swaps(spark, sf_dir):
 
 
 @query("""h AS (SELECT doc_id, arm, level_id, min(depth) FILTER (hit) AS d, bool_or(active) AS a FROM hits GROUP BY ALL)
-SELECT level_id, count(*) FILTER (l.d IS NOT NULL) AS learned, count(*) FILTER (c.d IS NOT NULL) AS control, count(*) FILTER (l.d < c.d) AS earlier, count(*) FILTER (l.d > c.d) AS later FROM h l JOIN h c USING (doc_id, level_id) WHERE l.arm = 'learned' AND c.arm = 'control' AND l.a GROUP BY level_id""")
+SELECT level_id, count(*) FILTER (l.d IS NOT NULL) AS learned, count(*) FILTER (c.d IS NOT NULL) AS control, count(*) FILTER (l.d < c.d) AS earlier, count(*) FILTER (l.d > c.d) AS later,
+    count(*) FILTER (l.d <= 3 AND coalesce(c.d, 7) > 3) AS repairs, count(*) FILTER (c.d <= 3 AND coalesce(l.d, 7) > 3) AS breaks, count(*) FILTER (l.d <= 3) - count(*) FILTER (c.d <= 3) AS net FROM h l JOIN h c USING (doc_id, level_id) WHERE l.arm = 'learned' AND c.arm = 'control' AND l.a GROUP BY level_id""")
 def i22_contract_table(spark, sf_dir):
     h = base.hits(spark, sf_dir).groupBy("doc_id", "arm", "level_id").agg(F.min(F.when(F.col("hit"), F.col("depth"))).alias("d"), F.bool_or("active").alias("a"))
     side = lambda arm, c: h.where(F.col("arm") == arm).select("doc_id", "level_id", F.col("d").alias(c), F.col("a").alias(f"a_{c}"))
     rows = side("learned", "l").join(side("control", "c"), ["doc_id", "level_id"]).where("a_l")
     n = lambda t: F.count(F.when(t, 1))
-    return rows.groupBy("level_id").agg(n(F.col("l").isNotNull()).alias("learned"), n(F.col("c").isNotNull()).alias("control"), n(F.col("l") < F.col("c")).alias("earlier"), n(F.col("l") > F.col("c")).alias("later"))
+    early = lambda c: F.coalesce(F.col(c) <= 3, F.lit(False))
+    half = [n(early("l") & ~early("c")).alias("repairs"), n(early("c") & ~early("l")).alias("breaks"), (n(early("l")) - n(early("c"))).alias("net")]
+    return rows.groupBy("level_id").agg(*half, n(F.col("l").isNotNull()).alias("learned"), n(F.col("c").isNotNull()).alias("control"), n(F.col("l") < F.col("c")).alias("earlier"), n(F.col("l") > F.col("c")).alias("later"))
 
 
 @query("""s AS (SELECT arm, depth, level_id, count(*) FILTER (hit) AS ok, CAST(sum(tokens) FILTER (active) AS BIGINT) AS cost FROM hits GROUP BY ALL)
@@ -144,12 +147,12 @@ def k18_rotated_control(spark, sf_dir):
 
 
 @query("""r AS (SELECT lang, quality, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM labels JOIN documents USING (doc_id))
-SELECT lang, k AS at, CAST(sum(quality) OVER w AS DOUBLE) / nullif(sum(quality) OVER (PARTITION BY lang), 0) AS recall, k / n AS expected FROM r WINDOW w AS (PARTITION BY lang ORDER BY k)""")
+SELECT lang, k AS at, CAST(sum(quality) OVER w AS DOUBLE) / nullif(sum(quality) OVER (PARTITION BY lang), 0) AS recall, k / n AS expected, CAST(sum(quality) OVER w AS DOUBLE) * n / nullif(sum(quality) OVER (PARTITION BY lang) * k, 0) AS lift FROM r WINDOW w AS (PARTITION BY lang ORDER BY k)""")
 def k10_recall_at_k(spark, sf_dir):
     rows = base.table(spark, sf_dir, "labels").join(base.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     rows = running_total(range_rank(rows, ["lang"], [-F.col("n_chars"), F.col("doc_id")]), ["lang"], "quality")
     every = rows.groupBy("lang").agg(F.sum("quality").alias("found"))
-    return rows.join(every, "lang").select("lang", F.col("position").alias("at"), (F.col("total") / F.nullif(F.col("found"), F.lit(0))).alias("recall"), (F.col("position") / F.col("size")).alias("expected"))
+    return rows.join(every, "lang").select("lang", F.col("position").alias("at"), (F.col("total") / F.nullif(F.col("found"), F.lit(0))).alias("recall"), (F.col("position") / F.col("size")).alias("expected"), (F.col("total").cast("double") * F.col("size") / F.nullif(F.col("found") * F.col("position"), F.lit(0))).alias("lift"))
 
 
 _PAGE = r"(?s)<p[^>]*>(.*?)</p>"
