@@ -123,8 +123,15 @@ def diagnostics(independent: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def frontier_summary(gaps: DataFrame, independent: DataFrame, key: str = "doc_id") -> DataFrame:
-    """By level: examples, feasible ones, mean tokens of both frontiers, mean gap."""
-    rows = independent.select(key, "level_id", "feasible").join(gaps, [key, "level_id"])
+    """By level: examples, feasible ones, mean tokens of both frontiers, mean gap.
+
+    Violations are states that the next level's state does not hold whole; rate decreases are next states with fewer tokens.
+    """
+    by = Window.partitionBy(key).orderBy("level_id")
+    later = lambda c: F.lead(c).over(by)
+    broken = F.col("mask").bitwiseAND(F.bitwise_not(later("mask"))) != 0
+    rows = independent.select(key, "level_id", "feasible", broken.alias("broken"), (later("tokens") < F.col("tokens")).alias("falls"))
+    rows = rows.join(gaps, [key, "level_id"])
     return rows.groupBy("level_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(F.when(F.col("feasible"), 1)).alias("n_feasible"),
@@ -132,6 +139,8 @@ def frontier_summary(gaps: DataFrame, independent: DataFrame, key: str = "doc_id
         F.avg("nested_tokens").alias("nested_tokens"),
         F.avg("gap").alias("gap"),
         F.count(F.when(F.col("gap") > 0, 1)).alias("n_gap"),
+        F.count(F.when(F.col("broken"), 1)).alias("violations"),
+        F.count(F.when(F.col("falls"), 1)).alias("rate_decreases"),
     )
 
 

@@ -118,6 +118,19 @@ def i15_failure_masks(spark, sf_dir):
     return rows.groupBy("arm", "depth", "failed").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""f AS (SELECT doc_id, arm, depth, level_id, count(*) OVER (PARTITION BY doc_id, arm, depth) AS k FROM hits WHERE NOT hit)
+SELECT x.arm, x.depth, x.level_id AS a, y.level_id AS b, count(*) AS n, count(*) FILTER (x.k = 1) AS alone FROM f x JOIN f y ON x.doc_id = y.doc_id AND x.arm = y.arm AND x.depth = y.depth AND x.level_id <= y.level_id GROUP BY ALL""")
+def i15_failure_pairs(spark, sf_dir):
+    """Documents that fail both of two levels, by arm and depth; with a = b those that fail it, and alone those that fail no other."""
+    levels = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(float(x)).alias("level")) for i, x in enumerate(LEVELS)])
+    rows = base.walks(spark, sf_dir).select("arm", "best", F.posexplode("fidelity").alias("depth", "f"))
+    failed = F.transform(F.filter(levels, lambda x: (F.col("best") >= x["level"]) & (F.col("f") < x["level"])), lambda x: x["id"])
+    rows = rows.select("arm", "depth", failed.alias("failed")).groupBy("arm", "depth", "failed").agg(F.count(F.lit(1)).alias("k"))  # at most 2 ** levels sets
+    pairs = F.flatten(F.transform("failed", lambda x: F.transform(F.filter("failed", lambda y: y >= x), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    rows = rows.select("arm", "depth", "k", F.when(F.size("failed") == 1, F.col("k")).otherwise(0).alias("own"), F.inline(pairs))
+    return rows.groupBy("arm", "depth", "a", "b").agg(F.sum("k").alias("n"), F.sum("own").alias("alone"))
+
+
 @query("""t AS (SELECT doc_id, arm, depth, tokens - lag(tokens) OVER w AS added, fidelity < lag(fidelity) OVER w AS rollback FROM prefixes WINDOW w AS (PARTITION BY doc_id, arm ORDER BY depth)),
 f AS (SELECT doc_id, count(*) FILTER (tokens > 0) AS n_filled FROM packets GROUP BY doc_id)
 SELECT arm, n_filled, depth, count(*) AS n, avg(added) AS added, avg(rollback::INT) AS rollbacks FROM t JOIN f USING (doc_id) WHERE added IS NOT NULL GROUP BY ALL""")

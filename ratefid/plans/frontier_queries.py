@@ -154,8 +154,9 @@ def f10_frontier_diagnostics(spark, sf_dir):
     return fr.diagnostics(fr.independent_frontier(_lattice(spark, sf_dir), LEVELS, N))
 
 
-@query("""SELECT level_id, count(*) AS n, count(*) FILTER (feasible) AS n_feasible, avg(independent_tokens) AS independent_tokens, avg(nested_tokens) AS nested_tokens, avg(gap) AS gap, count(*) FILTER (gap > 0) AS n_gap
-FROM frontier JOIN gaps USING (doc_id, level_id) GROUP BY level_id""")
+@query("""x AS (SELECT doc_id, level_id, feasible, mask & ~lead(mask) OVER w & 63 <> 0 AS broken, lead(tokens) OVER w < tokens AS falls FROM frontier WINDOW w AS (PARTITION BY doc_id ORDER BY level_id))
+SELECT level_id, count(*) AS n, count(*) FILTER (feasible) AS n_feasible, count(*) FILTER (broken) AS violations, count(*) FILTER (falls) AS rate_decreases, avg(independent_tokens) AS independent_tokens, avg(nested_tokens) AS nested_tokens, avg(gap) AS gap, count(*) FILTER (gap > 0) AS n_gap
+FROM x JOIN gaps USING (doc_id, level_id) GROUP BY level_id""")
 def f11_frontier_summary(spark, sf_dir):
     s = _lattice(spark, sf_dir)
     own = fr.independent_frontier(s, LEVELS, N)

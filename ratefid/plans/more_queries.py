@@ -109,14 +109,31 @@ def i22_contract_table(spark, sf_dir):
     return rows.groupBy("level_id").agg(*half, n(F.col("l").isNotNull()).alias("learned"), n(F.col("c").isNotNull()).alias("control"), n(F.col("l") < F.col("c")).alias("earlier"), n(F.col("l") > F.col("c")).alias("later"))
 
 
-@query("""s AS (SELECT arm, depth, level_id, count(*) FILTER (hit) AS ok, CAST(sum(tokens) FILTER (active) AS BIGINT) AS cost FROM hits GROUP BY ALL)
-SELECT a.arm, a.depth AS d0, b.depth AS d1, c.depth AS d2, a.ok + b.ok + c.ok AS success, coalesce(a.cost, 0) + coalesce(b.cost, 0) + coalesce(c.cost, 0) AS cost FROM s a JOIN s b ON a.arm = b.arm AND a.level_id = 0 AND b.level_id = 1 AND a.depth <= b.depth JOIN s c ON c.arm = b.arm AND c.level_id = 2 AND b.depth <= c.depth""")
+@query("""s AS (SELECT arm, depth, level_id, count(*) FILTER (hit) AS ok, count(hit) AS n, CAST(coalesce(sum(tokens) FILTER (active), 0) AS BIGINT) AS cost FROM hits GROUP BY ALL),
+g AS (SELECT a.arm, a.depth AS d0, b.depth AS d1, c.depth AS d2, d.depth AS d3, a.ok + b.ok + c.ok + d.ok AS success, a.cost + b.cost + c.cost + d.cost AS cost, 10 * (a.ok + b.ok + c.ok + d.ok) >= 6 * (a.n + b.n + c.n + d.n) AS meets
+    FROM s a JOIN s b ON a.arm = b.arm AND a.depth <= b.depth JOIN s c ON c.arm = b.arm AND b.depth <= c.depth JOIN s d ON d.arm = c.arm AND c.depth <= d.depth WHERE a.level_id = 0 AND b.level_id = 1 AND c.level_id = 2 AND d.level_id = 3)
+SELECT g.*, coalesce(g.meets AND g.cost = (SELECT min(cost) FILTER (meets) FROM g h WHERE h.arm = g.arm), false) AS cheapest,
+    (SELECT count(*) FROM g h WHERE h.arm = g.arm AND h.success >= g.success AND h.cost <= g.cost AND (h.success > g.success OR h.cost < g.cost)) AS dominating FROM g""")
 def i25_monotone_schedules(spark, sf_dir):
-    """All schedules of rising depths from sums by (arm, depth, level): a few dozen rows, whatever the tables' size."""
-    s = base.hits(spark, sf_dir).groupBy("arm", "depth", "level_id").agg(F.count(F.when(F.col("hit"), 1)).alias("ok"), F.sum(F.when(F.col("active"), F.col("tokens"))).alias("cost"))
-    at = lambda k: s.where(F.col("level_id") == k).select("arm", F.col("depth").alias(f"d{k}"), F.col("ok").alias(f"ok{k}"), F.coalesce("cost", F.lit(0)).alias(f"cost{k}"))
-    rows = at(0).join(at(1), "arm").where("d0 <= d1").join(at(2), "arm").where("d1 <= d2")
-    return rows.select("arm", "d0", "d1", "d2", F.expr("ok0 + ok1 + ok2").alias("success"), F.expr("cost0 + cost1 + cost2").alias("cost"))
+    """All schedules of rising depths from sums by (arm, depth, level): 28 cells and 210 schedules an arm, whatever the tables' size.
+
+    ``meets`` asks for six tenths of the reachable levels; ``cheapest`` marks the least costly of those that meet it (ties all); ``dominating``
+    counts schedules that are no worse in success and cost, and better in one.
+    """
+    s = base.hits(spark, sf_dir).groupBy("arm", "depth", "level_id").agg(F.count(F.when(F.col("hit"), 1)).alias("ok"), F.count("hit").alias("n"), F.coalesce(F.sum(F.when(F.col("active"), F.col("tokens"))), F.lit(0)).alias("cost"))
+    rows = s.groupBy("arm").agg(F.collect_list(F.struct("level_id", "depth", "ok", "n", "cost")).alias("cells"))
+    for k in range(len(base.LEVELS)):
+        rows = rows.select("*", F.explode(F.expr(f"filter(cells, c -> c.level_id = {k})")).alias(f"c{k}"))
+        rows = rows.where(f"c{k - 1}.depth <= c{k}.depth") if k else rows
+    levels = range(len(base.LEVELS))
+    total = lambda c: sum((F.col(f"c{k}.{c}") for k in levels), F.lit(0))
+    one = F.struct(*[F.col(f"c{k}.depth").alias(f"d{k}") for k in levels], total("ok").alias("success"), total("cost").alias("cost"), (10 * total("ok") >= 6 * total("n")).alias("meets"))
+    rows = rows.groupBy("arm").agg(F.collect_list(one).alias("every"))
+    rows = rows.withColumn("least", F.array_min(F.transform(F.filter("every", lambda x: x["meets"]), lambda x: x["cost"])))
+    rows = rows.select("arm", "every", "least", F.inline("every"))
+    better = F.filter("every", lambda x: (x["success"] >= F.col("success")) & (x["cost"] <= F.col("cost")) & ((x["success"] > F.col("success")) | (x["cost"] < F.col("cost"))))
+    cheapest = F.coalesce(F.col("meets") & (F.col("cost") == F.col("least")), F.lit(False))
+    return rows.select("arm", *[f"d{k}" for k in levels], "success", "cost", "meets", cheapest.alias("cheapest"), F.size(better).cast("long").alias("dominating"))
 
 
 @query("""f AS (SELECT doc_id, arm, level_id, min(depth) FILTER (hit) AS d FROM hits WHERE active GROUP BY ALL), g AS (SELECT *, lag(d) OVER (PARTITION BY doc_id, arm ORDER BY level_id) AS before FROM f)
