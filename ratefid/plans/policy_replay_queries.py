@@ -14,7 +14,7 @@ from . import base
 from .order_queries import walks
 from .registry import query
 from .sql import TABLES
-from .trajectory_queries import _path, _valued
+from .trajectory_queries import _path_actions, _valued
 
 N, LEVELS = base.N_PACKETS, base.LEVELS
 K = len(LEVELS)
@@ -28,14 +28,16 @@ RATES = (0.0, 0.25, 0.5, 0.75, 1.0)
 SELECT doc_id, mask, reached, n_actions, n_best, costs, true AS agrees FROM b""")
 def g07_histories_with_costs(spark, sf_dir):
     """Reachable histories with what each action loses; the free ones must be just the best actions, worked out apart."""
-    valued = _valued(spark, sf_dir)
-    actions = tr.actions(valued, N, tr.every_state(N, K))
-    key = ["doc_id", "mask", "reached"]
-    listed = F.array_sort(F.collect_list(F.struct("packet", "lost", (F.col("advantage") == 0).alias("free"))))
-    rows = tr.advantages(actions, K).groupBy(*key).agg(listed.alias("a"), F.count(F.when(F.col("after") == F.col("best"), 1)).alias("n_best"))
-    rows = rows.join(tr.reachable_histories(valued, N, K), key)
+    rows = tr.state_actions(tr.with_seen(_valued(spark, sf_dir), N), N, tr.seen_states(K))
+
+    def judged(o):
+        lost, _, gain = tr.advantage(o["after"], K)
+        return F.struct(o["packet"].alias("packet"), lost.alias("lost"), (gain == 0).alias("free"), (o["after"] == F.col("best")).alias("is_best"))
+
+    rows = base._once(rows, a=F.transform("options", judged))
     shown = F.array_join(F.transform("a", lambda x: F.concat_ws(":", x["packet"].cast("string"), x["lost"].cast("string"))), ",")
-    return rows.select(*key, F.size("a").cast("long").alias("n_actions"), "n_best", shown.alias("costs"), (F.size(F.filter("a", lambda x: x["free"])) == F.col("n_best")).alias("agrees"))
+    n_best = F.size(F.filter("a", lambda x: x["is_best"])).cast("long")
+    return rows.select("doc_id", "mask", "reached", F.size("a").cast("long").alias("n_actions"), n_best.alias("n_best"), shown.alias("costs"), (F.size(F.filter("a", lambda x: x["free"])) == n_best).alias("agrees"))
 
 
 _PATH_SQL = "path AS (SELECT p.doc_id, p.arm, p.depth, p.mask, max(att) OVER (PARTITION BY p.doc_id, p.arm ORDER BY p.depth) AS reached, lead(p.mask) OVER (PARTITION BY p.doc_id, p.arm ORDER BY p.depth) - p.mask AS step FROM prefixes p JOIN attained USING (doc_id, mask))"
@@ -46,8 +48,7 @@ SELECT doc_id, arm, depth, mask, reached, packet, 'retention' AS kind FROM w WHE
 UNION ALL SELECT DISTINCT w.doc_id, arm, depth, mask, reached, packet, 'boundary' FROM w JOIN precedences p ON p.doc_id = w.doc_id AND p.slack = 0.02 AND p.loser = w.packet AND (w.mask >> p.winner) & 1 = 0""")
 def g30_boundary_and_retention(spark, sf_dir):
     """Histories of the orders where the next packet is a best action, and those where it comes before one that should precede it."""
-    gains = tr.advantages(tr.actions(_valued(spark, sf_dir), N, tr.every_state(N, K)), K)
-    rows = _path(spark, sf_dir).join(gains.select("doc_id", "mask", "reached", "packet", "lost", "token_share"), ["doc_id", "mask", "reached", "packet"])
+    rows = tr.advantages(_path_actions(spark, sf_dir), K)
     key = ["doc_id", "arm", "depth", "mask", "reached", "packet"]
     kept = rows.where("lost = 0 AND token_share = 0").select(*key, F.lit("retention").alias("kind"))
     pairs = fr.precedence(fr.chain_membership(base.lattice(spark, sf_dir), LEVELS, N, (0.02,)), N).groupBy("doc_id", "loser").agg(F.bit_or(lt.bit("winner")).alias("winners"))
