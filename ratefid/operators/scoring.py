@@ -55,3 +55,22 @@ def with_alias_metrics(df: DataFrame, predictions: Column, name: str = "metrics"
     share = lambda top, below: F.when(below == 0, 0.0).otherwise(top / below)
     made = F.struct(correct.alias("correct"), predicted.alias("predicted"), gold.alias("gold"), share(correct, predicted).alias("precision"), share(correct, gold).alias("recall"), share(F.lit(2.0) * correct, predicted + gold).alias("f1"))
     return df.withColumn(name, made).drop("_names", "_gold", "_said", "_correct", "_predicted")
+
+
+def alias_metrics(predictions: Column) -> Column:
+    """The struct of ``with_alias_metrics`` for one of several lists of a row that ``with_atom_names`` has made."""
+    owner = lambda p: F.array_min(F.transform(F.filter("_names", lambda n: n["k"] == p), lambda n: n["i"]))
+    gold = F.col("_gold")
+    share = lambda top, below: F.when(below == 0, 0.0).otherwise(top / below)
+
+    def counted(said: Column) -> Column:
+        correct = F.size(F.array_distinct(F.array_compact(F.transform(said, owner)))).cast("long")
+        return F.struct(correct.alias("correct"), F.size(said).cast("long").alias("predicted"))
+
+    def scored(c: Column) -> Column:
+        correct, predicted = c["correct"], c["predicted"]
+        return F.struct(correct.alias("correct"), predicted.alias("predicted"), gold.alias("gold"), share(correct, predicted).alias("precision"), share(correct, gold).alias("recall"), share(F.lit(2.0) * correct, predicted + gold).alias("f1"))
+
+    said = F.array_distinct(F.filter(F.transform(predictions, tx.normalized_answer), lambda p: p != ""))
+    # Each step is bound by a list of one, so that it is worked out once.
+    return F.get(F.transform(F.transform(F.array(said), counted), scored), F.lit(0))

@@ -2,11 +2,12 @@
 
 import pytest
 
+from ratefid.operators import evidence as evd
 from ratefid.plans import registry
 
 registry.load()
 SF = "/root/testdata/sf0.001"
-IN_ROW = ["g02_optimal_actions", "g07_histories_with_costs", "g08_on_policy_audit", "g32_history_dependence"]
+IN_ROW = ["e05_scored_list_answers", "g02_optimal_actions", "g07_histories_with_costs", "g08_on_policy_audit", "g32_history_dependence"]
 
 
 @pytest.mark.parametrize("name", IN_ROW)
@@ -14,3 +15,9 @@ def test_no_shuffle_by_document(spark, name):
     plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [doc_id" not in plan
     assert not [line for line in plan.splitlines() if "Join " in line and "(doc_id" in line]
+
+
+def test_reruns_of_every_arm_with_levels_and_cost(spark):
+    got = registry.QUERIES["i18_rerun_agreement"](spark, SF).toPandas()
+    assert set(got.arm) == {"learned", "control"} and {"level_flips", "level_agreement", "cost"} <= set(got.columns)
+    assert (got.cost[got.depth > 0] > 0).all() and got.level_flips.sum() > 0
