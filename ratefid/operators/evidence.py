@@ -146,8 +146,12 @@ def candidate_records(rows: DataFrame, excluded: Column, n_answers: int = 10, mo
 
 
 def hash_ordered(records: DataFrame, key: str, seed: str) -> DataFrame:
-    """Eligible records by ``position`` (from 0) of the salted hash order; written, since several joins use the same positions."""
-    ranked = hash_rank(records.where("fate = 'eligible'").select(key, "keys", "units"), key, seed).withColumn("position", (F.col("position") - 1).cast("long"))
+    """Eligible records by ``position`` (from 0) of the salted hash order; written, since several joins use the same positions.
+
+    They are written before the ranking too, which reads them twice: proofs are judged once.
+    """
+    eligible = round_trip(records.where("fate = 'eligible'").select(key, "keys", "units"), "eligible")
+    ranked = hash_rank(eligible, key, seed).withColumn("position", (F.col("position") - 1).cast("long"))
     return round_trip(ranked, "records")
 
 

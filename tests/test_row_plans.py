@@ -21,3 +21,11 @@ def test_reruns_of_every_arm_with_levels_and_cost(spark):
     got = registry.QUERIES["i18_rerun_agreement"](spark, SF).toPandas()
     assert set(got.arm) == {"learned", "control"} and {"level_flips", "level_agreement", "cost"} <= set(got.columns)
     assert (got.cost[got.depth > 0] > 0).all() and got.level_flips.sum() > 0
+
+
+def test_proofs_are_judged_once_before_the_ranking(spark, monkeypatch):
+    written, write = [], evd.round_trip
+    monkeypatch.setattr(evd, "round_trip", lambda df, name: written.append(name) or write(df, name))
+    rows = spark.createDataFrame([(1, "eligible", ["a"], ["u"]), (2, "too few", ["b"], ["v"]), (3, "eligible", ["c"], ["w"])], "doc_id long, fate string, keys array<string>, units array<string>")
+    got = evd.hash_ordered(rows, "doc_id", "pool").toPandas()
+    assert written == ["eligible", "records"] and sorted(got.position) == [0, 1] and set(got.doc_id) == {1, 3}
