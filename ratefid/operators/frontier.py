@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lattice import dense, has, lexicographic, zeta
+from .lattice import dense, has, lexicographic, minima, worked_out, zeta
 
 FAR = (1 << 62)
 
@@ -188,6 +189,81 @@ def chain_membership(states: DataFrame, levels: tuple[float, ...], n: int, slack
     return df.where(F.col("cost") <= bound).select(key, "slack", "level_id", "mask", "cost")
 
 
+def _sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where((a < FAR) & (b < FAR), a + np.where(b < FAR, b, 0), FAR)
+
+
+def with_member_counts(lattices: DataFrame, levels: tuple[float, ...], n: int, slacks: tuple[float, ...], key: str = "doc_id") -> DataFrame:
+    """What ``membership_summary`` and ``precedence`` need of the states of ``chain_membership``, in the row of a lattice.
+
+    Adds flat arrays: of each slack and level n_members, of each of these and packet n_having (members with it), of each slack and
+    packet lacks (the packets that some member with it has not, as bits).
+    """
+    full, masks = (1 << n) - 1, np.arange(1 << n)
+    holds = (masks[:, None] >> np.arange(n) & 1).astype(np.int64)
+
+    def work(tokens: np.ndarray, fidelity: np.ndarray) -> dict[str, np.ndarray]:
+        active = sum((fidelity.max(1) >= x).astype(np.int64) for x in levels)
+        own = [np.where(fidelity >= x, tokens, FAR) for x in levels]
+        upto, after, nothing = [own[0]], [None] * len(levels), np.zeros_like(tokens)
+        for o in own[1:]:
+            upto.append(_sum(o, minima(upto[-1])))
+        above = nothing
+        for k in reversed(range(len(levels))):
+            after[k] = np.where((active <= k + 1)[:, None], nothing, above)
+            above = minima(_sum(own[k], after[k]), down=False)
+        inside = []
+        for slack in slacks:
+            for k in range(len(levels)):
+                cost = _sum(upto[k], after[k])
+                bound = cost.min(1) + slack * active * tokens[:, full] + 1e-9
+                inside.append((cost < FAR) & (cost <= bound[:, None]) & (active > k)[:, None])
+        members = np.stack(inside, 1)
+        some = members.reshape(len(tokens), len(slacks), len(levels), -1).any(2)
+        lacks = [np.bitwise_or.reduce(np.where(some & (holds[:, p] > 0), full ^ masks, 0), axis=2) for p in range(n)]
+        flat = lambda x: x.reshape(len(tokens), -1)
+        return {"n_members": members.sum(2), "n_having": flat(members.astype(np.int64) @ holds), "lacks": flat(np.stack(lacks, 2))}
+
+    return worked_out(lattices, {"n_members": "int", "n_having": "int", "lacks": "int"}, work, key)
+
+
+def preferred(n: int, at: int = 0, lacks: str = "lacks") -> Column:
+    """The pairs of ``precedence`` as an array of structs (winner, loser) in their order; ``at`` is the slack's place."""
+    misses = lambda a, b: F.get(lacks, F.lit(at * n) + a).bitwiseAND(F.get(F.array(*[F.lit(1 << i) for i in range(n)]), b)) != 0
+    pairs = F.array(*[F.struct(F.lit(a).alias("winner"), F.lit(b).alias("loser")) for a in range(n) for b in range(n) if a != b])
+    return F.filter(pairs, lambda x: misses(x["winner"], x["loser"]) & ~misses(x["loser"], x["winner"]))
+
+
+def with_frontiers(lattices: DataFrame, levels: tuple[float, ...], n: int, key: str = "doc_id") -> DataFrame:
+    """Both frontiers in the row of a lattice: arrays by level own_mask and own_tokens (of ``independent_frontier``), nested_mask and
+    nested_tokens (of ``nested_chain``), -1 where there is none."""
+    size, masks = 1 << n, np.arange(1 << n)
+    bits = masks[:, None] >> np.arange(n) & 1
+    by_size = np.lexsort((bits @ (1 << np.arange(n)[::-1]), bits.sum(1)))
+    place = np.argsort(by_size)
+
+    def work(tokens: np.ndarray, fidelity: np.ndarray) -> dict[str, np.ndarray]:
+        rows, own, nested, best, ends = np.arange(len(tokens)), [], [], [], []
+        for x in levels:
+            good = fidelity >= x
+            least = np.where(good, tokens * size + place, FAR).min(1)
+            own.append(np.where(least < FAR, by_size[least % size], -1))
+            cost = _sum(np.where(good, tokens, FAR), np.where(best[-1] < FAR, best[-1] >> n, FAR) if best else np.zeros_like(tokens))
+            cost = np.where(cost < FAR, cost * size + masks, FAR)
+            best.append(minima(cost))
+            ends.append(cost.min(1))
+        later = np.full(len(tokens), -1)
+        for k in reversed(range(len(levels))):
+            at = np.where(later >= 0, best[k][rows, later], ends[k])
+            later = np.where(at < FAR, at % size, -1)
+            nested.insert(0, later)
+        own, nested = np.stack(own, 1), np.stack(nested, 1)
+        cost = lambda m: np.where(m >= 0, np.take_along_axis(tokens, m, 1), -1)
+        return {"own_mask": own, "own_tokens": cost(own), "nested_mask": nested, "nested_tokens": cost(nested)}
+
+    return worked_out(lattices, {"own_mask": "int", "own_tokens": "bigint", "nested_mask": "int", "nested_tokens": "bigint"}, work, key)
+
+
 def membership_summary(members: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     """Of each packet, the share of a level's admissible states that have it: always, never or ambiguous."""
     rows = members.withColumn("packet", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -178,17 +178,15 @@ def g24_tail_cost_edges(spark, sf_dir):
 
     Those that hold under a larger slack too are safety edges. Weights have mean 1 in each document and kind.
     """
-    from pyspark.sql import Window
-
-    members = fr.chain_membership(base.lattice(spark, sf_dir), LEVELS, N, (SLACK, 0.10))
-    pairs = fr.precedence(members, N).groupBy("doc_id", "winner", "loser").agg(F.collect_set("slack").alias("s")).where(F.array_contains("s", F.lit(SLACK)))
-    pairs = pairs.select("doc_id", "winner", "loser", F.array_contains("s", F.lit(0.10)).alias("safety"))
-    shares = fr.membership_summary(members.where(F.col("slack") == SLACK), N).groupBy("doc_id").agg(F.collect_list(F.struct("level_id", "packet", "share")).alias("shares"))
-    tokens = base.lattice(spark, sf_dir).select("doc_id", F.expr(f"transform(sequence(0, {N - 1}), p -> tokens[shiftleft(1, p)] / nullif(tokens[{(1 << N) - 1}], 0))").alias("parts"))
-    rows = pairs.join(shares, "doc_id").join(tokens, "doc_id")
-    at = "element_at(filter(shares, y -> y.level_id = x.level_id AND y.packet = loser), 1).share"
-    mass = F.expr(f"aggregate(filter(shares, x -> x.packet = winner), 0D, (s, x) -> s + greatest(0D, x.share - {at}))")
-    rows = rows.withColumn("mass", mass).withColumn("exposure", F.col("mass") * F.get("parts", F.col("loser")))
-    rows = rows.withColumn("kind", F.when(F.col("safety"), "safety").otherwise("rate")).withColumn("raw", F.when(F.col("safety"), 1 + F.col("mass") + F.col("exposure")).otherwise(F.col("exposure")))
-    rows = rows.where("kind = 'safety' OR raw > 0")
-    return rows.select("doc_id", "kind", "winner", "loser", "mass", "exposure", (F.col("raw") / F.avg("raw").over(Window.partitionBy("doc_id", "kind"))).alias("weight"))
+    rows = fr.with_member_counts(base.lattice(spark, sf_dir), LEVELS, N, (SLACK, 0.10))
+    share = lambda p: f"n_having[k * {N} + p.{p}] / n_members[k]"
+    mass = f"aggregate(filter(sequence(0, {K - 1}), k -> n_members[k] > 0), 0D, (s, k) -> s + greatest(0D, {share('winner')} - {share('loser')}))"
+    part = f"tokens[shiftleft(1, p.loser)] / nullif(tokens[{(1 << N) - 1}], 0)"
+    rows = base._once(rows, pairs=fr.preferred(N), wide=fr.preferred(N, 1))
+    rows = tr._bound(rows, pairs_by_mass=f"transform(pairs, p -> struct(array_contains(wide, p) AS safety, p.winner AS winner, p.loser AS loser, {mass} AS mass, {part} AS part))")
+    raw = "IF(x.safety, 1 + x.mass + x.mass * x.part, x.mass * x.part)"
+    rows = tr._bound(rows, edges=f"filter(transform(pairs_by_mass, x -> struct(x.*, x.mass * x.part AS exposure, {raw} AS raw)), x -> x.safety OR x.raw > 0)".replace("x.*", "x.safety AS safety, x.winner AS winner, x.loser AS loser, x.mass AS mass"))
+    mean = "aggregate(filter(edges, x -> {}), struct(0D AS s, 0L AS n), (a, x) -> struct(a.s + x.raw AS s, a.n + 1 AS n), a -> a.s / nullif(a.n, 0))".format
+    rows = tr._bound(rows, safe=mean("x.safety"), rate=mean("NOT x.safety")).select("doc_id", "safe", "rate", F.inline("edges"))
+    kind = F.when(F.col("safety"), "safety").otherwise("rate").alias("kind")
+    return rows.select("doc_id", kind, "winner", "loser", "mass", "exposure", (F.col("raw") / F.when(F.col("safety"), F.col("safe")).otherwise(F.col("rate"))).alias("weight"))
