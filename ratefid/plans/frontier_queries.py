@@ -214,15 +214,16 @@ def f16_precedence_pairs(spark, sf_dir):
 never AS (SELECT doc_id, slack, string_agg(packet, ',' ORDER BY packet) AS never_reveal FROM (SELECT doc_id, slack, packet FROM shares GROUP BY ALL HAVING max(share) = 0) GROUP BY ALL)
 SELECT doc_id, slack, coalesce(preferences, '') AS preferences, coalesce(n_preferences, 0) AS n_preferences, coalesce(never_reveal, '') AS never_reveal FROM (SELECT DISTINCT doc_id, slack FROM members) LEFT JOIN pairs_of USING (doc_id, slack) LEFT JOIN never USING (doc_id, slack)""")
 def f17_oracle_rows(spark, sf_dir):
-    members = _members(spark, sf_dir)
-    key = ["doc_id", "slack"]
-    listed = lambda c, show: F.array_join(F.transform(F.array_sort(F.collect_list(c)), show), ",")
-    pairs = fr.precedence(members, N).groupBy(*key).agg(
-        listed(F.struct("winner", "loser"), lambda p: F.concat_ws(">", p["winner"].cast("string"), p["loser"].cast("string"))).alias("preferences"), F.count(F.lit(1)).alias("n_preferences")
+    rows = fr.with_member_counts(_lattice(spark, sf_dir), LEVELS, N, SLACKS).where("n_members[0] > 0")
+    listed = lambda c, show: F.array_join(F.transform(c, show), ",")
+    found = lambda at, p: F.aggregate(F.sequence(F.lit(0), F.lit(K - 1)), F.lit(0), lambda s, k: s + F.get("n_having", (at * K + k) * N + p))
+    never = lambda at: F.filter(F.sequence(F.lit(0), F.lit(N - 1)), lambda p: found(at, p) == 0)
+    each = [F.struct(F.lit(float(s)).alias("slack"), fr.preferred(N, at).alias("pairs"), never(at).alias("never")) for at, s in enumerate(SLACKS)]
+    rows = rows.select("doc_id", F.inline(F.array(*each)))
+    pair = lambda p: F.concat_ws(">", p["winner"].cast("string"), p["loser"].cast("string"))
+    return rows.select(
+        "doc_id", "slack", listed("pairs", pair).alias("preferences"), F.size("pairs").cast("long").alias("n_preferences"), listed("never", lambda p: p.cast("string")).alias("never_reveal")
     )
-    never = fr.membership_summary(members, N).groupBy(*key, "packet").agg(F.max("share").alias("m")).where("m = 0").groupBy(*key).agg(listed(F.col("packet"), lambda p: p.cast("string")).alias("never_reveal"))
-    out = members.select(*key).distinct().join(pairs, key, "left").join(never, key, "left")
-    return out.select(*key, F.coalesce("preferences", F.lit("")).alias("preferences"), F.coalesce("n_preferences", F.lit(0)).alias("n_preferences"), F.coalesce("never_reveal", F.lit("")).alias("never_reveal"))
 
 
 TABLES["thresholds"] = f"SELECT p.doc_id, p.packet_id, coalesce(min(level) FILTER ((mask >> p.packet_id) & 1 = 1), 1.0) AS threshold, coalesce(min(level_id) FILTER ((mask >> p.packet_id) & 1 = 1), {K}) AS bin FROM packets p JOIN chain USING (doc_id) GROUP BY ALL"
