@@ -123,25 +123,24 @@ def diagnostics(independent: DataFrame, key: str = "doc_id") -> DataFrame:
     return out.withColumn("verdict", verdict)
 
 
-def frontier_summary(gaps: DataFrame, independent: DataFrame, key: str = "doc_id") -> DataFrame:
-    """By level: examples, feasible ones, mean tokens of both frontiers, mean gap.
+def frontier_summary(rows: DataFrame, n_levels: int) -> DataFrame:
+    """By level: examples, feasible ones, mean tokens of both frontiers, mean gap; of rows of ``with_frontiers``.
 
     Violations are states that the next level's state does not hold whole; rate decreases are next states with fewer tokens.
     """
-    by = Window.partitionBy(key).orderBy("level_id")
-    later = lambda c: F.lead(c).over(by)
-    broken = F.col("mask").bitwiseAND(F.bitwise_not(later("mask"))) != 0
-    rows = independent.select(key, "level_id", "feasible", broken.alias("broken"), (later("tokens") < F.col("tokens")).alias("falls"))
-    rows = rows.join(gaps, [key, "level_id"])
+    at = lambda c, k: F.when(F.get(c, F.lit(k)) >= 0, F.get(c, F.lit(k)))
+    level = lambda k: F.struct(F.lit(k).alias("level_id"), *[at(c, k).alias(c) for c in ("own_mask", "own_tokens", "nested_tokens")], at("own_mask", k + 1).alias("mask"), at("own_tokens", k + 1).alias("tokens"))
+    rows = rows.select(F.inline(F.array(*map(level, range(n_levels)))))
+    gap = F.col("nested_tokens") - F.col("own_tokens")
     return rows.groupBy("level_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count(F.when(F.col("feasible"), 1)).alias("n_feasible"),
-        F.avg("independent_tokens").alias("independent_tokens"),
+        F.count("own_mask").alias("n_feasible"),
+        F.avg("own_tokens").alias("independent_tokens"),
         F.avg("nested_tokens").alias("nested_tokens"),
-        F.avg("gap").alias("gap"),
-        F.count(F.when(F.col("gap") > 0, 1)).alias("n_gap"),
-        F.count(F.when(F.col("broken"), 1)).alias("violations"),
-        F.count(F.when(F.col("falls"), 1)).alias("rate_decreases"),
+        F.avg(gap).alias("gap"),
+        F.count(F.when(gap > 0, 1)).alias("n_gap"),
+        F.count(F.when(F.col("own_mask").bitwiseAND(F.bitwise_not("mask")) != 0, 1)).alias("violations"),
+        F.count(F.when(F.col("tokens") < F.col("own_tokens"), 1)).alias("rate_decreases"),
     )
 
 

@@ -158,9 +158,7 @@ def f10_frontier_diagnostics(spark, sf_dir):
 SELECT level_id, count(*) AS n, count(*) FILTER (feasible) AS n_feasible, count(*) FILTER (broken) AS violations, count(*) FILTER (falls) AS rate_decreases, avg(independent_tokens) AS independent_tokens, avg(nested_tokens) AS nested_tokens, avg(gap) AS gap, count(*) FILTER (gap > 0) AS n_gap
 FROM x JOIN gaps USING (doc_id, level_id) GROUP BY level_id""")
 def f11_frontier_summary(spark, sf_dir):
-    s = _lattice(spark, sf_dir)
-    own = fr.independent_frontier(s, LEVELS, N)
-    return fr.frontier_summary(fr.structural_gaps(own, fr.nested_chain(s, LEVELS, N)), own)
+    return fr.frontier_summary(fr.with_frontiers(_lattice(spark, sf_dir), LEVELS, N), K)
 
 
 @query("SELECT l.doc_id, l.level_id, bool_or(l.mask & h.mask = l.mask) AS any_nested, bool_and(l.mask & h.mask = l.mask) AS all_nested FROM optima l JOIN optima h ON h.doc_id = l.doc_id AND h.level_id = l.level_id + 1 AND h.tokens > l.tokens GROUP BY ALL")
