@@ -89,12 +89,11 @@ def i01_arm_rows(spark, sf_dir):
 @query("""x AS (SELECT p.doc_id, o.arm, o.pos < l.pos AS ok FROM precedences p JOIN orders o ON o.doc_id = p.doc_id AND o.packet_id = p.winner JOIN orders l ON l.doc_id = p.doc_id AND l.packet_id = p.loser AND l.arm = o.arm WHERE p.slack = 0.02)
 SELECT arm, count(*) AS n_pairs, avg(ok::INT) AS accuracy FROM x GROUP BY arm""")
 def i04_pair_accuracy(spark, sf_dir):
-    pairs = fr.precedence(fr.chain_membership(base.lattice(spark, sf_dir), LEVELS, N, (0.02,)), N)
-    o = base.orders(spark, sf_dir)
-    first = o.select("doc_id", "arm", F.col("packet_id").alias("winner"), F.col("pos").alias("x"))
-    second = o.select("doc_id", "arm", F.col("packet_id").alias("loser"), F.col("pos").alias("y"))
-    rows = pairs.join(first, ["doc_id", "winner"]).join(second, ["doc_id", "arm", "loser"])
-    return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n_pairs"), ev.rate(F.col("x") < F.col("y")).alias("accuracy"))
+    rows = fr.with_member_counts(base.lattice(spark, sf_dir), LEVELS, N, (0.02,))
+    rows = base._once(base._arms(base._once(rows, pairs=fr.preferred(N)).where("size(pairs) > 0").select("doc_id", "overlaps", "pairs")), pos=F.transform(base._ids(), lambda p: F.array_position("order", p)))
+    right = F.filter("pairs", lambda x: F.get("pos", x["winner"]) < F.get("pos", x["loser"]))
+    rows = rows.groupBy("arm").agg(F.sum(F.size("pairs")).alias("n_pairs"), F.sum(F.size(right)).alias("right"))
+    return rows.select("arm", "n_pairs", (F.col("right") / F.col("n_pairs")).alias("accuracy"))
 
 
 @query("""m AS (SELECT arm, depth, avg(hit::INT) AS success FROM hits GROUP BY ALL) SELECT depth, count(*) AS runs, avg(success) AS mean_success, min(success) AS worst FROM m GROUP BY depth""")
