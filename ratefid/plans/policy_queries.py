@@ -78,12 +78,13 @@ def h15_context_gain(spark, sf_dir):
 @query("""p AS (SELECT doc_id, arm, depth, tokens FROM prefixes), c AS (SELECT doc_id, level_id, level, tokens AS oracle FROM chain)
 SELECT h.doc_id, h.arm, h.depth, count(*) FILTER (h.hit) AS successes, CASE WHEN bool_and(h.hit) THEN sum(h.tokens - c.oracle) / (count(*) * max(f.tokens)) END AS regret FROM hits h JOIN c USING (doc_id, level_id) JOIN (SELECT doc_id, tokens FROM states WHERE mask = 63) f USING (doc_id) GROUP BY ALL""")
 def i01_arm_rows(spark, sf_dir):
-    s = base.states(spark, sf_dir)
-    oracle = fr.nested_chain(s, LEVELS, N).select("doc_id", "level_id", F.col("tokens").alias("oracle"))
-    full = s.where(F.col("mask") == FULL).select("doc_id", F.col("tokens").alias("full"))
-    rows = base.hits(spark, sf_dir).join(oracle, ["doc_id", "level_id"]).join(full, "doc_id")
-    regret = F.sum(F.col("tokens") - F.col("oracle")) / (F.count(F.lit(1)) * F.max("full"))
-    return rows.groupBy("doc_id", "arm", "depth").agg(F.count(F.when(F.col("hit"), 1)).alias("successes"), F.when(F.bool_and("hit"), regret).alias("regret"))
+    rows = fr.with_frontiers(base.lattice(spark, sf_dir), LEVELS, N).select("doc_id", "overlaps", "tokens", "fidelity", F.filter("nested_tokens", lambda t: t >= 0).alias("oracle"))
+    rows = base._once(base._arms(rows.where("size(oracle) > 0")), masks=base._masks(), least=F.aggregate("oracle", F.lit(0).cast("long"), lambda a, t: a + t), n=F.size("oracle"), whole=F.element_at("tokens", -1))
+    rows = rows.select("doc_id", "arm", "tokens", "fidelity", "n", "least", "whole", F.posexplode("masks").alias("depth", "mask"))
+    # The levels of a chain are the first n, and a state that reaches one of them reaches those before it.
+    hits = sum((F.when((F.col("n") > k) & (F.get("fidelity", F.col("mask")) >= x), 1).otherwise(0) for k, x in enumerate(LEVELS)), F.lit(0)).cast("long")
+    regret = (F.get("tokens", F.col("mask")) * F.col("n") - F.col("least")) / (F.col("n") * F.col("whole"))
+    return rows.select("doc_id", "arm", "depth", hits.alias("successes"), F.when(hits == F.col("n"), regret).alias("regret"))
 
 
 @query("""x AS (SELECT p.doc_id, o.arm, o.pos < l.pos AS ok FROM precedences p JOIN orders o ON o.doc_id = p.doc_id AND o.packet_id = p.winner JOIN orders l ON l.doc_id = p.doc_id AND l.packet_id = p.loser AND l.arm = o.arm WHERE p.slack = 0.02)
