@@ -77,11 +77,8 @@ def g17_local_orders(spark, sf_dir):
 SELECT s.doc_id, count(*) FILTER (ok) AS extensions, count(*) FILTER (ok AND hit) AS hitting, count(*) FILTER (ok AND hit) / nullif(count(*) FILTER (ok), 0) AS share FROM (
     SELECT s.doc_id, p.sig & coalesce(care, 0) = coalesce(val, 0) AS ok, f[1] >= {TARGET} OR {" OR ".join(f"f[p.m[{d}] + 1] >= {TARGET}" for d in range(1, N + 1))} AS hit FROM state_lists s LEFT JOIN c USING (doc_id) CROSS JOIN perms p) s GROUP BY s.doc_id""")
 def g20_linear_extensions(spark, sf_dir):
-    lattices = base.lattice(spark, sf_dir)
-    pairs = fr.precedence(fr.chain_membership(lattices, LEVELS, N, (SLACK,)), N)
-    first = [F.coalesce(F.bit_or(F.when(F.col("loser") == b, lt.bit("winner"))), F.lit(0)) for b in range(N)]
-    rows = lattices.join(pairs.groupBy("doc_id").agg(F.array(*first).alias("before")), "doc_id", "left")
-    rows = rows.withColumn("before", F.coalesce("before", F.array_repeat(F.lit(0), N)))
+    rows = base._once(fr.with_member_counts(base.lattice(spark, sf_dir), LEVELS, N, (SLACK,)), pairs=fr.preferred(N))
+    rows = tr._bound(rows, before=f"transform(sequence(0, {N - 1}), b -> aggregate(filter(pairs, p -> p.loser = b), 0, (s, p) -> s | shiftleft(1, p.winner)))")
     rows = od.linear_extensions(tr._bound(rows, good=f"transform(fidelity, f -> f >= {TARGET}D)"), "good", N)
     return rows.select("doc_id", "extensions", "hitting", (F.col("hitting") / F.nullif("extensions", F.lit(0))).alias("share"))
 
