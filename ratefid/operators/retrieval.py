@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,27 +17,42 @@ NO_INTS = "array<int>"
 def with_bm25(df: DataFrame, items: str, query: Column, name: str = "scores", k1: float = 1.2, b: float = 0.75, distinct_terms: bool = False) -> DataFrame:
     """Adds the array of scores of ``items`` (an array of arrays of terms) for the terms of ``query``. The corpus is the row's own items.
 
-    Terms outside the query are dropped first; of the others, counts by item give document frequencies and scores. Repeated query
-    terms count again unless ``distinct_terms``. A null query has no terms.
+    Only words that the query has are counted, by item, for all rows of an Arrow batch at once; a score adds its terms in the query's
+    order. Repeated query terms count again unless ``distinct_terms``. A null query has no terms.
     """
-    asked = F.coalesce(query, F.array().cast("array<string>"))
-    df = once(df, _asked=asked, _terms=F.array_distinct(asked), _sizes=F.transform(items, F.size))
-    df = once(df, _held=F.transform(items, lambda t: F.filter(t, lambda x: F.array_contains("_terms", x))), _mean=F.aggregate("_sizes", F.lit(0.0), lambda a, n: a + n) / F.size("_sizes"))
-    df = once(df, _counts=F.transform("_terms", lambda t: F.transform("_held", lambda h: F.size(F.filter(h, lambda x: x == t)).cast("double"))))
-
-    def weight(term: Column, counts: Column) -> Column:
-        n, found = F.size("_sizes"), F.size(F.filter(counts, lambda c: c > 0))
-        times = F.lit(1) if distinct_terms else F.size(F.filter("_asked", lambda x: x == term))
-        return times * F.log(1 + (n - found + 0.5) / (found + 0.5))
-
-    df = once(df, _weights=F.zip_with("_terms", "_counts", weight))
-
-    def score(size: Column, i: Column) -> Column:
-        norm = k1 * (1 - b + b * size / F.col("_mean"))
-        part = lambda w, c: F.when(F.get(c, i) > 0, w * F.get(c, i) * (k1 + 1) / (F.get(c, i) + norm)).otherwise(0.0)
-        return F.aggregate(F.zip_with("_weights", "_counts", part), F.lit(0.0), lambda a, x: a + x)
-
-    return once(df, **{name: F.transform("_sizes", score)}).drop("_asked", "_terms", "_sizes", "_held", "_mean", "_counts", "_weights")
+    df = df.drop(name).withColumn("_asked", F.coalesce(query, F.array().cast("array<string>")))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` array<double>"])
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            held, asked = batch.column(items), batch.column("_asked")
+            n_items, n_asked, inner = held.value_lengths().to_numpy(), asked.value_lengths().to_numpy(), held.flatten()
+            sizes = inner.value_lengths().to_numpy()
+            terms = pa.concat_arrays([inner.flatten(), asked.flatten()]).dictionary_encode()
+            codes, width = terms.indices.to_numpy().astype(np.int64), len(terms.dictionary)
+            row = np.repeat(np.arange(len(batch)), n_items)
+            item = np.repeat(np.arange(len(sizes)), sizes)
+            wanted, first, times = np.unique(np.repeat(np.arange(len(batch)), n_asked) * width + codes[len(item) :], return_index=True, return_counts=True)
+            said = row[item] * width + codes[: len(item)]
+            place = np.searchsorted(wanted, said)
+            hit = np.flatnonzero(np.append(wanted, -1)[place] == said)
+            # An item and a term of its query, in the order of the query, with how often the item has it.
+            pairs, often = np.unique(item[hit] * (len(codes) + 1) + first[place[hit]], return_counts=True)
+            where, at = np.divmod(pairs, len(codes) + 1)
+            term = np.zeros(len(codes) + 1, np.int64)
+            term[first] = np.arange(len(first))
+            term = term[at]
+            found, n = np.bincount(term, minlength=len(first))[term], n_items[row[where]]
+            weight = (1 if distinct_terms else times[term]) * np.log(1 + (n - found + 0.5) / (found + 0.5))
+            mean = np.bincount(row, weights=sizes, minlength=len(batch)) / np.maximum(n_items, 1)
+            norm = k1 * (1 - b + b * sizes[where] / mean[row[where]])
+            scores = np.bincount(where, weights=weight * often * (k1 + 1) / (often + norm), minlength=len(sizes))
+            ends = np.concatenate([[0], np.cumsum(n_items)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(scores))], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(job, schema).drop("_asked")
 
 
 def ranked(scores: Column, digits: int = 9) -> Column:

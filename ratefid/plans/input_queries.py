@@ -176,16 +176,18 @@ w AS (SELECT place FROM m WHERE dev ORDER BY round(coverage, 9) DESC, place LIMI
 SELECT policy, dev, coverage, n, coverage >= 0.2 AS passed FROM m JOIN w USING (place)""")
 def c08_policy_on_dev(spark, sf_dir):
     """The policy of most coverage on the development half, ties to the one named first; then its coverage on the other half, against a gate."""
-    policies = {"bm25": _chosen(spark, sf_dir), "distinct": _chosen(spark, sf_dir, k1=1.5, distinct_terms=True), "lead": _retrievable(spark, sf_dir).withColumn("picks", F.slice(F.sequence(F.lit(0), F.size("s") - 1), 1, 6))}
-    rows = None
-    for at, (name, df) in enumerate(policies.items()):
-        held = F.array_distinct(F.flatten(F.transform("picks", lambda i: F.get("terms", i))))
-        own = df.select(F.lit(at).alias("at"), F.lit(name).alias("policy"), "doc_id", held.alias("held"), F.array_distinct("asked").alias("wanted")).where(F.size("wanted") > 0)
-        rows = own if rows is None else rows.unionByName(own)
+    rows = rt.with_bm25(_chosen(spark, sf_dir), "terms", F.col("asked"), "distinct_scores", k1=1.5, distinct_terms=True)
+    rows = base._once(rows, wanted=F.array_distinct("asked")).where(F.size("wanted") > 0)
+    policies = {"bm25": F.col("picks"), "distinct": F.slice(rt.ranked(F.col("distinct_scores")), 1, 6), "lead": F.slice(F.sequence(F.lit(0), F.size("s") - 1), 1, 6)}
+    covered = lambda picks: F.size(F.array_intersect("wanted", F.flatten(F.transform(picks, lambda i: F.get("terms", i))))) / F.size("wanted")
+    own = [F.struct(F.lit(at).alias("at"), F.lit(name).alias("policy"), covered(picks).alias("covered")) for at, (name, picks) in enumerate(policies.items())]
     dev = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 1) < "8"
-    m = rows.groupBy("at", "policy", dev.alias("dev")).agg(F.avg(F.size(F.array_intersect("held", "wanted")) / F.size("wanted")).alias("coverage"), F.count(F.lit(1)).alias("n"))
-    best = m.where("dev").orderBy(F.desc(F.round("coverage", 9)), "at").limit(1).select("at")
-    return m.join(best, "at").select("policy", "dev", "coverage", "n", (F.col("coverage") >= 0.2).alias("passed"))
+    rows = rows.select(dev.alias("dev"), F.inline(F.array(*own)))
+    m = rows.groupBy("at", "policy", "dev").agg(F.avg("covered").alias("coverage"), F.count(F.lit(1)).alias("n"))
+    # Six rows at most: the best one of the development half comes first.
+    by = Window.orderBy(F.desc("dev"), F.desc(F.round("coverage", 9)), "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = m.withColumn("best", F.first(F.when(F.col("dev"), F.col("at")), ignorenulls=True).over(by)).where("at = best")
+    return m.select("policy", "dev", "coverage", "n", (F.col("coverage") >= 0.2).alias("passed"))
 
 
 _TAIL = lambda k, p: f"coalesce(list_sum(list_transform(range({k}, n + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))), 0)"
