@@ -215,7 +215,8 @@ def k15_held_out_probe(spark, sf_dir):
     """Quality told from length and words, each fold by a fit on the others; the tests hold it against a fit by hand."""
     words = base.table(spark, sf_dir, "documents").select("doc_id", base.terms(F.col("text")).alias("t"))
     words = words.select("doc_id", F.log1p(F.size("t")).alias("n_words"), (F.size(F.array_distinct("t")) / F.greatest(F.size("t"), F.lit(1))).alias("variety"))
-    rows = _folded(spark, sf_dir).join(words, "doc_id").withColumn("length", F.log1p("n_chars"))
+    # Each fold fits and applies a model to the rows: they are written, so that the texts are read once.
+    rows = files.round_trip(_folded(spark, sf_dir).join(words, "doc_id").withColumn("length", F.log1p("n_chars")), "probe")
     return bd.held_out_probe(rows, "doc_id", ["length", "n_words", "variety"], "quality", "fold", 5)
 
 

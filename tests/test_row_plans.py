@@ -5,6 +5,7 @@ import re
 import pytest
 
 from ratefid.operators import evidence as evd
+from ratefid.plans import input_queries as inp
 from ratefid.plans import registry
 
 registry.load()
@@ -31,3 +32,11 @@ def test_proofs_are_judged_once_before_the_ranking(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "eligible", ["a"], ["u"]), (2, "too few", ["b"], ["v"]), (3, "eligible", ["c"], ["w"])], "doc_id long, fate string, keys array<string>, units array<string>")
     got = evd.hash_ordered(rows, "doc_id", "pool").toPandas()
     assert written == ["eligible", "records"] and sorted(got.position) == [0, 1] and set(got.doc_id) == {1, 3}
+
+
+def test_texts_are_read_once_for_all_folds(spark, monkeypatch):
+    written, write = [], inp.files.round_trip
+    monkeypatch.setattr(inp.files, "round_trip", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(inp.bd, "held_out_probe", lambda rows, *rest: rows)
+    got = inp.k15_held_out_probe(spark, SF)
+    assert written == ["probe"] and "documents" not in "".join(got.inputFiles()) and got.count() == got.select("doc_id").distinct().count() > 0
