@@ -58,7 +58,7 @@ def with_bm25(df: DataFrame, items: str, query: Column, name: str = "scores", k1
 def ranked(scores: Column, digits: int = 9) -> Column:
     """Places of the items, best first, ties to the earlier one."""
     pairs = F.transform(scores, lambda s, i: F.struct((-F.round(s, digits)).alias("s"), i.alias("i")))
-    return F.transform(F.array_sort(pairs), lambda p: p["i"])
+    return F.transform(F.sort_array(pairs), lambda p: p["i"])
 
 
 def filled(selected: Column, order: Column, k: int) -> Column:
@@ -85,22 +85,32 @@ def plain_title(text: Column) -> Column:
 def linked_title_pair(df: DataFrame, candidates: str, question: Column, words, k: int = 6, k1: float = 1.2, b: float = 0.75, bonus: float = 1.5) -> DataFrame:
     """Adds pair (two titles' places, or null) and picks (places of k candidates in source order).
 
-    ``candidates`` is an array of structs of title and sentence; those of one title are a paragraph. Paragraphs score by BM25 as a
+    ``candidates`` is an array of structs of title and sentence; those of one title are a paragraph. ``words`` finds none across
+    blanks or line ends. Paragraphs score by BM25 as a
     share of the best; of all two of a row the pair of most points counts, and a pair has ``bonus`` points more if one's title
     (of three letters or more) occurs in the other's text. The question with both titles then asks again for sentences: three of
     each paragraph, filled up with the best of all. A row of fewer than two titles takes the best sentences for its question.
     """
-    shown = lambda c: F.concat(F.lit("Title: "), c["title"], F.lit("\n"), c["sentence"])
-    df = once(df, _titles=F.array_distinct(F.transform(candidates, lambda c: c["title"])), _sentences=F.transform(candidates, lambda c: words(shown(c))))
-    text = lambda t: F.concat(F.lit("Title: "), t, F.lit("\n"), F.array_join(F.transform(F.filter(candidates, lambda c: c["title"] == t), lambda c: c["sentence"]), " "))
-    df = once(df, _paragraphs=F.transform("_titles", text))
-    df = once(df, _words=F.transform("_paragraphs", words), _plain=F.transform("_titles", plain_title), _texts=F.transform("_paragraphs", plain_title))
+    # A title and a sentence are lines of their own, so their words are those of the whole: each sentence is cut into words once.
+    df = once(df, _titles=F.array_distinct(F.transform(candidates, lambda c: c["title"])), _said=F.transform(candidates, lambda c: words(c["sentence"])))
+    df = once(df, _at=F.transform(candidates, lambda c: F.array_position("_titles", c["title"]) - 1), _heads=F.transform("_titles", lambda t: F.concat(words(F.lit("Title: ")), words(t))))
+    own = lambda lists, j: F.filter(lists, lambda x, i: F.get("_at", i) == j)
+    text = lambda t, j: F.concat(F.lit("Title: "), t, F.lit("\n"), F.array_join(F.transform(own(candidates, j), lambda c: c["sentence"]), " "))
+    df = once(
+        df,
+        _sentences=F.transform("_said", lambda w, i: F.concat(F.get("_heads", F.get("_at", i)), w)),
+        _words=F.transform("_heads", lambda h, j: F.concat(h, F.flatten(own("_said", j)))),
+        _plain=F.transform("_titles", plain_title),
+        _texts=F.transform("_titles", lambda t, j: plain_title(text(t, j))),
+    ).drop("_said", "_heads")
+    names = lambda one, other: (F.length(F.get("_plain", one)) >= 3) & F.contains(F.get("_texts", other), F.get("_plain", one))
+    df = once(df, _linked=F.transform("_titles", lambda t, i: F.transform("_titles", lambda u, j: names(i, j) | names(j, i)))).drop("_plain", "_texts")
     df = with_bm25(df, "_words", words(question), "_points", k1, b)
     best = F.array_max("_points")
-    df = df.withColumn("_share", F.transform("_points", lambda s: F.when(best > 0, s / best).otherwise(0.0)))
-    names = lambda one, other: (F.length(F.get("_plain", one)) >= 3) & F.contains(F.get("_texts", other), F.get("_plain", one))
+    df = once(df.drop("_words"), _best=best)
+    df = once(df, _share=F.transform("_points", lambda s: F.when(F.col("_best") > 0, s / F.col("_best")).otherwise(0.0)))
     later = lambda i: F.filter(F.sequence(F.lit(0), F.size("_titles") - 1), lambda j: j > i)
-    points = lambda i, j: F.get("_share", i) + F.get("_share", j) + F.when(names(i, j) | names(j, i), bonus).otherwise(0.0)
+    points = lambda i, j: F.get("_share", i) + F.get("_share", j) + F.when(F.get(F.get("_linked", i), j), bonus).otherwise(0.0)
     pair = lambda i, j: F.struct((-F.round(points(i, j), 9)).alias("s"), i.alias("left"), j.alias("right"))
     every = F.when(F.size("_titles") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("_titles") - 1), lambda i: F.transform(later(i), lambda j: pair(i, j)))))
     df = once(df, pair=F.array_min(every))
@@ -108,7 +118,7 @@ def linked_title_pair(df: DataFrame, candidates: str, question: Column, words, k
     asked = F.when(F.col("pair").isNull(), question).otherwise(F.concat_ws(" ", question, title("left"), title("right")))
     df = with_bm25(df, "_sentences", words(asked), "_scores", k1, b)
     df = once(df, _order=ranked(F.col("_scores")))
-    own = lambda side: F.slice(F.filter("_order", lambda i: F.get(candidates, i)["title"] == title(side)), 1, 3)
-    first = F.when(F.col("pair").isNull(), F.array().cast(NO_INTS)).otherwise(F.concat(own("left"), own("right")))
+    three = lambda side: F.slice(F.filter("_order", lambda i: F.get("_at", i) == F.col(f"pair.{side}")), 1, 3)
+    first = F.when(F.col("pair").isNull(), F.array().cast(NO_INTS)).otherwise(F.concat(three("left"), three("right")))
     df = once(df, picks=filled(first, F.col("_order"), k))
-    return df.drop("_titles", "_sentences", "_paragraphs", "_words", "_plain", "_texts", "_points", "_share", "_scores", "_order")
+    return df.drop("_titles", "_at", "_sentences", "_linked", "_points", "_best", "_share", "_scores", "_order")

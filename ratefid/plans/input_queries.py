@@ -256,6 +256,5 @@ def c05_linked_title_pair(spark, sf_dir):
     first = lambda p: F.get(F.filter("terms", lambda t, i: F.get("at", i) == p), F.lit(0))
     rows = base._once(rows, titles=F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda p: F.array_join(F.slice(first(p), 1, 2), " ")))
     rows = base._once(rows, candidates=F.transform("s", lambda s, i: F.struct(F.get("titles", F.get("at", i)).alias("title"), s.alias("sentence"))))
-    rows = rows.select("doc_id", "candidates").join(base.asked(spark, sf_dir), "doc_id").join(base.questions(spark, sf_dir), "item_id", "left")
-    rows = rt.linked_title_pair(rows, "candidates", F.col("question"), base.terms)
+    rows = rt.linked_title_pair(rows.select("doc_id", "question", "candidates"), "candidates", F.col("question"), base.terms)
     return rows.select("doc_id", F.col("pair.left").alias("l"), F.col("pair.right").alias("r"), F.array_join(F.transform("picks", lambda i: i.cast("string")), ",").alias("picks"))
