@@ -91,32 +91,35 @@ def certified(rows: DataFrame) -> DataFrame:
     reason ('' if certified, else as REASONS or NO_NAME), proof, overlap and tokens. Everything of a row stays in the row: no shuffle.
     """
     rows = once(rows, _terms=relation_terms(F.col("question"), F.col("entities")), _bound=numeric_bound(F.col("question")))
-    key = lambda url: tx.normalized_answer(url_title(url))
+    none = F.array().cast("array<string>")
+    # What several tests look at is worked out once, step by step, before they are made.
+    shown = lambda p: F.struct(F.trim(p["text"]).alias("text"), p["url"].isNull().alias("bare"), tx.normalized_answer(url_title(p["url"])).alias("key"))
+    named = lambda a: F.struct(
+        a["no"].alias("no"), display_name(F.coalesce(a["text"], F.lit(""))).alias("answer"), url_title(a["url"]).alias("title"), F.transform(F.coalesce(a["aliases"], none), display_name).alias("aliases"), F.transform(a["proofs"], shown).alias("proofs")
+    )
+    rows = once(rows, _named=F.transform("answers", named))
+    said = lambda p: F.struct(*[p[c].alias(c) for c in ("text", "bare", "key")], F.size(F.array_intersect(F.col("_terms"), _tokens(p["text"]))).alias("overlap"))
+    keyed = lambda a: F.struct(*[a[c].alias(c) for c in ("no", "answer", "title", "aliases")], tx.normalized_answer(a["title"]).alias("own"), F.transform(a["proofs"], said).alias("proofs"))
+    rows = once(rows, _keyed=F.transform("_named", keyed)).drop("_named")
+    bound = F.col("_bound")
 
     def judged(answer: Column) -> Column:
-        own = key(answer["url"])
-
         def proof(p: Column) -> Column:
-            text = F.trim(p["text"])
-            overlap = F.size(F.array_intersect(F.col("_terms"), _tokens(text)))
-            bound = F.col("_bound")
-            fits = F.exists(numbers(text), lambda v: F.when(bound["above"], v > bound["bound"]).otherwise(v < bound["bound"]))
-            stage = F.when(F.coalesce(text, F.lit("")) == "", 1).when((own == "") | (own != key(p["url"])) | p["url"].isNull(), 2)
-            stage = stage.when((F.size("_terms") > 0) & (overlap == 0), 3).when(bound.isNotNull() & ~fits, 4).otherwise(5)
+            fits = F.exists(numbers(p["text"]), lambda v: F.when(bound["above"], v > bound["bound"]).otherwise(v < bound["bound"]))
+            stage = F.when(F.coalesce(p["text"], F.lit("")) == "", 1).when((answer["own"] == "") | (answer["own"] != p["key"]) | p["bare"], 2)
+            stage = stage.when((F.size("_terms") > 0) & (p["overlap"] == 0), 3).when(bound.isNotNull() & ~fits, 4).otherwise(5)
             # Ordered so that the greatest stage comes first and, of its proofs, the wanted one.
-            return F.struct((-stage).alias("stage"), (-overlap).alias("overlap"), tx.count_tokens(text).alias("tokens"), text.alias("text"))
+            return F.struct((-stage).alias("stage"), (-p["overlap"]).alias("overlap"), tx.count_tokens(p["text"]).alias("tokens"), p["text"].alias("text"))
 
+        names = F.array_distinct(F.concat(F.array(answer["answer"], F.coalesce(answer["title"], F.lit(""))), answer["aliases"]))
         return F.struct(
             answer["no"].alias("no"),
-            display_name(F.coalesce(answer["text"], F.lit(""))).alias("answer"),
+            answer["answer"].alias("answer"),
             F.array_min(F.transform(answer["proofs"], proof)).alias("best"),
-            F.array_sort(F.array_distinct(F.filter(
-                F.concat(F.array(display_name(F.coalesce(answer["text"], F.lit(""))), url_title(F.coalesce(answer["url"], F.lit("")))), F.transform(F.coalesce(answer["aliases"], F.array().cast("array<string>")), display_name)),
-                lambda a: tx.normalized_answer(a) != "",
-            ))).alias("aliases"),
-        )
+            F.sort_array(F.filter(names, lambda a: tx.normalized_answer(a) != "")).alias("aliases"),
+        )
 
-    rows = once(rows, _judged=F.transform("answers", judged))
+    rows = once(rows, _judged=F.transform("_keyed", judged)).drop("_keyed")
     reason = lambda a: F.when(tx.normalized_answer(a["answer"]) == "", NO_NAME).otherwise(F.element_at(F.array(*map(F.lit, REASONS)), F.coalesce(1 - a["best"]["stage"], F.lit(1))))
     atoms = F.transform("_judged", lambda a: F.struct(a["no"].alias("no"), a["answer"].alias("answer"), a["aliases"].alias("aliases"), reason(a).alias("reason"), a["best"]["text"].alias("proof"), (-a["best"]["overlap"]).alias("overlap"), a["best"]["tokens"].alias("tokens")))
     return once(rows, atoms=atoms).drop("_terms", "_bound", "_judged")
