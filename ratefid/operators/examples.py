@@ -110,3 +110,19 @@ def neutral_exchanges(pieces: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("_best", F.last(promote, ignorenulls=True).over(order)).withColumn("n_promotable", F.count(promote).over(order))
     rows = rows.where("kind = 'delay' AND _best IS NOT NULL")
     return rows.select(key, F.col("idx").alias("delayed"), F.col("_best.idx").alias("promoted"), "n_promotable", (F.col("_best.tokens") - F.col("tokens")).alias("delta"))
+
+
+def exchanges_in_row(rows: DataFrame, key: str) -> DataFrame:
+    """The same of examples in one row each, with arrays delay and promote of structs of idx, tokens and text; nothing is shuffled.
+
+    Pieces to promote are put in order once, and those that fit are counted once for each number of tokens that a delayed piece has.
+    """
+    rows = once(rows, _texts=F.transform("promote", lambda x: x["text"]), _by=F.array_sort(F.transform("promote", lambda x: F.struct(x["tokens"].alias("tokens"), (-x["idx"]).alias("i")))))
+    rows = once(rows, _late=F.filter("delay", lambda x: ~F.coalesce(F.array_contains("_texts", x["text"]), F.lit(False)))).select(key, "_by", "_late")
+    rows = once(rows, _sizes=F.array_distinct(F.transform("_late", lambda x: x["tokens"])))
+    rows = once(rows, _fits=F.transform("_sizes", lambda n: F.size(F.filter("_by", lambda p: p["tokens"] <= n))))
+    fits = F.transform("_late", lambda x: F.struct(x["idx"].alias("idx"), x["tokens"].alias("tokens"), F.get("_fits", F.array_position("_sizes", x["tokens"]).cast("int") - 1).alias("n")))
+    rows = rows.select(key, "_by", F.filter(fits, lambda x: x["n"] > 0).alias("_late"))
+    best = lambda x: F.get("_by", x["n"] - 1)
+    made = lambda x: F.struct(x["idx"].alias("delayed"), (-best(x)["i"]).alias("promoted"), x["n"].cast("long").alias("n_promotable"), (best(x)["tokens"] - x["tokens"]).alias("delta"))
+    return rows.select(key, F.inline(F.transform("_late", made)))

@@ -102,9 +102,12 @@ SELECT d.doc_id, d.idx AS delayed, arg_max(p.idx, p.tokens * 1000000 - p.idx) AS
 FROM d JOIN exchange_pieces p ON p.doc_id = d.doc_id AND p.kind = 'promote' AND p.tokens <= d.tokens GROUP BY d.doc_id, d.idx""")
 def g34_neutral_exchanges(spark, sf_dir):
     """A sentence of the third packet of the order is delayed to the last depth for one of the last packet: three depths change."""
-    order = base.orders(spark, sf_dir).where("arm = 'learned'").select("doc_id", "packet_id", "pos")
-    rows = base.packet_sentences(spark, sf_dir).select("doc_id", "packet_id", "idx", "tokens", F.trim("sentence").alias("text")).join(order.where("pos IN (2, 5)"), ["doc_id", "packet_id"])
-    before = base.packets(spark, sf_dir).join(order.where("pos < 2"), ["doc_id", "packet_id"]).groupBy("doc_id").agg(F.collect_list("text").alias("before"))
-    rows = rows.join(before, "doc_id").where((F.col("pos") == 5) | ~F.exists("before", lambda t: F.contains(t, F.col("text"))))
-    rows = rows.select("doc_id", F.when(F.col("pos") == 2, "delay").otherwise("promote").alias("kind"), "idx", "tokens", "text")
-    return ex.neutral_exchanges(rows, "doc_id").withColumn("cumulative", 3 * F.col("delta"))
+    rows = base._once(_retrievable(spark, sf_dir), q=F.coalesce("asked", F.array().cast("array<string>")))
+    overlap = lambda p: F.size(F.array_intersect(F.flatten(base._part("terms", p)), F.col("q")))
+    rows = base._once(rows, overlaps=F.transform(base._ids(), overlap)).select("doc_id", "s", "tokens", "overlaps")
+    rows = base._once(rows, order=base._learned_order(), units=F.transform("s", lambda s, i: F.struct(i.alias("idx"), F.get("tokens", i).alias("tokens"), F.trim(s).alias("text"))))
+    at = lambda c, pos: base._part(c, F.get("order", F.lit(pos)))
+    # No sentence holds a line end, so none is found across two of them.
+    rows = base._once(rows, before=F.array_join(F.concat(at("s", 0), at("s", 1)), "\n"), third=at("units", 2), promote=at("units", 5)).select("doc_id", "before", "third", "promote")
+    rows = rows.select("doc_id", "promote", F.filter("third", lambda x: ~F.contains("before", x["text"])).alias("delay"))
+    return ex.exchanges_in_row(rows, "doc_id").withColumn("cumulative", 3 * F.col("delta"))

@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +45,30 @@ def test_exchanges_against_all_pairs(spark):
     assert "Cartesian" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_exchanges_in_a_row_are_those_of_its_pieces(spark):
+    rng = random.Random(4)
+    piece = lambda i: (i, rng.randrange(1, 9), f"t{rng.randrange(40)}")
+    made = [(k, [piece(i) for i in range(rng.randrange(0, 9))], [piece(100 + i) for i in range(rng.randrange(0, 9))]) for k in range(60)]
+    kind = "array<struct<idx int, tokens long, text string>>"
+    df = spark.createDataFrame(made, f"k int, delay {kind}, promote {kind}")
+    pieces = df.select("k", F.lit("delay").alias("kind"), F.inline("delay")).union(df.select("k", F.lit("promote").alias("kind"), F.inline("promote")))
+    want, got = ex.neutral_exchanges(pieces, "k"), ex.exchanges_in_row(df, "k")
+    assert got.dtypes == want.dtypes and "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
+
+
+def test_exchanges_of_documents_whose_question_has_no_words(spark, tmp_path):
+    texts = ["A b c. D. E f g h. I j. K l. M n", "A b c. E f g. E f g. I j. K l. M n", "One of c d e f", " . ", None, "X y. Z. A c d. A. B. A  d ! A c. "]
+    con = duckdb.connect()
+    for name, df in (("documents", spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "doc_id long, text string")), ("benchmark", spark.createDataFrame([(0, "?!"), (1, "m b")], "item_id long, text string"))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = registry.QUERIES["g34_neutral_exchanges"](spark, str(tmp_path)).select("doc_id", "delayed", "promoted", "n_promotable", "delta", "cumulative")
+    got = sorted(tuple(map(int, r)) for r in got.collect())
+    want = con.sql(registry.oracles()["g34_neutral_exchanges"]).to_df()[["doc_id", "delayed", "promoted", "n_promotable", "delta", "cumulative"]]
+    assert got == sorted(tuple(map(int, r)) for r in want.itertuples(index=False)) and {r[0] % 2 for r in got} == {0, 1}
+
+
 def test_stress_examples_have_every_fate_and_whole_units(spark):
     rows = registry.QUERIES["b18_fact_atomic_examples"](spark, SF).collect()
     assert {r.fate for r in rows} >= {"too few facts", "built"} and len(rows) == 1000
