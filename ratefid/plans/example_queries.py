@@ -76,20 +76,19 @@ def h16_relation_checks(spark, sf_dir):
 SELECT early, title_hit, proof_hit, term_hit, count(*) AS n FROM j GROUP BY ALL""")
 def h17_fragment_provenance(spark, sf_dir):
     """Whether a sentence's claim is among its record's answers, is its certified proof word for word, and says a term of the relation; by when its order comes to it."""
-    raw = claims(spark, sf_dir)
-    rows = evd.once(raw, rel=evd.relation_terms(F.col("question"), F.col("entities")), n=F.size("answers"))
+    rows = evd.once(claims(spark, sf_dir, "s", "w", "asks"), rel=evd.relation_terms(F.col("question"), F.col("entities")), overlaps=base._overlaps("w", "asks"))
+    rows = evd.once(rows, first=F.slice(base._learned_order(), 1, 3))
+    packet = lambda i: F.floor(i * N / F.size("w")).cast("int")
+    told = lambda w, i: F.struct(F.array_contains("first", packet(i)).alias("early"), F.arrays_overlap("rel", w).alias("term_hit"))
+    rows = evd.once(rows, told=F.transform("w", told)).drop("w", "asks", "overlaps", "first", "rel")
     rows = evd.candidate_records(evd.once(evd.certified(rows), kept=F.col("atoms")), F.lit(False), ANSWERS, MOST_TOKENS)
-    rows = rows.select("doc_id", "rel", "keys", "n", F.explode("kept").alias("a"))
-    words = base.sentences(spark, sf_dir).select("doc_id", F.col("idx").alias("_i"), "sentence")
-    rows = rows.withColumn("_i", F.col("a.no")).join(words, ["doc_id", "_i"])
+    rows = rows.select("keys", F.inline(F.arrays_zip("kept", "s", "told")))
     facts = {
-        "title_hit": F.array_contains("keys", normalized_answer(F.col("a.answer"))),
-        "proof_hit": (F.col("a.reason") == "") & F.coalesce(F.trim("sentence") == F.col("a.proof"), F.lit(False)),
-        "term_hit": F.arrays_overlap("rel", base.terms(F.col("sentence"))),
+        "title_hit": F.array_contains("keys", normalized_answer(F.col("kept.answer"))),
+        "proof_hit": (F.col("kept.reason") == "") & F.coalesce(F.trim("s") == F.col("kept.proof"), F.lit(False)),
+        "term_hit": F.col("told.term_hit"),
     }
-    packet = F.floor(F.col("_i") * N / F.col("n")).cast("int")
-    learned = base.orders(spark, sf_dir).where("arm = 'learned'").select("doc_id", "packet_id", (F.col("pos") < 3).alias("early"))
-    rows = rows.select("doc_id", packet.alias("packet_id"), *[c.alias(k) for k, c in facts.items()]).join(learned, ["doc_id", "packet_id"])
+    rows = rows.select(F.col("told.early").alias("early"), *[c.alias(k) for k, c in facts.items()])
     return rows.groupBy("early", *facts).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -103,8 +102,7 @@ FROM d JOIN exchange_pieces p ON p.doc_id = d.doc_id AND p.kind = 'promote' AND
 def g34_neutral_exchanges(spark, sf_dir):
     """A sentence of the third packet of the order is delayed to the last depth for one of the last packet: three depths change."""
     rows = base._once(_retrievable(spark, sf_dir), q=F.coalesce("asked", F.array().cast("array<string>")))
-    overlap = lambda p: F.size(F.array_intersect(F.flatten(base._part("terms", p)), F.col("q")))
-    rows = base._once(rows, overlaps=F.transform(base._ids(), overlap)).select("doc_id", "s", "tokens", "overlaps")
+    rows = base._once(rows, overlaps=base._overlaps("terms", "q")).select("doc_id", "s", "tokens", "overlaps")
     rows = base._once(rows, order=base._learned_order(), units=F.transform("s", lambda s, i: F.struct(i.alias("idx"), F.get("tokens", i).alias("tokens"), F.trim(s).alias("text"))))
     at = lambda c, pos: base._part(c, F.get("order", F.lit(pos)))
     # No sentence holds a line end, so none is found across two of them.

@@ -10,7 +10,7 @@ from ratefid.plans import registry
 
 registry.load()
 SF = "/root/testdata/sf0.001"
-IN_ROW = ["e05_scored_list_answers", "g02_optimal_actions", "g07_histories_with_costs", "g08_on_policy_audit", "g32_history_dependence", "g24_tail_cost_edges", "f17_oracle_rows", "f11_frontier_summary", "i04_pair_accuracy", "i01_arm_rows", "g20_linear_extensions", "c08_policy_on_dev", "c05_linked_title_pair", "b19_evidence_certificate", "g34_neutral_exchanges"]
+IN_ROW = ["e05_scored_list_answers", "g02_optimal_actions", "g07_histories_with_costs", "g08_on_policy_audit", "g32_history_dependence", "g24_tail_cost_edges", "f17_oracle_rows", "f11_frontier_summary", "i04_pair_accuracy", "i01_arm_rows", "g20_linear_extensions", "c08_policy_on_dev", "c05_linked_title_pair", "b19_evidence_certificate", "g34_neutral_exchanges", "h17_fragment_provenance"]
 
 
 @pytest.mark.parametrize("name", IN_ROW)
