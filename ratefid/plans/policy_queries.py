@@ -131,9 +131,13 @@ def i34_fold_and_pooled_auc(spark, sf_dir):
 
 @query("SELECT arm, depth, avg(s.tokens / f.tokens) AS keep_rate, avg(fidelity) AS fidelity, avg(fidelity - full_f) AS delta FROM prefixes s JOIN (SELECT doc_id, tokens, fidelity AS full_f FROM states WHERE mask = 63) f USING (doc_id) GROUP BY ALL".replace("avg(fidelity)", "avg(s.fidelity)").replace("avg(fidelity -", "avg(s.fidelity -"))
 def i23_keep_rate_table(spark, sf_dir):
-    full = base.states(spark, sf_dir).where(F.col("mask") == FULL).select("doc_id", F.col("tokens").alias("whole"), F.col("fidelity").alias("full_f"))
-    rows = base.prefixes(spark, sf_dir).join(full, "doc_id")
-    return rows.groupBy("arm", "depth").agg(F.avg(F.col("tokens") / F.col("whole")).alias("keep_rate"), F.avg("fidelity").alias("fidelity"), F.avg(F.col("fidelity") - F.col("full_f")).alias("delta"))
+    rows = base._once(base._ordered(spark, sf_dir), masks=base._masks(), whole=F.element_at("tokens", -1), full_f=F.element_at("fidelity", -1))
+    rows = rows.select("arm", "tokens", "fidelity", "whole", "full_f", F.posexplode("masks").alias("depth", "mask"))
+    at = lambda c: F.get(c, F.col("mask")).alias(c)
+    rows = rows.select("arm", "depth", "whole", "full_f", at("tokens"), at("fidelity"))
+    # A text without words keeps 0 of 0 tokens, which is not a number, as in the SQL.
+    rate = F.coalesce(F.col("tokens") / F.nullif("whole", F.lit(0)), F.lit(float("nan")))
+    return rows.groupBy("arm", "depth").agg(F.avg(rate).alias("keep_rate"), F.avg("fidelity").alias("fidelity"), F.avg(F.col("fidelity") - F.col("full_f")).alias("delta"))
 
 
 @query("c AS (SELECT source, reached, count(*) AS n FROM reached_states JOIN documents USING (doc_id) GROUP BY ALL) SELECT source, reached, n, n / sum(n) OVER (PARTITION BY source) AS share FROM c")
